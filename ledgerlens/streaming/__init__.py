@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analysed job is a batch report over warehouse tables: it has no
+watermark, event-time window, state or late-data handling, so nothing is built
+here. The reports are batch DataFrame plans in ``ledgerlens.plans``.
+"""
