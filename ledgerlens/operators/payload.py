@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import ROUTE_KEY, VEHICLE_KEY
@@ -33,10 +33,21 @@ def payload_route(rows: DataFrame) -> DataFrame:
 def with_transaction_route(rows: DataFrame) -> DataFrame:
     """Attach the transaction's route to each row (NULL if none).
 
-    Aggregate + join rather than a window: the aggregate combines map-side,
-    so a transaction with very many tied rows is not buffered in one task,
-    and both sides are already partitioned by ``transaction_id`` after J1.
+    ``MAX(route) OVER (PARTITION BY transaction_id)`` over the base rows. After
+    J1 the rows are already hash partitioned *and sorted* by
+    ``transaction_id`` (sort-merge join output), so the window adds neither an
+    exchange nor a sort. The aggregate-and-join form (``payload_route`` joined
+    back) computes the same values but forces Spark to rebuild the candidate
+    branch a second time, because the two branches carry different columns and
+    their exchanges cannot be reused; it has no skew advantage either, since a
+    transaction is already in one task after J1.
     """
+    w = Window.partitionBy("transaction_id")
+    return rows.withColumn("route", F.max("row_route").over(w))
+
+
+def with_transaction_route_by_join(rows: DataFrame) -> DataFrame:
+    """J5 written as the source writes it (aggregate + left join); bench only."""
     return rows.join(payload_route(rows), "transaction_id", "left")
 
 
