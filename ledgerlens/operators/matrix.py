@@ -89,7 +89,8 @@ def matrix_wide(matrix: DataFrame, summary: DataFrame, n_slots: int) -> DataFram
     slotted = matrix.withColumn(
         "slot", F.concat(F.lit("p"), F.array_position(bucket_slots(summary), F.col("bucket")).cast("string")))
     return (slotted.groupBy("status_ord", "status").pivot("slot", slots).agg(F.max("value"))
-            .select("status_ord", "status", *slots))
+            .select("status_ord", "status", *slots)
+            .orderBy("status_ord"))
 
 
 def with_slice_tags(summary: DataFrame) -> DataFrame:

@@ -13,12 +13,12 @@ def with_payload_values(rows: DataFrame) -> DataFrame:
     """Per row: route and vehicle (max over the row's payload elements) and
     the number of elements. The payload is parsed once, and only for rows that
     survived the bucket, provider and version filters."""
-    arr = json_array("payload")
-    return (rows.withColumn("_payload_arr", arr)
-            .withColumn("row_route", max_value_for_key(F.col("_payload_arr"), ROUTE_KEY))
-            .withColumn("row_vehicle", max_value_for_key(F.col("_payload_arr"), VEHICLE_KEY))
-            .withColumn("payload_elements", F.coalesce(F.size("_payload_arr"), F.lit(-1)))
-            .drop("_payload_arr"))
+    arr = json_array("payload")  # one parse: a repeated subexpression is evaluated once
+    return rows.withColumns({
+        "row_route": max_value_for_key(arr, ROUTE_KEY),
+        "row_vehicle": max_value_for_key(arr, VEHICLE_KEY),
+        "payload_elements": F.coalesce(F.size(arr), F.lit(-1)),
+    })
 
 
 def payload_route(rows: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ def pending_rows(enriched: DataFrame) -> DataFrame:
     """F5 + P6 on ledger rows already joined to providers and the latest trace
     detail (left join, so a missing trace row reads as a NULL status)."""
     return (enriched.where(is_pending(F.col("status"), F.col("provider_type")))
-            .withColumn("status_group", status_group(F.col("status")))
-            .withColumn("period", F.col("period_name"))
-            .withColumn("month", month_of(F.col("period_name"))))
+            .withColumns({"status_group": status_group(F.col("status")),
+                          "period": F.col("period_name"),
+                          "month": month_of(F.col("period_name"))}))
 
 
 def pending_detail(rows: DataFrame) -> DataFrame:

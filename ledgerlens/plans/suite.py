@@ -71,11 +71,12 @@ class ReportSuite:
         rows = self.processed.withColumn("month", month_of(F.col("period_name")))
         rows = self._flag(rows, F.col("period_name"), WEEKLY, "in_top_period")
         rows = self._flag(rows, F.col("month"), MONTHLY, "in_top_month")
-        rows = rows.withColumn("in_detail_year", F.coalesce(
-            year_of(F.col("period_name")) == F.lit(self.config.detail_year), F.lit(False)))
-        rows = (rows.withColumn("in_top_period", F.coalesce("in_top_period", F.lit(False)))
-                .withColumn("in_top_month", F.coalesce("in_top_month", F.lit(False)))
-                .where(F.col("in_top_period") | F.col("in_top_month") | F.col("in_detail_year")))
+        rows = (rows.withColumns({
+            "in_detail_year": F.coalesce(year_of(F.col("period_name")) == F.lit(self.config.detail_year),
+                                         F.lit(False)),
+            "in_top_period": F.coalesce("in_top_period", F.lit(False)),
+            "in_top_month": F.coalesce("in_top_month", F.lit(False))})
+            .where(F.col("in_top_period") | F.col("in_top_month") | F.col("in_detail_year")))
         rows = with_provider(rows, self.tables.provider, self.config)
         rows = with_payload_values(keep_latest(rows, latest_versions(self.processed)))
         rows = with_trace(rows.drop("payload"), trace_latest(self.tables.trace_event, TRACE_DETAIL_COLUMNS))

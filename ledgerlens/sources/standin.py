@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.sources.tables import LedgerTables
+from ledgerlens.sources.tables import LedgerTables, balanced
 
 # Fixed values of the derivation (FIXTURES.md section 2), in its order.
 TRACE_STATUS_BY_CODE = (
@@ -112,7 +112,7 @@ def standin_tables(spark: SparkSession, sf_dir: str) -> LedgerTables:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     return LedgerTables(
-        cost_event=standin_cost_event(read("lineitem"), read("orders")),
-        trace_event=standin_trace_event(read("events")),
+        cost_event=standin_cost_event(balanced(read("lineitem"), "l_orderkey"), read("orders")),
+        trace_event=standin_trace_event(balanced(read("events"))),
         provider=standin_provider(read("supplier")),
     )
