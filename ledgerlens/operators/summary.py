@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import ALL_SLICE
@@ -27,6 +27,40 @@ def status_summary(rows: DataFrame) -> DataFrame:
                  cost_sum("cost_amt").alias("cost")))
 
 
+PER_TRANSACTION_KEYS = ("transaction_id", "bucket", "pre_invoice_type", "pre_invoice_id", "provider_type")
+
+
+def status_summary_preaggregated(base: DataFrame, latest_trace: DataFrame | None = None) -> DataFrame:
+    """A3/A4 + J4 + J5 + P5 in one chain that never holds a group of copies
+    in one task.
+
+    1. Collapse the base rows per (transaction, bucket, type, pre-invoice,
+       provider type): cost summed, route maxed. Tied copies of a transaction
+       become at most a handful of rows, with map-side combine whenever an
+       exchange precedes the aggregate (e.g. after AQE splits a hot J1
+       partition).
+    2. The transaction's route = max over those few rows (a window over the
+       collapsed rows: its groups are bounded by distinct combinations, not by
+       copies). No second branch of the base is built, so nothing upstream is
+       recomputed.
+    3. Trace join and status rule on the collapsed rows (the status depends
+       only on pre-invoice and provider type, both kept as keys).
+    4. Final aggregate: distinct routes and pre-invoices per group are the same
+       over collapsed rows; cost is the sum of the partial sums.
+
+    With ``latest_trace=None`` the base already carries the raw trace
+    ``status`` (one value per pre-invoice), which then joins the keys.
+    """
+    keys = PER_TRANSACTION_KEYS + (("status",) if latest_trace is None else ())
+    per_tx = (base.groupBy(*keys)
+              .agg(F.sum("cost_amt").alias("cost_amt"), F.max("row_route").alias("_route_part")))
+    per_tx = per_tx.withColumn("route", F.max("_route_part").over(Window.partitionBy("transaction_id")))
+    if latest_trace is not None:
+        from ledgerlens.operators.latest import with_trace  # local: avoid an import cycle
+        per_tx = with_trace(per_tx, latest_trace)
+    return status_summary(with_payment_status(per_tx))
+
+
 def slice_filter(df: DataFrame, slice_name: str) -> DataFrame:
     """one type, or every row for the unsliced report (NULL and third
     types included - it is not regular UNION complementary)."""

@@ -43,7 +43,8 @@ from ledgerlens.operators.latest import (TRACE_DETAIL_COLUMNS, keep_latest, late
 from ledgerlens.operators.ledger import in_detail_year, processed_rows, with_provider
 from ledgerlens.operators.payload import (payload_assets, payload_route, with_payload_values,
                                          with_transaction_route)
-from ledgerlens.operators.summary import (slice_filter, status_summary, with_payment_status)
+from ledgerlens.operators.summary import (slice_filter, status_summary, status_summary_preaggregated,
+                                         with_payment_status)
 from ledgerlens.sources.tables import LedgerTables
 
 ENRICHED_COLUMNS = ("transaction_id", "bucket", "pre_invoice_type", "pre_invoice_id", "provider_id",
@@ -108,7 +109,8 @@ class LedgerReports:
 
     # -- R0 status summary ----------------------------------------------------
     def status_summary(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
-        return slice_filter(status_summary(self.enriched(granularity)), slice_name)
+        summary = status_summary_preaggregated(self.base(granularity), self.trace_status)
+        return slice_filter(summary, slice_name)
 
     def status_normalised(self, granularity: str = WEEKLY, slice_name: str = ALL_SLICE) -> DataFrame:
         return matrix_ops.status_normalised(self.status_summary(granularity, slice_name), self.config)

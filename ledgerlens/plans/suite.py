@@ -34,8 +34,8 @@ from ledgerlens.operators import ranking as ranking_ops
 from ledgerlens.operators.buckets import top_buckets
 from ledgerlens.operators.latest import TRACE_DETAIL_COLUMNS, keep_latest, latest_versions, trace_latest, with_trace
 from ledgerlens.operators.ledger import month_of, processed_rows, with_provider, year_of
-from ledgerlens.operators.payload import payload_assets, with_payload_values, with_transaction_route
-from ledgerlens.operators.summary import slice_filter, status_summary, with_payment_status
+from ledgerlens.operators.payload import payload_assets, with_payload_values
+from ledgerlens.operators.summary import slice_filter, status_summary_preaggregated
 from ledgerlens.session import ensure_checkpoint_dir
 from ledgerlens.sources.tables import LedgerTables
 
@@ -89,11 +89,8 @@ class ReportSuite:
 
     @cached_property
     def summaries(self) -> dict[str, DataFrame]:
-        out = {}
-        for g in GRANULARITIES:
-            rows = with_payment_status(with_transaction_route(self._bucket_rows(g)))
-            out[g] = status_summary(rows).persist()
-        return out
+        # the snapshot rows already carry the latest raw trace status
+        return {g: status_summary_preaggregated(self._bucket_rows(g)).persist() for g in GRANULARITIES}
 
     def status_summary(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
         return slice_filter(self.summaries[granularity], slice_name)
