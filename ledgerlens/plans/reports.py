@@ -45,6 +45,7 @@ from ledgerlens.operators.payload import (payload_assets, payload_route, with_pa
                                          with_transaction_route)
 from ledgerlens.operators.summary import (slice_filter, status_summary, status_summary_preaggregated,
                                          with_payment_status)
+from ledgerlens.session import materialize
 from ledgerlens.sources.tables import LedgerTables
 
 ENRICHED_COLUMNS = ("transaction_id", "bucket", "pre_invoice_type", "pre_invoice_id", "provider_id",
@@ -57,6 +58,7 @@ class LedgerReports:
     def __init__(self, tables: LedgerTables, config: LedgerConfig = DEFAULT_CONFIG):
         self.tables = tables
         self.config = config
+        self._summaries: dict[tuple[str, str], DataFrame] = {}
 
     # -- shared inputs ------------------------------------------------------
     @cached_property
@@ -116,8 +118,16 @@ class LedgerReports:
         return matrix_ops.status_normalised(self.status_summary(granularity, slice_name), self.config)
 
     # -- R1-R3, R6-R8 matrices --------------------------------------------------
+    def _summary_once(self, granularity: str, slice_name: str) -> DataFrame:
+        """The slice summary computed once: a matrix reads it four to six
+        times (aggregate, bucket list, totals, slots), each pruned differently."""
+        key = (granularity, slice_name)
+        if key not in self._summaries:
+            self._summaries[key] = materialize(self.status_summary(granularity, slice_name))
+        return self._summaries[key]
+
     def matrix(self, metric: str, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
-        summary = self.status_summary(granularity, slice_name)
+        summary = self._summary_once(granularity, slice_name)
         return self.matrix_from_summary(summary, metric)
 
     def matrix_from_summary(self, summary: DataFrame, metric: str) -> DataFrame:
@@ -126,13 +136,13 @@ class LedgerReports:
         return matrix_ops.matrix_long(summary, metric, self.config)
 
     def matrix_wide(self, metric: str, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
-        summary = self.status_summary(granularity, slice_name)
+        summary = self._summary_once(granularity, slice_name)
         return matrix_ops.matrix_wide(self.matrix_from_summary(summary, metric), summary,
                                       self.config.recent_buckets)
 
     def matrix_display(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
         """The three matrices of a slice as display text, long form."""
-        summary = self.status_summary(granularity, slice_name)
+        summary = self._summary_once(granularity, slice_name)
         keys = ["bucket", "status_ord", "status"]
         counts = matrix_ops.matrix_long(summary, matrix_ops.COUNT, self.config)
         shares = matrix_ops.share_matrix_long(counts)
@@ -173,11 +183,17 @@ class LedgerReports:
     def pending_summary(self) -> DataFrame:
         return pending_ops.pending_summary(self.pending_detail())
 
+    @cached_property
+    def _detail_once(self) -> DataFrame:
+        """The pending detail computed once for the ranking, which reads it in
+        five places (period guard, exclusion, group split, totals, grand total)."""
+        return materialize(self.pending_detail())
+
     def ranking_excluded_periods(self) -> DataFrame:
-        return ranking_ops.excluded_periods(self.pending_detail(), self.config)
+        return ranking_ops.excluded_periods(self._detail_once, self.config)
 
     def provider_ranking(self) -> DataFrame:
-        return ranking_ops.provider_ranking(self.pending_detail(), self.config)
+        return ranking_ops.provider_ranking(self._detail_once, self.config)
 
     def provider_ranking_total(self) -> DataFrame:
         return ranking_ops.ranking_total(self.provider_ranking())

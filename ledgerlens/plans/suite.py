@@ -36,7 +36,7 @@ from ledgerlens.operators.latest import TRACE_DETAIL_COLUMNS, keep_latest, lates
 from ledgerlens.operators.ledger import month_of, processed_rows, with_provider, year_of
 from ledgerlens.operators.payload import payload_assets, with_payload_values
 from ledgerlens.operators.summary import slice_filter, status_summary_preaggregated
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import ensure_checkpoint_dir, materialize
 from ledgerlens.sources.tables import LedgerTables
 
 
@@ -168,13 +168,4 @@ class ReportSuite:
 
 
 def _snapshot(df: DataFrame, reliable: bool) -> DataFrame:
-    """Materialise once and cut lineage. Persisting first means the
-    checkpoint write reads the cached blocks instead of recomputing the plan
-    (an eager checkpoint otherwise runs it twice)."""
-    if not reliable:
-        return df.persist()
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist()
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    return materialize(df) if reliable else df.persist()

@@ -66,3 +66,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage (reliable checkpoint).
+
+    Used where one intermediate result feeds several consumers that prune it
+    differently (so Spark could not reuse a shuffle between them). Persisting
+    first makes the checkpoint write read cached blocks instead of running the
+    plan a second time; the cache is released once the checkpoint exists.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
