@@ -50,6 +50,33 @@ def json_scalar(json_text: Column | str, path: str) -> Column:
     return F.when(looks_nested, exact).otherwise(text)
 
 
+def guard_scalar(text: Column, json_text: Column, path: str) -> Column:
+    """Turn an extracted text into ``JSON_EXTRACT_SCALAR`` semantics: when it
+    starts with ``{`` or ``[`` (a container, or a string that merely looks
+    like one) the exact VARIANT type check decides; a container gives NULL.
+    The check sits in a nested CASE branch, so it runs only for those rows."""
+    looks_nested = F.substring(text, 1, 1).isin("{", "[")
+    container = _is_container(F.try_variant_get(F.try_parse_json(json_text), path, "variant"))
+    exact = F.when(F.coalesce(container, F.lit(False)), F.lit(None).cast("string")).otherwise(text)
+    return F.when(looks_nested, exact).otherwise(text)
+
+
+def with_json_field(df, json_col: str, field: str, out_col: str):
+    """Add ``out_col`` = ``JSON_EXTRACT_SCALAR(json_col, '$.<field>')`` for a
+    top-level field, parsed once per row.
+
+    ``json_tuple`` is a generator: filters on its output (an inferred
+    ``IS NOT NULL`` from a join, a year prefix) cannot be pushed below it, so
+    the text is parsed exactly once. A projected expression would instead be
+    copied into every pushed-down filter and parsed again. It is also the
+    fastest of Spark's JSON extractors. With duplicate keys the last one wins.
+    """
+    tmp = f"_{out_col}_text"
+    with_text = df.select("*", F.json_tuple(F.col(json_col), field).alias(tmp))
+    return (with_text.withColumn(out_col, guard_scalar(F.col(tmp), F.col(json_col), f"$.{field}"))
+            .drop(tmp))
+
+
 def json_array(json_text: Column | str, path: str = PAYLOAD_PATH) -> Column:
     """``JSON_EXTRACT_ARRAY(json_text, path)`` as ``array<variant>``.
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.config import (DEFAULT_CONFIG, MONTH_PREFIX_LEN, MONTHLY, PERIOD_NAME_PATH,
-                               PROCESSED, WEEKLY, YEAR_PREFIX_LEN, LedgerConfig)
-from ledgerlens.functions.json import json_scalar
+from ledgerlens.config import (DEFAULT_CONFIG, MONTH_PREFIX_LEN, MONTHLY, PROCESSED, WEEKLY,
+                               YEAR_PREFIX_LEN, LedgerConfig)
+from ledgerlens.functions.json import with_json_field
+
+PERIOD_NAME_FIELD = "name"
 
 LEDGER_COLUMNS = ("transaction_id", "version_id", "period_name", "cost_amt", "pre_invoice_type",
                   "pre_invoice_id", "provider_id", "payload")
@@ -37,11 +39,9 @@ def processed_rows(cost_event: DataFrame) -> DataFrame:
     the parquet reader as a pushed filter; only the columns a report touches
     are read (column pruning follows the later projections).
     """
-    return (cost_event
-            .where(F.col("event_status") == PROCESSED)
-            .select("transaction_id", "version_id",
-                    json_scalar("period", PERIOD_NAME_PATH).alias("period_name"),
-                    "cost_amt", "pre_invoice_type", "pre_invoice_id", "provider_id", "payload"))
+    rows = cost_event.where(F.col("event_status") == PROCESSED)
+    rows = with_json_field(rows, "period", PERIOD_NAME_FIELD, "period_name")
+    return rows.select(*LEDGER_COLUMNS)
 
 
 def accepted_providers(provider: DataFrame, config: LedgerConfig = DEFAULT_CONFIG) -> DataFrame:

@@ -25,9 +25,10 @@ def payload_route(rows: DataFrame) -> DataFrame:
     """A2: route per transaction = max over all its elements (tied rows
     included). A transaction without any element has no row (the unnest is an
     inner lateral join). ``rows`` must carry ``with_payload_values``."""
-    return (rows.where(F.col("payload_elements") > 0)
-            .groupBy("transaction_id")
-            .agg(F.max("row_route").alias("route")))
+    return (rows.groupBy("transaction_id")
+            .agg(F.max("row_route").alias("route"), F.max("payload_elements").alias("_elements"))
+            .where(F.col("_elements") > 0)
+            .drop("_elements"))
 
 
 def with_transaction_route(rows: DataFrame) -> DataFrame:
@@ -54,9 +55,14 @@ def with_transaction_route_by_join(rows: DataFrame) -> DataFrame:
 def payload_assets(rows: DataFrame) -> DataFrame:
     """Per (transaction, bucket, pre-invoice type): max route and max
     vehicle; a group exists only if its rows have at least one element."""
-    return (rows.where(F.col("payload_elements") > 0)
-            .groupBy("transaction_id", "bucket", "pre_invoice_type")
-            .agg(F.max("row_route").alias("route"), F.max("row_vehicle").alias("vehicle")))
+    # The element test is applied to the aggregate, not to the rows: a row
+    # filter on a parsed column would be pushed below the projection and
+    # parse the payload a second time.
+    return (rows.groupBy("transaction_id", "bucket", "pre_invoice_type")
+            .agg(F.max("row_route").alias("route"), F.max("row_vehicle").alias("vehicle"),
+                 F.max("payload_elements").alias("_elements"))
+            .where(F.col("_elements") > 0)
+            .drop("_elements"))
 
 
 def payload_route_exploded(rows: DataFrame) -> DataFrame:
