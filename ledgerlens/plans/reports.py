@@ -94,8 +94,13 @@ class LedgerReports:
         return with_provider(rows, self.tables.provider, self.config)
 
     def base(self, granularity: str) -> DataFrame:
-        """Candidates at their latest version, payload values per row."""
-        return with_payload_values(keep_latest(self.candidates(granularity), self.latest))
+        """Candidates at their latest version, payload values per row.
+
+        The payload is parsed on the candidate side, before the J1 shuffle: the
+        parse runs in the wide scan stage, and the exchange carries the short
+        route/vehicle strings instead of the payload JSON text."""
+        rows = with_payload_values(self.candidates(granularity)).drop("payload")
+        return keep_latest(rows, self.latest)
 
     def enriched(self, granularity: str) -> DataFrame:
         """J1-J5 + P5: the rows every status summary aggregates."""
