@@ -40,6 +40,24 @@ from ledgerlens.session import ensure_checkpoint_dir, materialize
 from ledgerlens.sources.tables import LedgerTables
 
 
+# Report order (ascending NULLs first, as the warehouse sorts; ties
+# broken by the remaining keys so files are reproducible).
+REPORT_ORDER = {  # column, or "-column" for descending (NULLs last)
+    "status_summary": ("bucket", "pre_invoice_type", "status"),
+    "status_matrix": ("bucket", "status_ord"),
+    "asset_counts": ("slice", "bucket"),
+    "pending_detail": ("month", "period", "-cost", "pre_invoice_id", "provider_id", "status"),
+    "pending_by_provider": ("-cost", "provider_id", "period", "status"),
+    "provider_ranking": ("-cost", "provider_id"),
+    "ranking_excluded_periods": ("period",),
+    "slice_status": ("slice",),
+}
+
+
+def _order_col(spec: str):
+    return F.col(spec[1:]).desc_nulls_last() if spec.startswith("-") else F.col(spec).asc_nulls_first()
+
+
 class ReportSuite:
     def __init__(self, tables: LedgerTables, config: LedgerConfig = DEFAULT_CONFIG,
                  checkpoint: bool = True):
@@ -149,13 +167,19 @@ class ReportSuite:
 
     def write(self, output_dir: str, fmt: str = "parquet") -> dict[str, str]:
         """K1: write every report under ``output_dir/<report>``; sliced reports
-        are partitioned by ``granularity`` and ``slice``. Small reports are
-        coalesced to one file; nothing is collected to the driver."""
+        are partitioned by ``granularity`` and ``slice``. Reports are small, so
+        each is coalesced to one task and sorted there (T3-T6) - a globally
+        ordered file without a range-partitioning sample job. Nothing is
+        collected to the driver."""
         ensure_checkpoint_dir(self.snapshot.sparkSession)
         paths = {}
         for name, df in self.datasets().items():
             parts = [c for c in ("granularity", "slice") if c in df.columns]
-            writer = df.coalesce(1).write.mode("overwrite").format(fmt)
+            order = [F.col(c) for c in parts] + [_order_col(c) for c in REPORT_ORDER.get(name, ())]
+            ordered = df.coalesce(1)
+            if order:
+                ordered = ordered.sortWithinPartitions(*order)
+            writer = ordered.write.mode("overwrite").format(fmt)
             if parts:
                 writer = writer.partitionBy(*parts)
             path = f"{output_dir.rstrip('/')}/{name}"
