@@ -9,16 +9,28 @@ from ledgerlens.config import ROUTE_KEY, VEHICLE_KEY
 from ledgerlens.functions.json import element_key, element_value, json_array, max_value_for_key
 
 
-def with_payload_values(rows: DataFrame) -> DataFrame:
+def with_payload_values(rows: DataFrame, only_when=None) -> DataFrame:
     """Per row: route and vehicle (max over the row's payload elements) and
-    the number of elements. The payload is parsed once, and only for rows that
-    survived the bucket, provider and version filters."""
-    arr = json_array("payload")  # one parse: a repeated subexpression is evaluated once
-    return rows.withColumns({
+    the number of elements. The payload is parsed once per row.
+
+    ``only_when`` (a boolean Column) limits the parse to the rows that need
+    it; other rows get NULL values. The parsed array is bound in its own
+    projection: Catalyst does not inline an expensive expression that is used
+    three times, so it is evaluated once and only under the condition."""
+    if only_when is None:
+        arr = json_array("payload")  # one parse: a repeated subexpression is evaluated once
+        return rows.withColumns({
+            "row_route": max_value_for_key(arr, ROUTE_KEY),
+            "row_vehicle": max_value_for_key(arr, VEHICLE_KEY),
+            "payload_elements": F.coalesce(F.size(arr), F.lit(-1)),
+        })
+    parsed = rows.withColumn("_payload_arr", F.when(only_when, json_array("payload")))
+    arr = F.col("_payload_arr")
+    return parsed.withColumns({
         "row_route": max_value_for_key(arr, ROUTE_KEY),
         "row_vehicle": max_value_for_key(arr, VEHICLE_KEY),
         "payload_elements": F.coalesce(F.size(arr), F.lit(-1)),
-    })
+    }).drop("_payload_arr")
 
 
 def payload_route(rows: DataFrame) -> DataFrame:

@@ -96,7 +96,8 @@ class ReportSuite:
             "in_top_month": F.coalesce("in_top_month", F.lit(False))})
             .where(F.col("in_top_period") | F.col("in_top_month") | F.col("in_detail_year")))
         rows = with_provider(rows, self.tables.provider, self.config)
-        rows = with_payload_values(rows).drop("payload")  # parsed before the shuffle
+        # parsed before the shuffle, and only for rows a bucket report uses
+        rows = with_payload_values(rows, F.col("in_top_period") | F.col("in_top_month")).drop("payload")
         rows = keep_latest(rows, latest_versions(self.processed))
         rows = with_trace(rows, trace_latest(self.tables.trace_event, TRACE_DETAIL_COLUMNS))
         return _snapshot(rows, self.checkpoint)
