@@ -166,14 +166,18 @@ class ReportSuite:
         out["status_matrix"] = union([tagged(self.matrices[g], g) for g in GRANULARITIES])
         return out
 
-    def write(self, output_dir: str, fmt: str = "parquet") -> dict[str, str]:
+    def write(self, output_dir: str, fmt: str = "parquet", concurrent_jobs: int = 4) -> dict[str, str]:
         """K1: write every report under ``output_dir/<report>``; sliced reports
         are partitioned by ``granularity`` and ``slice``. Reports are small, so
         each is coalesced to one task and sorted there (T3-T6) - a globally
-        ordered file without a range-partitioning sample job. Nothing is
-        collected to the driver."""
+        ordered file without a range-partitioning sample job. The report jobs
+        are independent, so up to ``concurrent_jobs`` are submitted at once
+        from driver threads and share the cluster. Nothing is collected to the
+        driver."""
+        from concurrent.futures import ThreadPoolExecutor
+
         ensure_checkpoint_dir(self.snapshot.sparkSession)
-        paths = {}
+        jobs = []
         for name, df in self.datasets().items():
             parts = [c for c in ("granularity", "slice") if c in df.columns]
             order = [F.col(c) for c in parts] + [_order_col(c) for c in REPORT_ORDER.get(name, ())]
@@ -183,10 +187,11 @@ class ReportSuite:
             writer = ordered.write.mode("overwrite").format(fmt)
             if parts:
                 writer = writer.partitionBy(*parts)
-            path = f"{output_dir.rstrip('/')}/{name}"
-            writer.save(path)
-            paths[name] = path
-        return paths
+            jobs.append((name, writer, f"{output_dir.rstrip('/')}/{name}"))
+        with ThreadPoolExecutor(max_workers=max(1, concurrent_jobs)) as pool:
+            for fut in [pool.submit(w.save, path) for _, w, path in jobs]:
+                fut.result()
+        return {name: path for name, _, path in jobs}
 
     def release(self) -> None:
         for df in [*self.summaries.values(), *self.matrices.values(), self.pending_detail]:
