@@ -109,13 +109,25 @@ def spaced_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+#: Bytes hashed at a time, so that the tables of powers stay small.
+_BLOCK = 1 << 20
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from one prefix sum over ``data``."""
-    powers, inverse = _power_table(len(data))
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=prefix[1:])
-    value = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix64(value ^ ((ends - starts).astype(np.uint64) * _GOLD))
+    """A 64-bit hash of each of the disjoint, ascending byte ranges, from
+    prefix sums over blocks of ``data``."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
+        part = data[base : ends[j - 1]]
+        powers, inverse = _power_table(len(part))
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: len(part)], out=prefix[1:])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix64(((prefix[e] - prefix[s]) * inverse[s]) ^ ((e - s).astype(np.uint64) * _GOLD))
+        i = j
+    return out
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

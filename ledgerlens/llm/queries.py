@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import mixing, packing, quality, token_counts
+from ledgerlens.llm import dom_marginals, lm_scoring, mixing, packing, pivot_topk, quality, rotated_bits, tgm_join, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_deleted_interpolation": lm_scoring.op1_deleted_interpolation,
+    "op3_rotated_bits": rotated_bits.op3_rotated_bits,
+    "op4_dom_marginals": dom_marginals.op4_dom_marginals,
+    "op5_pivot_table": pivot_topk.op5_pivot_table,
+    "op6_token_group_join": tgm_join.op6_token_group_join,
     "op7_curriculum_mix": mixing.op7_curriculum_mix,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_bradley_terry": quality.op10_bradley_terry,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_curriculum_mix": mixing.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_pivot_table": pivot_topk.OP5_SQL, "op7_curriculum_mix": mixing.OP7_SQL}
