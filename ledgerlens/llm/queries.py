@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import dom_marginals, lm_scoring, mixing, packing, pivot_topk, quality, rotated_bits, tgm_join, token_counts
+from ledgerlens.llm import dom_marginals, license_scan, lm_scoring, mixing, packing, pivot_topk, quality, rotated_bits, tgm_join, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": lm_scoring.op1_deleted_interpolation,
+    "op2_license_containment": license_scan.op2_license_containment,
     "op3_rotated_bits": rotated_bits.op3_rotated_bits,
     "op4_dom_marginals": dom_marginals.op4_dom_marginals,
     "op5_pivot_table": pivot_topk.op5_pivot_table,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bradley_terry": quality.op10_bradley_terry,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_pivot_table": pivot_topk.OP5_SQL, "op7_curriculum_mix": mixing.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_containment": license_scan.OP2_SQL, "op5_pivot_table": pivot_topk.OP5_SQL, "op7_curriculum_mix": mixing.OP7_SQL}
