@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SPACED_WORD
+from ledgerlens.llm.common import SPACED_WORD, stored
 
 #: Documents that one hash range of one source holds on average, at most.
 RANGE_ROWS = 2_000
@@ -91,7 +91,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("order_key"),
-        F.struct(*(F.col(c) for c in carry), F.lit(0).alias("_")).alias("carried"))
+        F.struct(*(F.col(f"`{c}`") for c in carry) or (F.lit(None).alias("none"),)).alias("carried"))
+    if not carry:
+        sized = stored(sized.drop("carried"), "sizes").withColumn("carried", F.lit(None))  # texts are read once
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(by_source.select("source", "source_size"), weights, share, max_passes)
     targets = targets.join(by_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -122,9 +124,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             .withColumnRenamed("id", id_col))
 
 
-def in_training_order(mixed: DataFrame, position: str = "position") -> DataFrame:
-    """Range-sorted by position: partitions follow each other in time."""
-    return mixed.repartitionByRange(F.col(position).asc_nulls_last()).sortWithinPartitions(F.col(position).asc_nulls_last())
+def in_training_order(mixed: DataFrame, position: str = "position", tie_break: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Range-sorted by position, null (never trained on) last: partitions
+    follow each other in time. ``tie_break`` splits a run of equal positions."""
+    by = (F.col(position).asc_nulls_last(), *(F.col(c) for c in tie_break))
+    return mixed.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -133,6 +137,22 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, edge), F.lit(1), n.cast("int")), "")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars",
+                    **options) -> DataFrame:
+    """The documents that the mix trains on, in training order, with the columns
+    of ``docs``: a row for each pass, its text cut to the words taken. Documents
+    of which no word is taken are not in it."""
+    own = tuple(docs.columns)
+    taken = mix(docs, id_col, text_col, carry=own, **options).select("carried", "size", F.explode("passes").alias("p"))
+    text = F.when(F.col("p.words") < F.col("size"), first_words(F.col(f"carried.`{text_col}`"), F.col("p.words"))).otherwise(
+        F.col(f"carried.`{text_col}`"))
+    rows = in_training_order(taken.withColumn("position", F.col("p.position")).withColumn("id", F.col(f"carried.`{id_col}`")),
+                             tie_break=("id",)).withColumn("cut", text)
+    return rows.select(*(F.col("cut").alias(c) if c == text_col
+                         else F.char_length("cut").cast(docs.schema[c].dataType).alias(c) if c == n_chars_col
+                         else F.col(f"carried.`{c}`").alias(c) for c in own))
+
+
 def op7_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     """Every document with its taken words and first training position."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))

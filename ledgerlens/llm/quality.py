@@ -158,25 +158,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_pairs(side[1], side[0], **fit)
 
 
-def quality_scores(docs: DataFrame, ranker: PairwiseRanker, id_col: str = "doc_id", text_col: str = "text",
-                   carry: tuple[str, ...] = ()) -> DataFrame:
-    """``<id_col>, score`` (and the ``carry`` columns) of every row.
+def quality_scores(docs: DataFrame, ranker: PairwiseRanker, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+                   score_col: str = "score") -> DataFrame:
+    """The ``keep`` columns and ``score_col`` of every row.
 
     Null and empty texts share one feature vector, so all get the same score.
-    Repeated rows are scored each; other columns never reach the score.
+    Repeated rows are scored each; no other column reaches the score. A kept
+    column may have any name but ``score_col``.
     """
     ship(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in (id_col, *carry))
-    own = [f.name for f in docs.schema.fields if f.name in (id_col, *carry)]
+    kept = [f for c in keep for f in docs.schema.fields if f.name == c]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{score_col}` double"])
+    names = [*(f.name for f in kept), score_col]
+    at = next((k for k, f in enumerate(kept) if f.name == text_col), len(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            f = np.vstack([features(np.frombuffer((t.as_py() or "").encode(), np.uint8)) for t in b.column("__text")])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(ranker.score(f))], [*own, "score"])
+            if b.num_rows:
+                f = np.vstack([features(np.frombuffer((t.as_py() or "").encode(), np.uint8)) for t in b.column(at)])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(ranker.score(f))], names)
 
-    return docs.select(*(F.col(c) for c in own), F.col(text_col).alias("__text")).mapInArrow(run, f"{schema}, score double")
+    columns = [F.col(f"`{f.name}`") for f in kept] + ([F.col(f"`{text_col}`").alias("text to score")] if at == len(kept) else [])
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, ranker: PairwiseRanker, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score the threshold or more, all columns."""
+    score = "quality score of " + ",".join(docs.columns)  # clashes with no column
+    scored = quality_scores(docs, ranker, text_col, tuple(docs.columns), score)
+    return scored.where(F.col(f"`{score}`") >= ranker.threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_bradley_terry(spark, sf_dir: str) -> DataFrame:
