@@ -1,20 +1,20 @@
-"""DuckDB SQL oracle for every query key.
+"""DuckDB SQL for every query key.
 
-Independent re-derivation in plain SQL, shaped like the warehouse queries the
-reports come from (CTEs, ROW_NUMBER dedup, MAX+self-join for the latest
-version, UNNEST of the payload). DuckDB has the driver's tables registered as
-views; the stand-in ledger is derived with the same rules as
+Built from the rules in SURVEY section 2, one relation per rule: the newest
+version by QUALIFY, the winning log row as a struct picked by ``max_by``, the
+payload with list functions, both granularities and all slices in one relation
+that each query filters. DuckDB has the driver's tables registered as views;
+the stand-in ledger is derived with the same rules as
 ``ledgerlens.sources.standin``.
 
-DuckDB specifics: NULLs sort last in both directions, so ``NULLS LAST`` is
-spelled out; its JSON string extract returns text for objects, so the type is
-checked with ``json_type``; sums are cast to the Spark result types.
+DuckDB specifics: its JSON string extract returns text for objects, so the type
+is checked with ``json_type``; sums are cast to the Spark result types.
 """
 
 from __future__ import annotations
 
-from ledgerlens.config import (ACCEPTED_PROVIDER_TYPES, ALL_SLICE, MONTHLY, OTHERS_STATUSES,
-                               SLICES, STATUS_DISPLAY_ORDER, WEEKLY)
+from ledgerlens.config import (ACCEPTED_PROVIDER_TYPES, ALL_SLICE, ASSET_LABELS, OTHERS_STATUSES, ROUTE_KEY, SLICES,
+                               STATUS_DISPLAY_ORDER, VEHICLE_KEY, WEEKLY)
 from ledgerlens.sources.standin import PROVIDER_TYPE_BY_NATION_MOD5, TRACE_STATUS_BY_CODE
 
 N_BUCKETS = 5
@@ -41,6 +41,24 @@ def _scalar(json_expr: str, path: str) -> str:
             f"ELSE json_extract_string({j}, '{path}') END")
 
 
+def _best(elements: str, key: str) -> str:
+    """The greatest scalar value that ``key`` has among payload elements."""
+    wanted = f"list_filter({elements}, lambda e: json_extract_string(e, '$.key') = {_q(key)} AND json_type(e, '$.value') NOT IN ('OBJECT', 'ARRAY'))"
+    return f"list_max(list_transform({wanted}, lambda e: json_extract_string(e, '$.value')))"
+
+
+def _sliced(relation: str) -> str:
+    return (f"SELECT *, unnest(list_filter(['all', pre_invoice_type], lambda s: list_contains([{_in_list(SLICES)}], s))) AS slice "
+            f"FROM {relation}")
+
+
+def _display_lines() -> str:
+    return ", ".join(f"({i + 1}, {_q(s)})" for i, s in enumerate(STATUS_DISPLAY_ORDER))
+
+
+_PERIOD = ("CAST(2025 + year(l.l_shipdate) % 2 AS VARCHAR) || lpad(CAST(month(l.l_shipdate) AS VARCHAR), 2, '0') "
+           "|| CASE WHEN day(l.l_shipdate) <= 15 THEN 'Q1' ELSE 'Q2' END")
+
 STANDIN = f"""
 cost_event AS (
   SELECT
@@ -51,9 +69,9 @@ cost_event AS (
       WHEN 0 THEN '{{"name":null}}'
       WHEN 1 THEN 'not json'
       WHEN 2 THEN '{{"name":{{"x":1}}}}'
-      ELSE '{{"name":"' || CAST(2025 + year(l.l_shipdate) % 2 AS VARCHAR)
-           || lpad(CAST(month(l.l_shipdate) AS VARCHAR), 2, '0')
-           || CASE WHEN day(l.l_shipdate) <= 15 THEN 'Q1' ELSE 'Q2' END || '"}}'
+      WHEN 3 THEN '{{"name":"' || {_PERIOD} || '"}} trailing'
+      WHEN 4 THEN '{{"name":"' || {_PERIOD} || '","name":"other"}}'
+      ELSE '{{"name":"' || {_PERIOD} || '"}}'
     END AS period,
     CAST(l.l_extendedprice AS DECIMAL(18,2)) AS cost_amt,
     CASE WHEN o.o_orderpriority = '5-LOW' THEN 'complementary'
@@ -90,407 +108,282 @@ provider AS (
   FROM supplier
 )"""
 
-PROCESSED = f"""
-processed AS (
-  SELECT *, {_scalar("period", "$.name")} AS period_name
-  FROM cost_event WHERE event_status = 'PROCESSED'
-),
-latest AS (
-  SELECT transaction_id, MAX(version_id) AS max_version
-  FROM processed GROUP BY transaction_id
-)"""
-
-TRACE_DEDUP = """
-trace_dedup AS (
-  SELECT preinvoice_id, status FROM (
-    SELECT preinvoice_id, status,
-           ROW_NUMBER() OVER (PARTITION BY preinvoice_id
-                              ORDER BY last_update DESC NULLS LAST, seq DESC NULLS LAST) AS rn
-    FROM trace_event)
-  WHERE rn = 1
-)"""
-
-TRACE_DETAIL = """
-trace_detail AS (
-  SELECT preinvoice_id, status, invoice_id, file_status, file_accounting_document,
-         last_update, invoice_amount FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY preinvoice_id
-                                 ORDER BY last_update DESC NULLS LAST, seq DESC NULLS LAST) AS rn
-    FROM trace_event)
-  WHERE rn = 1
-)"""
-
 ACCEPTED = _in_list(ACCEPTED_PROVIDER_TYPES)
 OTHERS = _in_list(OTHERS_STATUSES)
 
+#: One relation per rule, each built from those above it; a query names the
+#: last one it needs and gets exactly the chain below that.
+_RELATIONS: dict[str, str] = {
+    # every processed event: its period name, and its payload as a list of elements
+    "events": f"""
+SELECT * EXCLUDE (period, payload, event_status), {_scalar("period", "$.name")} AS period_name,
+       CASE WHEN json_type(try_cast(payload AS JSON), '$.payload') = 'ARRAY'
+            THEN json_extract(try_cast(payload AS JSON), '$.payload[*]') END AS elements
+FROM cost_event WHERE event_status = 'PROCESSED'""",
+    "newest": """
+SELECT * FROM events WHERE transaction_id IS NOT NULL
+QUALIFY version_id = max(version_id) OVER (PARTITION BY transaction_id)""",
+    # the winning log row of a pre-invoice, as one struct
+    "last_seen": """
+SELECT preinvoice_id, max_by(e, {'at': coalesce(e.last_update, TIMESTAMP '0001-01-01'), 'seq': e.seq}) AS seen
+FROM trace_event AS e GROUP BY preinvoice_id""",
+    "recent": f"""
+SELECT g.granularity, unnest(list_reverse_sort(list_distinct(list(
+         CASE g.granularity WHEN 'weekly' THEN period_name ELSE left(period_name, 6) END)))[1:{N_BUCKETS}]) AS bucket
+FROM events, (VALUES ('weekly'), ('monthly')) AS g(granularity) GROUP BY g.granularity""",
+    # newest events once for every recent bucket they fall into, with their provider
+    "placed": f"""
+SELECT r.granularity, r.bucket, n.*, v.type AS provider_type,
+       {_best("n.elements", ROUTE_KEY)} AS own_route, {_best("n.elements", VEHICLE_KEY)} AS own_vehicle
+FROM recent AS r
+JOIN newest AS n ON r.bucket = CASE r.granularity WHEN 'weekly' THEN n.period_name ELSE left(n.period_name, 6) END
+JOIN provider AS v ON v.id = n.provider_id AND list_contains([{ACCEPTED}], v.type)""",
+    "routed": """
+SELECT p.*, max(own_route) OVER (PARTITION BY granularity, transaction_id) AS route, w.seen.status AS raw_status,
+       CASE w.seen.status WHEN 'sap_status_pagado' THEN 'sap_status_pago_realizado'
+            ELSE coalesce(w.seen.status, CASE WHEN provider_type = 'TAC-CPF' THEN 'nao_emite_nfs' END) END AS status
+FROM placed AS p LEFT JOIN last_seen AS w ON w.preinvoice_id = p.pre_invoice_id::VARCHAR""",
+    "assets": """
+SELECT granularity, bucket, transaction_id, pre_invoice_type, max(own_route) AS route, max(own_vehicle) AS vehicle
+FROM placed GROUP BY ALL HAVING max(len(elements)) > 0""",
+    "routed_sliced": _sliced("routed"),
+    "assets_sliced": _sliced("assets"),
+    "asset_totals": """
+SELECT granularity, slice, bucket, count(DISTINCT route) AS routes, count(DISTINCT vehicle) AS vehicles
+FROM assets_sliced GROUP BY granularity, slice, bucket""",
+    "summary": """
+SELECT granularity, slice, bucket, pre_invoice_type, status, count(DISTINCT route) AS routes,
+       count(DISTINCT pre_invoice_id) AS pre_invoices, sum(cost_amt)::DECIMAL(28,2) AS cost
+FROM routed_sliced GROUP BY ALL""",
+    "labelled": f"""
+SELECT *, CASE WHEN list_contains([{OTHERS}], status) THEN 'Outros' ELSE coalesce(status, 'NULL') END AS label FROM summary""",
+    # every display line of every bucket; TOTAL takes all labels
+    "cells": f"""
+SELECT granularity, slice, bucket, d.status_ord, d.status,
+       coalesce(sum(pre_invoices) FILTER (label = d.status OR d.status = 'TOTAL'), 0)::BIGINT AS n,
+       coalesce(sum(cost) FILTER (label = d.status OR d.status = 'TOTAL'), 0)::DECIMAL(28,2) AS money
+FROM labelled, (VALUES {_display_lines()}) AS d(status_ord, status) GROUP BY ALL""",
+    "matrix": """
+SELECT *, CASE status WHEN 'TOTAL' THEN 100.0::DOUBLE ELSE coalesce(round_even(
+         n::DOUBLE / nullif(max(n) FILTER (status = 'TOTAL') OVER (PARTITION BY granularity, slice, bucket), 0)::DOUBLE
+         * 100.0::DOUBLE * 10.0::DOUBLE, 0) / 10.0::DOUBLE, 0.0::DOUBLE) END AS share,
+       dense_rank() OVER (PARTITION BY granularity, slice ORDER BY bucket) AS slot
+FROM cells""",
+    "open_items": f"""
+SELECT n.*, v.name AS provider_name, v.type AS provider_type, w.seen
+FROM newest AS n JOIN provider AS v ON v.id = n.provider_id AND list_contains([{ACCEPTED}], v.type)
+LEFT JOIN last_seen AS w ON w.preinvoice_id = n.pre_invoice_id::VARCHAR
+WHERE starts_with(n.period_name, '{DETAIL_YEAR}')
+  AND CASE WHEN w.seen.status IS NULL THEN v.type <> 'TAC-CPF' ELSE list_contains([{OTHERS}], w.seen.status) END""",
+    "detail": """
+SELECT period_name AS period, left(period_name, 6) AS month, pre_invoice_type, pre_invoice_id, provider_id, provider_name,
+       provider_type, if(seen.status IS NULL, 'NULL', 'Outros') AS status_group, seen.status AS status,
+       sum(cost_amt)::DECIMAL(28,2) AS cost, count(DISTINCT transaction_id) AS transactions,
+       any_value(seen.invoice_id)::VARCHAR AS invoice_id, any_value(seen.file_status) AS file_status,
+       any_value(seen.file_accounting_document) AS accounting_document, any_value(seen.invoice_amount) AS invoice_amount,
+       any_value(seen.last_update) AS last_update
+FROM open_items GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9""",
+    "dropped": f"""
+SELECT unnest(CASE WHEN len(p) >= {DROPPED_PERIODS} THEN list_reverse_sort(p)[1:{DROPPED_PERIODS}] END) AS period
+FROM (SELECT list(DISTINCT period) FILTER (period IS NOT NULL) AS p FROM detail)""",
+    "by_provider": """
+SELECT provider_id, provider_name, provider_type,
+       bool_or(status_group = 'NULL') AS any_null, bool_or(status_group = 'Outros') AS any_others,
+       count(DISTINCT pre_invoice_id) FILTER (status_group = 'NULL') AS n_null,
+       count(DISTINCT pre_invoice_id) FILTER (status_group = 'Outros') AS n_others,
+       coalesce(sum(cost) FILTER (status_group = 'NULL'), 0) AS c_null,
+       coalesce(sum(cost) FILTER (status_group = 'Outros'), 0) AS c_others,
+       count(DISTINCT pre_invoice_id) AS n, coalesce(sum(cost), 0) AS c, coalesce(sum(transactions), 0) AS t
+FROM detail ANTI JOIN dropped USING (period) GROUP BY ALL""",
+    "ranking": """
+SELECT a.provider_id, a.provider_name, a.provider_type,
+       coalesce(x.n_null, 0)::BIGINT AS pre_invoices_null, coalesce(x.c_null, 0)::DECIMAL(28,2) AS cost_null,
+       coalesce(y.n_others, 0)::BIGINT AS pre_invoices_others, coalesce(y.c_others, 0)::DECIMAL(28,2) AS cost_others,
+       a.n::BIGINT AS pre_invoices, a.c::DECIMAL(28,2) AS cost, a.t::BIGINT AS transactions,
+       CASE WHEN sum(a.c) OVER () > 0 THEN a.c::DECIMAL(28,2)::DOUBLE / (sum(a.c) OVER ())::DECIMAL(28,2)::DOUBLE ELSE 0.0::DOUBLE END AS cost_share
+FROM by_provider AS a
+LEFT JOIN by_provider AS x ON x.provider_id = a.provider_id AND x.any_null
+LEFT JOIN by_provider AS y ON y.provider_id = a.provider_id AND y.any_others""",
+}
+
+
+def _select(final: str, last: str) -> str:
+    """``final`` over the chain of relations up to ``last``."""
+    chain = []
+    for name, body in _RELATIONS.items():
+        chain.append(f"{name} AS ({body}\n)")
+        if name == last:
+            break
+    return "WITH " + STANDIN + ",\n" + ",\n".join(chain) + "\n" + final
+
+
+def _of(granularity: str, slice_name: str | None = None) -> str:
+    return f"granularity = {_q(granularity)}" + (f" AND slice = {_q(slice_name)}" if slice_name else "")
 
-def _with(*ctes: str) -> str:
-    return "WITH " + ",".join([STANDIN, *ctes])
 
-
-def _bucket(expr: str, granularity: str) -> str:
-    return expr if granularity == WEEKLY else f"substr({expr}, 1, 6)"
+def status_summary(granularity: str, slice_name: str) -> str:
+    return _select(f"SELECT * EXCLUDE (granularity, slice) FROM summary WHERE {_of(granularity, slice_name)}", "summary")
 
 
-def _top(granularity: str) -> str:
-    return f"""
-top_buckets AS (
-  SELECT DISTINCT {_bucket("period_name", granularity)} AS bucket FROM processed
-  ORDER BY bucket DESC NULLS LAST LIMIT {N_BUCKETS}
-)"""
+_VALUE = {"count": "n", "share": "share", "cost": "money"}
 
 
-def _value_guarded(p: str) -> str:
-    return f"CASE WHEN json_type({p}, '$.value') IN ('OBJECT', 'ARRAY') THEN NULL ELSE json_extract_string({p}, '$.value') END"
-
-
-def _base(granularity: str) -> str:
-    b = _bucket("c.period_name", granularity)
-    return f"""
-base AS (
-  SELECT c.transaction_id, {b} AS bucket, c.cost_amt, c.pre_invoice_type, c.pre_invoice_id,
-         c.provider_id, c.payload, prv.type AS provider_type,
-         CASE WHEN prv.type = 'TAC-CPF' AND t.status IS NULL THEN 'nao_emite_nfs'
-              WHEN t.status IN ('sap_status_pago_realizado', 'sap_status_pagado') THEN 'sap_status_pago_realizado'
-              ELSE t.status END AS status
-  FROM processed c
-  JOIN latest lv ON c.transaction_id = lv.transaction_id AND c.version_id = lv.max_version
-  JOIN top_buckets tb ON {b} = tb.bucket
-  JOIN provider prv ON c.provider_id = prv.id
-  LEFT JOIN trace_dedup t ON CAST(c.pre_invoice_id AS VARCHAR) = t.preinvoice_id
-  WHERE prv.type IN ({ACCEPTED})
-),
-payload_elems AS (
-  SELECT b.transaction_id, b.bucket, b.pre_invoice_type,
-         unnest(json_extract(try_cast(b.payload AS JSON), '$.payload[*]')) AS p
-  FROM base b
-  WHERE json_type(try_cast(b.payload AS JSON), '$.payload') = 'ARRAY'
-),
-payload_kv AS (
-  SELECT transaction_id,
-         MAX(CASE WHEN json_extract_string(p, '$.key') = 'external_route_id' THEN {_value_guarded("p")} END) AS route
-  FROM payload_elems GROUP BY transaction_id
-)"""
+def matrix_long(metric: str, granularity: str, slice_name: str) -> str:
+    return _select(f"SELECT bucket, status_ord, status, {_VALUE[metric]} AS value FROM matrix WHERE {_of(granularity, slice_name)}", "matrix")
 
 
-def _rv_base(granularity: str) -> str:
-    b = _bucket("c.period_name", granularity)
-    return f"""
-rv_base AS (
-  SELECT c.transaction_id, {b} AS bucket, c.pre_invoice_type, c.payload
-  FROM processed c
-  JOIN latest lv ON c.transaction_id = lv.transaction_id AND c.version_id = lv.max_version
-  JOIN top_buckets tb ON {b} = tb.bucket
-  JOIN provider prv ON c.provider_id = prv.id
-  WHERE prv.type IN ({ACCEPTED})
-),
-rv_elems AS (
-  SELECT transaction_id, bucket, pre_invoice_type,
-         unnest(json_extract(try_cast(payload AS JSON), '$.payload[*]')) AS p
-  FROM rv_base WHERE json_type(try_cast(payload AS JSON), '$.payload') = 'ARRAY'
-),
-payload_rv AS (
-  SELECT transaction_id, bucket, pre_invoice_type,
-         MAX(CASE WHEN json_extract_string(p, '$.key') = 'external_route_id' THEN {_value_guarded("p")} END) AS route,
-         MAX(CASE WHEN json_extract_string(p, '$.key') = 'vehicle_id' THEN {_value_guarded("p")} END) AS vehicle
-  FROM rv_elems GROUP BY transaction_id, bucket, pre_invoice_type
-)"""
+def share_fractions(granularity: str, slice_name: str) -> str:
+    return _select(f"SELECT bucket, status_ord, status, share / 100.0::DOUBLE AS value FROM matrix WHERE {_of(granularity, slice_name)}", "matrix")
 
 
-def _slice_where(slice_name: str, col: str = "pre_invoice_type") -> str:
-    return "" if slice_name == ALL_SLICE else f"WHERE {col} = {_q(slice_name)}"
+def _slots(value: str) -> str:
+    return ", ".join(f"any_value({value}) FILTER (slot = {k}) AS p{k}" for k in range(1, N_BUCKETS + 1))
 
 
-def _summary_cte(granularity: str, slice_name: str) -> str:
-    return f"""
-summary AS (
-  SELECT b.bucket, b.pre_invoice_type, b.status,
-         COUNT(DISTINCT p.route) AS routes,
-         COUNT(DISTINCT b.pre_invoice_id) AS pre_invoices,
-         CAST(SUM(b.cost_amt) AS DECIMAL(28,2)) AS cost
-  FROM base b LEFT JOIN payload_kv p ON b.transaction_id = p.transaction_id
-  {_slice_where(slice_name, "b.pre_invoice_type")}
-  GROUP BY b.bucket, b.pre_invoice_type, b.status
-)"""
+def matrix_wide(metric: str, granularity: str, slice_name: str) -> str:
+    return _select(f"SELECT status_ord, status, {_slots(_VALUE[metric])} FROM matrix WHERE {_of(granularity, slice_name)} "
+                   "GROUP BY status_ord, status ORDER BY status_ord", "matrix")
 
 
-def status_summary(granularity: str, slice_name: str) -> str:
-    return (_with(PROCESSED, _top(granularity), TRACE_DEDUP, _base(granularity),
-                  _summary_cte(granularity, slice_name))
-            + "\nSELECT * FROM summary ORDER BY bucket, pre_invoice_type NULLS FIRST, status NULLS FIRST")
+def _grouped(value: str) -> str:
+    return f"replace(format('{{:,.0f}}', {value}::DOUBLE), ',', '.')"
 
 
-def _spine_values() -> str:
-    body = [s for s in STATUS_DISPLAY_ORDER if s != "TOTAL"]
-    return ", ".join(f"({i + 1}, {_q(s)})" for i, s in enumerate(body))
+def matrix_display(granularity: str, slice_name: str) -> str:
+    return _select(f"""
+SELECT bucket, status_ord, status, if(n = 0, '-', {_grouped("n")}) AS count_text,
+       CASE WHEN status = 'TOTAL' THEN '100%' WHEN share = 0 THEN '-' ELSE format('{{:.1f}}%', share) END AS share_text,
+       if(money = 0, '-', 'R$ ' || {_grouped("money")}) AS cost_text
+FROM matrix WHERE {_of(granularity, slice_name)}""", "matrix")
 
 
-def _matrix_ctes(metric_col: str, value_type: str) -> str:
-    total_ord = len(STATUS_DISPLAY_ORDER)
-    return f"""
-norm AS (
-  SELECT bucket,
-         CASE WHEN status IS NULL THEN 'NULL' WHEN status IN ({OTHERS}) THEN 'Outros' ELSE status END AS status,
-         {metric_col} AS v
-  FROM summary
-),
-agg AS (SELECT bucket, status, COALESCE(SUM(v), 0) AS value FROM norm GROUP BY bucket, status),
-spine(status_ord, status) AS (VALUES {_spine_values()}),
-buckets AS (SELECT DISTINCT bucket FROM summary),
-matrix AS (
-  SELECT b.bucket, s.status_ord, s.status, CAST(COALESCE(a.value, 0) AS {value_type}) AS value
-  FROM buckets b CROSS JOIN spine s
-  LEFT JOIN agg a ON a.bucket = b.bucket AND a.status = s.status
-  UNION ALL
-  SELECT bucket, {total_ord} AS status_ord, 'TOTAL' AS status, CAST(SUM(value) AS {value_type}) AS value
-  FROM agg GROUP BY bucket
-)"""
+def asset_counts(granularity: str, slice_name: str) -> str:
+    return _select(f"SELECT bucket, routes, vehicles FROM asset_totals WHERE {_of(granularity, slice_name)}", "asset_totals")
 
 
-def _share_cte() -> str:
-    return """
-share AS (
-  SELECT m.bucket, m.status_ord, m.status,
-         CASE WHEN m.status = 'TOTAL' THEN 100.0
-              ELSE COALESCE(round_even(CAST(m.value AS DOUBLE) / NULLIF(CAST(t.value AS DOUBLE), 0) * 100.0 * 10.0, 0) / 10.0, 0.0)
-         END::DOUBLE AS value
-  FROM matrix m JOIN matrix t ON t.bucket = m.bucket AND t.status = 'TOTAL'
-)"""
+def asset_counts_all_slices(granularity: str) -> str:
+    return _select(f"SELECT slice, bucket, routes, vehicles FROM asset_totals WHERE {_of(granularity)}", "asset_totals")
 
 
-_METRIC = {"count": ("pre_invoices", "BIGINT"), "share": ("pre_invoices", "BIGINT"),
-           "cost": ("cost", "DECIMAL(28,2)")}
+def asset_row(metric: str, granularity: str, slice_name: str) -> str:
+    return _select(f"""
+SELECT {_q(ASSET_LABELS[metric])} AS metric, {_slots(metric)}
+FROM (SELECT *, row_number() OVER (ORDER BY bucket) AS slot FROM asset_totals WHERE {_of(granularity, slice_name)})
+HAVING count(*) > 0""", "asset_totals")
 
 
-def _matrix_prefix(metric: str, granularity: str, slice_name: str) -> str:
-    col, typ = _METRIC[metric]
-    ctes = [PROCESSED, _top(granularity), TRACE_DEDUP, _base(granularity),
-            _summary_cte(granularity, slice_name), _matrix_ctes(col, typ)]
-    if metric == "share":
-        ctes.append(_share_cte())
-    return _with(*ctes)
+def asset_display(granularity: str, slice_name: str) -> str:
+    lines = " UNION ALL ".join(f"SELECT {_q(label)} AS metric, bucket, {_grouped(c)} AS text FROM asset_totals "
+                               f"WHERE {_of(granularity, slice_name)}" for c, label in ASSET_LABELS.items())
+    return _select(lines, "asset_totals")
 
 
-def matrix_long(metric: str, granularity: str, slice_name: str) -> str:
-    table = "share" if metric == "share" else "matrix"
-    return _matrix_prefix(metric, granularity, slice_name) + f"\nSELECT * FROM {table} ORDER BY bucket, status_ord"
+_SLICE_LIST = f"(SELECT unnest([{_in_list(SLICES)}]) AS slice)"
 
 
-def matrix_wide(metric: str, granularity: str, slice_name: str) -> str:
-    table = "share" if metric == "share" else "matrix"
-    slots = ", ".join(f"MAX(CASE WHEN slot = {i} THEN value END) AS p{i}" for i in range(1, N_BUCKETS + 1))
-    return (_matrix_prefix(metric, granularity, slice_name) + f""",
-slotted AS (
-  SELECT x.*, (SELECT COUNT(DISTINCT bucket) FROM summary s WHERE s.bucket <= x.bucket) AS slot
-  FROM {table} x
-)
-SELECT status_ord, status, {slots} FROM slotted GROUP BY status_ord, status ORDER BY status_ord""")
+def slice_status(granularity: str = WEEKLY) -> str:
+    return _select(f"SELECT slice, slice IN (SELECT slice FROM summary WHERE {_of(granularity)}) AS has_data FROM {_SLICE_LIST}", "summary")
 
 
-def matrix_display(granularity: str, slice_name: str) -> str:
-    def grouped(v: str) -> str:
-        return f"replace(format('{{:,.0f}}', CAST({v} AS DOUBLE)), ',', '.')"
-    count_m = _matrix_ctes("pre_invoices", "BIGINT")
-    cost_m = _matrix_ctes("cost", "DECIMAL(28,2)").replace("norm AS", "norm_c AS").replace(
-        "FROM norm", "FROM norm_c").replace("agg AS", "agg_c AS").replace("FROM agg", "FROM agg_c").replace(
-        "JOIN agg a", "JOIN agg_c a").replace("spine(status_ord", "spine_c(status_ord").replace(
-        "CROSS JOIN spine s", "CROSS JOIN spine_c s").replace("buckets AS", "buckets_c AS").replace(
-        "FROM buckets b", "FROM buckets_c b").replace("matrix AS", "matrix_c AS")
-    prefix = _with(PROCESSED, _top(granularity), TRACE_DEDUP, _base(granularity),
-                   _summary_cte(granularity, slice_name), count_m, _share_cte(), cost_m)
-    return prefix + f"""
-SELECT m.bucket, m.status_ord, m.status,
-       CASE WHEN m.value = 0 THEN '-' ELSE {grouped("m.value")} END AS count_text,
-       CASE WHEN m.status = 'TOTAL' THEN '100%' WHEN s.value = 0 THEN '-' ELSE format('{{:.1f}}%', s.value) END AS share_text,
-       CASE WHEN c.value = 0 THEN '-' ELSE 'R$ ' || {grouped("c.value")} END AS cost_text
-FROM matrix m
-JOIN share s ON s.bucket = m.bucket AND s.status_ord = m.status_ord
-JOIN matrix_c c ON c.bucket = m.bucket AND c.status_ord = m.status_ord
-ORDER BY m.bucket, m.status_ord"""
+def report_row_counts() -> str:
+    # the asset relations stand before the summary in the chain
+    return _select(f"""
+SELECT s.slice, r.report, r.granularity, count(x.slice) AS rows
+FROM {_SLICE_LIST} AS s, (SELECT * FROM (VALUES ('status_summary'), ('asset_counts')) AS a(report), (VALUES ('weekly'), ('monthly')) AS g(granularity)) AS r
+LEFT JOIN (SELECT 'status_summary' AS report, granularity, slice FROM summary
+           UNION ALL SELECT 'asset_counts', granularity, slice FROM asset_totals) AS x
+  ON x.report = r.report AND x.granularity = r.granularity AND x.slice = s.slice
+GROUP BY ALL""", "summary")
 
 
-def asset_counts(granularity: str, slice_name: str) -> str:
-    return (_with(PROCESSED, _top(granularity), _rv_base(granularity)) + f"""
-SELECT bucket, COUNT(DISTINCT route) AS routes, COUNT(DISTINCT vehicle) AS vehicles
-FROM payload_rv {_slice_where(slice_name)}
-GROUP BY bucket ORDER BY bucket""")
+def _gated(relation: str, columns: str) -> str:
+    return f"SELECT {columns} FROM {relation} WHERE slice IN (SELECT slice FROM summary WHERE granularity = 'weekly')"
 
 
-def asset_counts_all_slices(granularity: str) -> str:
-    return (_with(PROCESSED, _top(granularity), _rv_base(granularity)) + """
-SELECT slice, bucket, COUNT(DISTINCT route) AS routes, COUNT(DISTINCT vehicle) AS vehicles FROM (
-  SELECT 'all' AS slice, * FROM payload_rv
-  UNION ALL
-  SELECT pre_invoice_type AS slice, * FROM payload_rv WHERE pre_invoice_type IN ('regular', 'complementary')
-) GROUP BY slice, bucket ORDER BY slice, bucket""")
+def suite_status_matrix() -> str:
+    return _select(_gated("matrix", "granularity, slice, bucket, status_ord, status, n AS count, share, money AS cost"), "matrix")
 
 
-def slice_status(granularity: str = WEEKLY) -> str:
-    arms = " UNION ALL ".join(
-        f"SELECT {_q(s)} AS slice, EXISTS (SELECT 1 FROM summary {_slice_where(s)}) AS has_data" for s in SLICES)
-    return _with(PROCESSED, _top(granularity), TRACE_DEDUP, _base(granularity),
-                 _summary_cte(granularity, ALL_SLICE)) + f"\n{arms}"
+def suite_asset_counts() -> str:
+    return _select(_gated("asset_totals", "*"), "summary")
 
 
 # -- building blocks --------------------------------------------------------------
 
 def period_names() -> str:
-    return _with(PROCESSED) + "\nSELECT DISTINCT period_name FROM processed"
+    return _select("SELECT DISTINCT period_name FROM events", "events")
 
 
 def top_buckets(granularity: str) -> str:
-    return _with(PROCESSED, _top(granularity)) + "\nSELECT bucket FROM top_buckets"
+    return _select(f"SELECT bucket FROM recent WHERE {_of(granularity)}", "recent")
 
 
 def latest_version_rows() -> str:
-    return _with(PROCESSED) + """
-SELECT c.transaction_id, c.version_id, c.period_name, c.cost_amt, c.pre_invoice_type,
-       c.pre_invoice_id, c.provider_id
-FROM processed c JOIN latest lv ON c.transaction_id = lv.transaction_id AND c.version_id = lv.max_version"""
+    return _select("SELECT * EXCLUDE (elements) FROM newest", "newest")
 
 
 def trace_latest() -> str:
-    return _with(TRACE_DEDUP) + "\nSELECT preinvoice_id, status FROM trace_dedup"
+    return _select("SELECT preinvoice_id, seen.status AS status FROM last_seen", "last_seen")
 
 
 def trace_latest_detail() -> str:
-    return _with(TRACE_DETAIL) + """
-SELECT preinvoice_id, status, invoice_id, file_status, file_accounting_document, last_update, invoice_amount
-FROM trace_detail"""
+    return _select("SELECT preinvoice_id, unnest(seen) FROM last_seen", "last_seen").replace(
+        "SELECT preinvoice_id, unnest(seen) FROM last_seen",
+        "SELECT preinvoice_id, seen.status, seen.invoice_id, seen.file_status, seen.file_accounting_document, seen.last_update, "
+        "seen.invoice_amount FROM last_seen")
 
 
 def ledger_enriched(granularity: str) -> str:
-    return _with(PROCESSED, _top(granularity), TRACE_DEDUP, _base(granularity)) + """
-SELECT b.transaction_id, b.bucket, b.pre_invoice_type, b.pre_invoice_id, b.provider_id, b.provider_type,
-       b.cost_amt, p.route, b.status
-FROM base b LEFT JOIN payload_kv p ON b.transaction_id = p.transaction_id"""
+    return _select("SELECT transaction_id, bucket, pre_invoice_type, pre_invoice_id, provider_id, provider_type, cost_amt, route, status "
+                   f"FROM routed WHERE {_of(granularity)}", "routed")
 
 
 def payload_route(granularity: str = WEEKLY) -> str:
-    return _with(PROCESSED, _top(granularity), TRACE_DEDUP, _base(granularity)) + \
-        "\nSELECT transaction_id, route FROM payload_kv"
+    return _select(f"SELECT transaction_id, max(own_route) AS route FROM placed WHERE {_of(granularity)} "
+                   "GROUP BY transaction_id HAVING max(len(elements)) > 0", "placed")
 
 
 def payload_assets(granularity: str) -> str:
-    return _with(PROCESSED, _top(granularity), _rv_base(granularity)) + \
-        "\nSELECT transaction_id, bucket, pre_invoice_type, route, vehicle FROM payload_rv"
+    return _select(f"SELECT * EXCLUDE (granularity) FROM assets WHERE {_of(granularity)}", "assets")
 
 
 def status_normalised(granularity: str = WEEKLY, slice_name: str = ALL_SLICE) -> str:
-    return (_with(PROCESSED, _top(granularity), TRACE_DEDUP, _base(granularity),
-                  _summary_cte(granularity, slice_name)) + f"""
-SELECT *, CASE WHEN status IS NULL THEN 'NULL' WHEN status IN ({OTHERS}) THEN 'Outros' ELSE status END AS status_norm
-FROM summary""")
+    return _select(f"SELECT * EXCLUDE (granularity, slice, label), label AS status_norm FROM labelled WHERE {_of(granularity, slice_name)}", "labelled")
 
 
 # -- pending, ranking ------------------------------------------------------------
 
-DETAIL = f"""
-detail AS (
-  SELECT
-    c.period_name AS period,
-    substr(c.period_name, 1, 6) AS month,
-    c.pre_invoice_type AS pre_invoice_type,
-    c.pre_invoice_id AS pre_invoice_id,
-    prv.id AS provider_id,
-    prv.name AS provider_name,
-    prv.type AS provider_type,
-    CASE WHEN t.status IS NULL THEN 'NULL' ELSE 'Outros' END AS status_group,
-    t.status AS status,
-    CAST(SUM(c.cost_amt) AS DECIMAL(28,2)) AS cost,
-    COUNT(DISTINCT c.transaction_id) AS transactions,
-    MAX(CAST(t.invoice_id AS VARCHAR)) AS invoice_id,
-    MAX(t.file_status) AS file_status,
-    MAX(t.file_accounting_document) AS accounting_document,
-    MAX(t.invoice_amount) AS invoice_amount,
-    MAX(t.last_update) AS last_update
-  FROM processed c
-  JOIN latest lv ON c.transaction_id = lv.transaction_id AND c.version_id = lv.max_version
-  JOIN provider prv ON c.provider_id = prv.id
-  LEFT JOIN trace_detail t ON CAST(c.pre_invoice_id AS VARCHAR) = t.preinvoice_id
-  WHERE prv.type IN ({ACCEPTED})
-    AND substr(c.period_name, 1, 4) = '{DETAIL_YEAR}'
-    AND ((t.status IS NULL AND prv.type <> 'TAC-CPF') OR t.status IN ({OTHERS}))
-  GROUP BY ALL
-)"""
-
-
 def pending_detail() -> str:
-    return _with(PROCESSED, TRACE_DETAIL, DETAIL) + "\nSELECT * FROM detail ORDER BY month, period, cost DESC"
+    return _select("SELECT * FROM detail", "detail")
 
 
 def pending_by_provider() -> str:
-    return _with(PROCESSED, TRACE_DETAIL, DETAIL) + """
+    return _select("""
 SELECT provider_id, provider_name, provider_type, period, month, status_group, status,
-       COUNT(DISTINCT pre_invoice_id) AS pre_invoices,
-       CAST(COALESCE(SUM(cost), 0) AS DECIMAL(28,2)) AS cost,
-       CAST(COALESCE(SUM(transactions), 0) AS BIGINT) AS transactions
-FROM detail GROUP BY ALL ORDER BY cost DESC"""
+       count(DISTINCT pre_invoice_id) AS pre_invoices, coalesce(sum(cost), 0)::DECIMAL(28,2) AS cost,
+       coalesce(sum(transactions), 0)::BIGINT AS transactions
+FROM detail GROUP BY ALL""", "detail")
 
 
 def pending_summary() -> str:
-    return _with(PROCESSED, TRACE_DETAIL, DETAIL) + """
-SELECT COUNT(*) AS rows, COUNT(DISTINCT pre_invoice_id) AS pre_invoices, COUNT(DISTINCT provider_id) AS providers
-FROM detail"""
-
-
-EXCLUDED = f"""
-last_periods AS (
-  SELECT DISTINCT period FROM detail WHERE period IS NOT NULL ORDER BY period DESC LIMIT {DROPPED_PERIODS}
-),
-excluded AS (
-  SELECT period FROM last_periods WHERE (SELECT COUNT(*) FROM last_periods) >= {DROPPED_PERIODS}
-),
-top_base AS (
-  SELECT * FROM detail d WHERE NOT EXISTS (SELECT 1 FROM excluded e WHERE e.period = d.period)
-),
-by_group AS (
-  SELECT provider_id, provider_name, provider_type, status_group,
-         COUNT(DISTINCT pre_invoice_id) AS pi, COALESCE(SUM(cost), 0) AS cost
-  FROM top_base GROUP BY ALL
-),
-totals AS (
-  SELECT provider_id, provider_name, provider_type,
-         COUNT(DISTINCT pre_invoice_id) AS pre_invoices,
-         CAST(COALESCE(SUM(cost), 0) AS DECIMAL(28,2)) AS cost,
-         CAST(COALESCE(SUM(transactions), 0) AS BIGINT) AS transactions
-  FROM top_base GROUP BY ALL
-),
-merged AS (
-  SELECT t.provider_id, t.provider_name, t.provider_type,
-         CAST(COALESCE(n.pi, 0) AS BIGINT) AS pre_invoices_null,
-         CAST(COALESCE(n.cost, 0) AS DECIMAL(28,2)) AS cost_null,
-         CAST(COALESCE(o.pi, 0) AS BIGINT) AS pre_invoices_others,
-         CAST(COALESCE(o.cost, 0) AS DECIMAL(28,2)) AS cost_others,
-         t.pre_invoices, t.cost, t.transactions
-  FROM totals t
-  LEFT JOIN (SELECT provider_id, pi, cost FROM by_group WHERE status_group = 'NULL') n ON n.provider_id = t.provider_id
-  LEFT JOIN (SELECT provider_id, pi, cost FROM by_group WHERE status_group = 'Outros') o ON o.provider_id = t.provider_id
-),
-ranking AS (
-  SELECT m.*,
-         CASE WHEN g.total > 0 THEN CAST(m.cost AS DOUBLE) / CAST(g.total AS DOUBLE) ELSE 0.0 END AS cost_share
-  FROM merged m, (SELECT SUM(cost) AS total FROM merged) g
-)"""
+    return _select("SELECT count(*) AS rows, count(DISTINCT pre_invoice_id) AS pre_invoices, "
+                   "count(DISTINCT provider_id) AS providers FROM detail", "detail")
 
 
 def ranking_excluded_periods() -> str:
-    return _with(PROCESSED, TRACE_DETAIL, DETAIL, EXCLUDED) + "\nSELECT period FROM excluded"
+    return _select("SELECT period FROM dropped", "dropped")
 
 
 def provider_ranking() -> str:
-    return _with(PROCESSED, TRACE_DETAIL, DETAIL, EXCLUDED) + \
-        "\nSELECT * FROM ranking ORDER BY cost DESC, provider_id"
+    return _select("SELECT * FROM ranking", "ranking")
 
 
-def provider_ranking_total() -> str:
-    return _with(PROCESSED, TRACE_DETAIL, DETAIL, EXCLUDED) + """
-SELECT CAST(COALESCE(SUM(pre_invoices_null), 0) AS BIGINT) AS pre_invoices_null,
-       CAST(COALESCE(SUM(cost_null), 0) AS DECIMAL(28,2)) AS cost_null,
-       CAST(COALESCE(SUM(pre_invoices_others), 0) AS BIGINT) AS pre_invoices_others,
-       CAST(COALESCE(SUM(cost_others), 0) AS DECIMAL(28,2)) AS cost_others,
-       CAST(COALESCE(SUM(pre_invoices), 0) AS BIGINT) AS pre_invoices,
-       CAST(COALESCE(SUM(cost), 0) AS DECIMAL(28,2)) AS cost,
-       1.0::DOUBLE AS cost_share
-FROM ranking"""
+def provider_ranking_positions() -> str:
+    return _select("SELECT *, row_number() OVER (ORDER BY cost DESC, provider_id, provider_name, provider_type, cost_null, "
+                   "pre_invoices_null, cost_others, pre_invoices_others) AS position FROM ranking", "ranking")
+
 
+def provider_ranking_total() -> str:
+    sums = ", ".join(f"coalesce(sum({c}), 0)::{'DECIMAL(28,2)' if c.startswith('cost') else 'BIGINT'} AS {c}"
+                     for c in ("pre_invoices_null", "cost_null", "pre_invoices_others", "cost_others", "pre_invoices", "cost"))
+    return _select(f"SELECT {sums}, 1.0::DOUBLE AS cost_share FROM ranking", "ranking")

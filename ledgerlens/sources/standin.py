@@ -12,11 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import hashlib
-import os
-
-from ledgerlens.session import ensure_checkpoint_dir
-from ledgerlens.sources.tables import LedgerTables, balanced, read_ledger_tables
+from ledgerlens.session import write_table
+from ledgerlens.sources.tables import LedgerTables
 
 # Fixed values of the derivation (FIXTURES.md section 2), in its order.
 TRACE_STATUS_BY_CODE = (
@@ -62,6 +59,8 @@ def standin_cost_event(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     period = (F.when(okey_mod == 0, F.lit('{"name":null}'))
               .when(okey_mod == 1, F.lit("not json"))
               .when(okey_mod == 2, F.lit('{"name":{"x":1}}'))
+              .when(okey_mod == 3, F.concat(F.lit('{"name":"'), name, F.lit('"} trailing')))
+              .when(okey_mod == 4, F.concat(F.lit('{"name":"'), name, F.lit('","name":"other"}')))
               .otherwise(F.concat(F.lit('{"name":"'), name, F.lit('"}'))))
     pk = F.col("l_partkey")
     pmod = pk % 11
@@ -111,40 +110,19 @@ def standin_provider(supplier: DataFrame) -> DataFrame:
                            _pick(F.col("s_nationkey") % 5, PROVIDER_TYPE_BY_NATION_MOD5).alias("type"))
 
 
-def derive_standin_tables(spark: SparkSession, sf_dir: str) -> LedgerTables:
-    """The stand-in inputs as lazy derivations of the driver's tables."""
+def standin_tables(spark: SparkSession, sf_dir: str, storage: str | None = None) -> LedgerTables:
+    """The stand-in inputs as lazy derivations of the driver's tables.
+
+    With ``storage`` the three tables are written there once and read back:
+    what a production ledger is, stored and scanned with column pruning and
+    pushed filters. Nothing is written unless the caller names the folder.
+    """
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    return LedgerTables(
-        cost_event=standin_cost_event(balanced(read("lineitem"), "l_orderkey"), read("orders")),
-        trace_event=standin_trace_event(balanced(read("events"))),
-        provider=standin_provider(read("supplier")),
-    )
-
-
-_INGESTED: dict[tuple[str, str], LedgerTables] = {}
-
-
-def standin_tables(spark: SparkSession, sf_dir: str, ingest: bool = True) -> LedgerTables:
-    """The stand-in ledger tables for ``sf_dir``.
-
-    With ``ingest`` (the default) the derivation runs once per application and
-    is written as parquet tables under the session's checkpoint folder; later
-    calls read those tables. That is what the reports see in production - a
-    stored ledger, scanned with column pruning and the ``PROCESSED`` predicate
-    pushed into the reader - rather than a re-derivation from lineitem in every
-    branch of every plan. The full source tables are used; nothing is sampled.
-    """
-    if not ingest:
-        return derive_standin_tables(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _INGESTED:
-        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/standin-{hashlib.sha1(key[1].encode()).hexdigest()[:12]}"
-        derived = derive_standin_tables(spark, sf_dir)
-        files = spark.sparkContext.defaultParallelism
-        derived.cost_event.repartition(files, "transaction_id").write.mode("overwrite").parquet(f"{root}/cost_event")
-        derived.trace_event.repartition(files, "preinvoice_id").write.mode("overwrite").parquet(f"{root}/trace_event")
-        derived.provider.coalesce(1).write.mode("overwrite").parquet(f"{root}/provider")
-        _INGESTED[key] = read_ledger_tables(spark, f"{root}/cost_event", f"{root}/trace_event", f"{root}/provider")
-    return _INGESTED[key]
+    tables = LedgerTables(standin_cost_event(read("lineitem"), read("orders")), standin_trace_event(read("events")),
+                          standin_provider(read("supplier")))
+    if storage is None:
+        return tables
+    return LedgerTables(*(write_table(df, f"{storage.rstrip('/')}/{name}") for name, df in (
+        ("cost_event", tables.cost_event), ("trace_event", tables.trace_event), ("provider", tables.provider))))

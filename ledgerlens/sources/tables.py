@@ -32,7 +32,7 @@ TRACE_EVENT_SCHEMA = T.StructType([
     T.StructField("file_status", T.StringType()),
     T.StructField("file_accounting_document", T.StringType()),
     T.StructField("invoice_amount", T.DecimalType(18, 2)),
-    T.StructField("seq", T.LongType()),               # deterministic tie-break for equal last_update
+    T.StructField("seq", T.LongType()),               # tie-break where the log has one; else NULL
 ])
 
 PROVIDER_SCHEMA = T.StructType([
@@ -42,23 +42,6 @@ PROVIDER_SCHEMA = T.StructType([
 ])
 
 
-def balanced(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan over the cluster when it has fewer input splits than
-    ``defaultParallelism`` (a few large unsplittable files, e.g. one parquet
-    row group). The repartition is by ``keys`` when given, so a following
-    join or aggregate on them can reuse it. A scan that is already split
-    wider than the cluster is returned unchanged: at production size this is
-    a no-op and adds no shuffle. Only split planning runs here, no job.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("ledgerlens.balanceInputSplits", "true") != "true":
-        return df
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
-
-
 @dataclass(frozen=True)
 class LedgerTables:
     """One consistent set of the three inputs every report is built from."""
@@ -73,13 +56,7 @@ def read_ledger_tables(spark: SparkSession, cost_event_path: str, trace_event_pa
     """Read real ledger tables stored as files (parquet by default)."""
     reader = spark.read.format(fmt)
     return LedgerTables(
-        cost_event=balanced(reader.schema(COST_EVENT_SCHEMA).load(cost_event_path), "transaction_id"),
-        trace_event=balanced(reader.schema(TRACE_EVENT_SCHEMA).load(trace_event_path), "preinvoice_id"),
+        cost_event=reader.schema(COST_EVENT_SCHEMA).load(cost_event_path),
+        trace_event=reader.schema(TRACE_EVENT_SCHEMA).load(trace_event_path),
         provider=reader.schema(PROVIDER_SCHEMA).load(provider_path),
     )
-
-
-def tables_from_catalog(spark: SparkSession, cost_event: str, trace_event: str,
-                        provider: str) -> LedgerTables:
-    """Use tables already registered in the session catalog."""
-    return LedgerTables(spark.table(cost_event), spark.table(trace_event), spark.table(provider))
