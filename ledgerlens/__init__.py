@@ -2,8 +2,8 @@
 
 Layout
 ------
-``sources``    readers for the ledger tables, the stand-in ledger built from the
-               driver's TPC-H-like tables, and the report sinks.
+``sources``    readers for the ledger tables, and the stand-in ledger built from
+               the driver's TPC-H-like tables.
 ``functions``  Column builders (guarded JSON extraction, status rules, shares,
                display text). All built-in Spark expressions, no Python UDFs.
 ``operators``  DataFrame -> DataFrame building blocks (latest version, trace
@@ -11,7 +11,6 @@ Layout
                pending detail, provider ranking).
 ``plans``      Composed reports, the one-snapshot report suite, and the query
                catalogue used by ``__spark_entry__``.
-``streaming``  Intentionally empty: the analysed job has no streaming work.
 """
 
 from ledgerlens.config import DEFAULT_CONFIG, LedgerConfig

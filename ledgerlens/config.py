@@ -54,6 +54,8 @@ COMPLEMENTARY = "complementary"
 ALL_SLICE = "all"
 SLICES = (REGULAR, COMPLEMENTARY, ALL_SLICE)
 
+ASSET_LABELS = {"routes": "Rotas distintas", "vehicles": "Veiculos distintos"}
+
 ROUTE_KEY = "external_route_id"
 VEHICLE_KEY = "vehicle_id"
 

@@ -1,2 +1,2 @@
 """Column builders. Every function returns a ``pyspark.sql.Column`` made of
-built-in expressions, so it stays inside whole-stage codegen."""
+built-in expressions; there is no Python code in the row path."""

@@ -2,7 +2,8 @@
 
 Counts: ``-`` for 0, else thousands grouped with '.'; costs: ``-`` for 0,
 else ``R$ `` and the whole amount (half-even) grouped with '.'; shares:
-``100%`` on TOTAL, ``-`` for 0, else one decimal and ``%``.
+``100%`` on TOTAL, ``-`` for 0, else one decimal and ``%``. Asset numbers are
+grouped like counts, 0 included.
 """
 
 from __future__ import annotations
@@ -13,17 +14,17 @@ from pyspark.sql import functions as F
 from ledgerlens.config import TOTAL_LABEL
 
 
-def _grouped(value: Column) -> Column:
+def whole_text(value: Column) -> Column:
     # format_number rounds half-even and groups with ','; the report groups with '.'.
     return F.translate(F.format_number(value, 0), ",", ".")
 
 
 def count_text(value: Column) -> Column:
-    return F.when(value == 0, F.lit("-")).otherwise(_grouped(value))
+    return F.when(value == 0, F.lit("-")).otherwise(whole_text(value))
 
 
 def cost_text(value: Column) -> Column:
-    return F.when(value == 0, F.lit("-")).otherwise(F.concat(F.lit("R$ "), _grouped(value)))
+    return F.when(value == 0, F.lit("-")).otherwise(F.concat(F.lit("R$ "), whole_text(value)))
 
 
 def share_text(value: Column, status: Column) -> Column:

@@ -13,6 +13,8 @@ so we parse once into a VARIANT and look at the node's type before casting.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,49 +34,44 @@ def variant_scalar(v: Column, path: str) -> Column:
     return F.when(~_is_container(node), F.try_variant_get(node, "$", "string"))
 
 
-def json_scalar(json_text: Column | str, path: str) -> Column:
-    """``JSON_EXTRACT_SCALAR(json_text, path)`` over a STRING column.
+def _well_formed(json_text: Column) -> Column:
+    """Whether the whole text is one JSON value: inside brackets it must parse
+    as an array of one element (a streaming extract alone would not notice
+    text after the value)."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    return F.size(F.from_json(F.concat(F.lit("["), json_text, F.lit("]")), "array<string>", strict)) == 1
+
+
+def json_scalar(json_text: Column | str, field: str) -> Column:
+    """``JSON_EXTRACT_SCALAR(json_text, '$.<field>')`` over a STRING column.
 
-    Fast path: ``get_json_object`` (streaming parser, about twice the speed of
-    building a VARIANT; it keeps the first of duplicate keys and the number
-    text as a warehouse extract does). It returns an object or array as JSON
-    text, so only when the text starts with ``{`` or ``[`` - a container, or
-    a string that merely looks like one - is the exact VARIANT type check
-    evaluated (CASE branches are lazy), and a container gives NULL.
+    Malformed text gives NULL, of repeated keys the first counts. A text of the
+    one usual shape, an object with just this field and a plain string, is
+    taken apart by one regular expression; all others (CASE branches are lazy)
+    by the JSON parser. A value that starts like a container is NULL unless the
+    exact type check finds a string there; where repeated keys keep that check
+    from parsing, it counts as a container.
     """
     col = F.col(json_text) if isinstance(json_text, str) else json_text
+    blank = r"[ \t\r\n]*"
+    usual = rf'\A{blank}\{{{blank}"{re.escape(field)}"{blank}:{blank}"([^"\\\x00-\x1f]*)"{blank}\}}{blank}\z'
+    path = f"$.{field}"
     text = F.get_json_object(col, path)
-    looks_nested = F.substring(text, 1, 1).isin("{", "[")
     container = _is_container(F.try_variant_get(F.try_parse_json(col), path, "variant"))
-    exact = F.when(F.coalesce(container, F.lit(False)), F.lit(None).cast("string")).otherwise(text)
-    return F.when(looks_nested, exact).otherwise(text)
-
-
-def guard_scalar(text: Column, json_text: Column, path: str) -> Column:
-    """Turn an extracted text into ``JSON_EXTRACT_SCALAR`` semantics: when it
-    starts with ``{`` or ``[`` (a container, or a string that merely looks
-    like one) the exact VARIANT type check decides; a container gives NULL.
-    The check sits in a nested CASE branch, so it runs only for those rows."""
-    looks_nested = F.substring(text, 1, 1).isin("{", "[")
-    container = _is_container(F.try_variant_get(F.try_parse_json(json_text), path, "variant"))
-    exact = F.when(F.coalesce(container, F.lit(False)), F.lit(None).cast("string")).otherwise(text)
-    return F.when(looks_nested, exact).otherwise(text)
+    plain = F.when(~F.substring(text, 1, 1).isin("{", "["), text).otherwise(
+        F.when(~F.coalesce(container, F.lit(True)), text))
+    return F.when(col.rlike(usual), F.regexp_extract(col, usual, 1)).when(_well_formed(col), plain)
 
 
 def with_json_field(df, json_col: str, field: str, out_col: str):
-    """Add ``out_col`` = ``JSON_EXTRACT_SCALAR(json_col, '$.<field>')`` for a
-    top-level field, parsed once per row.
-
-    ``json_tuple`` is a generator: filters on its output (an inferred
-    ``IS NOT NULL`` from a join, a year prefix) cannot be pushed below it, so
-    the text is parsed exactly once. A projected expression would instead be
-    copied into every pushed-down filter and parsed again. It is also the
-    fastest of Spark's JSON extractors. With duplicate keys the last one wins.
+    """Add ``out_col`` = ``json_scalar(json_col, field)``, parsed once per row.
+
+    The value passes through a generator: filters on it (an ``IS NOT NULL``
+    that a join implies, a year prefix) stay above, while a projected
+    expression would be copied into every pushed-down filter and evaluated
+    again there.
     """
-    tmp = f"_{out_col}_text"
-    with_text = df.select("*", F.json_tuple(F.col(json_col), field).alias(tmp))
-    return (with_text.withColumn(out_col, guard_scalar(F.col(tmp), F.col(json_col), f"$.{field}"))
-            .drop(tmp))
+    return df.select("*", F.explode(F.array(json_scalar(json_col, field))).alias(out_col))
 
 
 def json_array(json_text: Column | str, path: str = PAYLOAD_PATH) -> Column:
@@ -82,7 +79,8 @@ def json_array(json_text: Column | str, path: str = PAYLOAD_PATH) -> Column:
 
     NULL when the path is missing, is not an array, or the text is malformed.
     Elements of any JSON type are kept (a non-object element does not void the
-    array, unlike a typed ``from_json``).
+    array, unlike a typed ``from_json``). An object that repeats a key counts as
+    malformed here.
     """
     col = F.col(json_text) if isinstance(json_text, str) else json_text
     return F.try_variant_get(F.try_parse_json(col), path, "array<variant>")

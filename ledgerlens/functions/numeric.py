@@ -1,4 +1,4 @@
-"""Numeric helpers."""
+"""Numeric helpers."""
 
 from __future__ import annotations
 
@@ -14,11 +14,6 @@ def cost_sum(c: Column | str) -> Column:
     return F.sum(col).cast(COST_SUM_TYPE)
 
 
-def zero_if_null(c: Column) -> Column:
-    """NULL -> 0 (a dataframe sum over only missing values is 0)."""
-    return F.coalesce(c, F.lit(0))
-
-
 def share_pct_1dp(part: Column, total: Column) -> Column:
     """P10: ``round(part / total * 100, 1)`` with half-to-even on the binary
     value (``rint(v * 10) / 10``, the same float steps as a numpy round);

@@ -13,15 +13,16 @@ def period_names(processed: DataFrame) -> DataFrame:
     return processed.select("period_name").distinct()
 
 
-def top_buckets(processed: DataFrame, granularity: str, n: int) -> DataFrame:
-    """The ``n`` greatest distinct buckets over all processed rows,
-    before version choice and provider filters. NULL sorts last, so it takes a
-    slot only when fewer than ``n`` real names exist (and then never joins).
+def top_buckets(names: DataFrame, granularity: str, n: int) -> DataFrame:
+    """The ``n`` greatest distinct buckets of the period names of all
+    processed rows, before version choice and provider filters. NULL sorts
+    last, so it takes a slot only when fewer than ``n`` real names exist (and
+    then never joins).
 
     Plan: partial distinct per task -> one small exchange ->
     ``TakeOrderedAndProject``; no global sort of the ledger.
     """
-    return (processed.select(bucket_of(F.col("period_name"), granularity).alias("bucket"))
+    return (names.select(bucket_of(F.col("period_name"), granularity).alias("bucket"))
             .distinct()
             .orderBy(F.col("bucket").desc_nulls_last())
             .limit(n))

@@ -6,78 +6,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ledger import only_processed
+
 TRACE_DETAIL_COLUMNS = ("status", "invoice_id", "file_status", "file_accounting_document",
                         "last_update", "invoice_amount")
+#: Order of trace rows: the time, then the log's own sequence where there is
+#: one, then everything else, so that equal times have one winner in any input order.
+RECENCY = ("last_update", "seq", "invoice_id", "status", "file_status", "file_accounting_document", "invoice_amount")
 
 
-def latest_versions(processed: DataFrame) -> DataFrame:
+def latest_versions(cost_event: DataFrame) -> DataFrame:
     """A1: ``MAX(version_id)`` per transaction over all processed rows.
 
-    Reads two narrow columns of the whole ledger; the hash aggregate combines
+    Reads three narrow columns of the whole ledger; the aggregate combines
     map-side, so a transaction with a huge number of versions is reduced to
     one row per task before the shuffle.
     """
-    return (processed.groupBy("transaction_id")
-            .agg(F.max("version_id").alias("max_version")))
+    return (only_processed(cost_event).groupBy("transaction_id")
+            .agg(F.max("version_id").alias("version_id")))
 
 
-def keep_latest(rows: DataFrame, latest: DataFrame) -> DataFrame:
-    """Rows at their transaction's max processed version; ties all stay.
-
-    The join key is ``transaction_id`` alone, so the result stays hash
-    partitioned by transaction and the per-transaction payload aggregate that
-    follows needs no second exchange. The version test is ``>=``: every row
-    here fed the max, so ``>=`` holds exactly when the row is at the max, and
-    as a non-equality it stays a join condition rather than a second key.
-    NULL transaction ids never match; all-NULL versions drop.
+def collapse(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per (transaction, version, ``keys``): cost summed, payload values
+    maxed. The partial aggregate turns tied copies into one row per task before
+    anything is shuffled. Ties still add up, because the version is a key.
     """
-    return (rows.join(latest, "transaction_id", "inner")
-            .where(F.col("version_id") >= F.col("max_version"))
-            .drop("max_version"))
+    values = [F.sum("cost_amt").alias("cost_amt")]
+    values += [F.max(c).alias(c) for c in ("row_route", "row_vehicle", "payload_elements") if c in rows.columns]
+    return rows.groupBy("transaction_id", "version_id", *keys).agg(*values)
 
 
-def latest_by_window(rows: DataFrame) -> DataFrame:
-    """J1 alternative: ``max(version) over (partition by transaction)``.
+def keep_latest(rows: DataFrame, latest: DataFrame) -> DataFrame:
+    """Rows at their transaction's max processed version; ties all stay.
 
-    One scan but it shuffles every processed row at full width before any
-    bucket filter can apply; kept for the bench comparison.
+    The join is on the transaction *and* the version: the latest side has one
+    row per transaction, and the versions of a hot transaction are spread over
+    all tasks, where all but one find no partner. NULL transaction ids and NULL
+    versions never match.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy("transaction_id")
-    return (rows.withColumn("max_version", F.max("version_id").over(w))
-            .where(F.col("transaction_id").isNotNull() & (F.col("version_id") == F.col("max_version")))
-            .drop("max_version"))
-
-
-def _recency(trace: DataFrame):
-    # DESC on last_update with NULLs last, then the higher seq: a struct compares
-    # field by field with NULL lowest, so max() of it is exactly that order.
-    return F.struct(F.col("last_update"), F.col("seq"))
+    return rows.join(latest, ["transaction_id", "version_id"], "inner")
 
 
 def trace_latest(trace: DataFrame, columns: tuple[str, ...] = ("status",)) -> DataFrame:
     """One row per ``preinvoice_id`` carrying ``columns`` of its most
     recent event (``ROW_NUMBER() ... ORDER BY last_update DESC = 1``).
 
-    Written as ``max_by`` so that it is a hash aggregate with map-side
-    combine: a pre-invoice with millions of log rows sends one row per task
-    through the shuffle. A NULL status on the winning row is kept.
+    Written as ``max_by``, an aggregate with map-side combine (a sort aggregate,
+    as its buffer is a struct): a pre-invoice with millions of log rows sends
+    one row per task through the shuffle. A struct compares field by field with
+    NULL lowest, so NULL times rank last. A NULL status on the winning row is kept.
     """
-    picked = F.max_by(F.struct(*[F.col(c) for c in columns]), _recency(trace))
+    picked = F.max_by(F.struct(*[F.col(c) for c in columns]), F.struct(*[F.col(c) for c in RECENCY]))
     return (trace.groupBy("preinvoice_id").agg(picked.alias("t"))
             .select("preinvoice_id", *[F.col(f"t.{c}").alias(c) for c in columns]))
 
 
-def trace_latest_by_window(trace: DataFrame, columns: tuple[str, ...] = ("status",)) -> DataFrame:
-    """W1 as written: ``row_number()`` window + filter (Spark plans a
-    ``WindowGroupLimit``). Kept for the bench comparison."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("preinvoice_id").orderBy(F.col("last_update").desc_nulls_last(),
-                                                    F.col("seq").desc_nulls_last())
-    return (trace.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)
-            .select("preinvoice_id", *columns))
-
-
 def with_trace(rows: DataFrame, latest_trace: DataFrame) -> DataFrame:
     """Left join on the pre-invoice id cast to string.
 

@@ -32,6 +32,11 @@ def bucket_of(period_name: Column, granularity: str) -> Column:
     raise ValueError(f"unknown granularity {granularity!r}")
 
 
+def only_processed(cost_event: DataFrame) -> DataFrame:
+    """F1."""
+    return cost_event.where(F.col("event_status") == PROCESSED)
+
+
 def processed_rows(cost_event: DataFrame) -> DataFrame:
     """F1 + P1: processed events with the period name parsed once per row.
 
@@ -39,8 +44,7 @@ def processed_rows(cost_event: DataFrame) -> DataFrame:
     the parquet reader as a pushed filter; only the columns a report touches
     are read (column pruning follows the later projections).
     """
-    rows = cost_event.where(F.col("event_status") == PROCESSED)
-    rows = with_json_field(rows, "period", PERIOD_NAME_FIELD, "period_name")
+    rows = with_json_field(only_processed(cost_event), "period", PERIOD_NAME_FIELD, "period_name")
     return rows.select(*LEDGER_COLUMNS)
 
 

@@ -1,10 +1,10 @@
-"""Status x bucket matrices.
+"""Status x bucket matrices.
 
-The long form ``(bucket, status_ord, status, value)`` is canonical; the wide
-form pivots buckets into fixed slots ``p1..pN`` (oldest first) so its schema is
-static and nothing is collected to the driver. All inputs here are summaries
-(at most N buckets x a few dozen statuses), but the code never assumes it:
-densification is a generator, totals are an aggregate joined on the bucket.
+One aggregate per bucket sums count and cost for every display status and for
+TOTAL; shares are divisions inside that row. The rows hold their cells as an
+array, which is unpivoted into the long form ``bucket, status_ord, status,
+value``, or laid side by side for the wide form with slots ``p1..pN`` (oldest
+bucket first), so schemas are static and the summary is read once.
 """
 
 from __future__ import annotations
@@ -12,145 +12,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.config import ALL_SLICE, COMPLEMENTARY, DEFAULT_CONFIG, REGULAR, TOTAL_LABEL, LedgerConfig
+from ledgerlens.config import DEFAULT_CONFIG, TOTAL_LABEL, LedgerConfig
 from ledgerlens.functions.numeric import COST_SUM_TYPE, share_pct_1dp
 from ledgerlens.functions.status import normalised_status
+from ledgerlens.operators.summary import with_slice_tags
 
 COUNT = "count"
 COST = "cost"
 SHARE = "share"
 METRICS = (COUNT, SHARE, COST)
 
-_METRIC_SOURCE = {COUNT: "pre_invoices", COST: "cost"}
-
 
 def status_normalised(summary: DataFrame, config: LedgerConfig = DEFAULT_CONFIG) -> DataFrame:
     """P8 on a status summary: adds ``status_norm``."""
     return summary.withColumn("status_norm", normalised_status(F.col("status"), config))
 
 
-def _typed(value: Column, metric: str) -> Column:
-    return value.cast("bigint") if metric == COUNT else value.cast(COST_SUM_TYPE)
+def status_cells(summary: DataFrame, config: LedgerConfig = DEFAULT_CONFIG, by: tuple[str, ...] = ("bucket",)) -> DataFrame:
+    """``by, cells``: all cells of a bucket, in display order, TOTAL last.
 
+    A10: a metric is *summed* over types and raw statuses that share a label -
+    a pre-invoice present in two types counts twice, as in the source.
+    V2: every display status appears for every bucket, 0 if absent.
+    V3: TOTAL sums all labels, those outside the display list included.
+    V4: labels outside the display list have no cell.
+    V5/P10: shares in percent of TOTAL, 0 of 0 is 0, TOTAL itself 100.0.
+    """
+    labels = (*config.matrix_statuses, TOTAL_LABEL)
 
-def _spine(config: LedgerConfig) -> Column:
-    """Display statuses with their order, as an array literal of structs."""
-    return F.array(*[F.struct(F.lit(i + 1).alias("status_ord"), F.lit(s).alias("status"))
-                     for i, s in enumerate(config.matrix_statuses)])
+    def total(metric: str, label: str) -> Column:
+        value = F.col(metric) if label == TOTAL_LABEL else F.when(F.col("status_norm") == label, F.col(metric))
+        return F.coalesce(F.sum(value), F.lit(0))
 
+    sums = status_normalised(summary, config).groupBy(*by).agg(
+        *(total("pre_invoices", s).cast("bigint").alias(f"n{i}") for i, s in enumerate(labels)),
+        *(total("cost", s).cast(COST_SUM_TYPE).alias(f"c{i}") for i, s in enumerate(labels)))
+    last = len(labels) - 1
 
-def matrix_long(summary: DataFrame, metric: str, config: LedgerConfig = DEFAULT_CONFIG) -> DataFrame:
-    """R1/R3 (and R6/R8): one metric by (bucket, display status) plus TOTAL.
+    def cell(i: int, label: str) -> Column:
+        share = F.lit(100.0) if i == last else share_pct_1dp(F.col(f"n{i}"), F.col(f"n{last}"))
+        return F.struct(F.lit(i + 1).alias("status_ord"), F.lit(label).alias("status"), F.col(f"n{i}").alias(COUNT),
+                        share.alias(SHARE), F.col(f"c{i}").alias(COST))
 
-    A10: the metric is *summed* over types and raw statuses that share a
-    label - a pre-invoice present in two types counts twice, as in the source.
-    V2: every display status appears for every bucket of the slice, 0 if absent.
-    V3: TOTAL sums all labels, including labels outside the display list.
-    V4: labels outside the display list are then dropped from the body.
-    """
-    src = _METRIC_SOURCE[metric]
-    agg = (status_normalised(summary, config)
-           .groupBy("bucket", F.col("status_norm").alias("status"))
-           .agg(F.coalesce(F.sum(src), F.lit(0)).alias("value")))
-    buckets = summary.select("bucket").distinct()
-    dense = (buckets.select("bucket", F.inline(_spine(config)))
-             .join(agg, ["bucket", "status"], "left")
-             .select("bucket", "status_ord", "status",
-                     _typed(F.coalesce(F.col("value"), F.lit(0)), metric).alias("value")))
-    total_ord = len(config.matrix_statuses) + 1
-    total = (agg.groupBy("bucket")
-             .agg(_typed(F.sum("value"), metric).alias("value"))
-             .select("bucket", F.lit(total_ord).alias("status_ord"), F.lit(TOTAL_LABEL).alias("status"),
-                     "value"))
-    return dense.unionByName(total)
-
-
-def share_matrix_long(count_matrix: DataFrame) -> DataFrame:
-    """R2/R7 (V5): each count over its bucket's TOTAL, in percent to one
-    decimal; 0/0 -> 0; the TOTAL row itself is 100.0. The denominator includes
-    statuses hidden from the body."""
-    totals = (count_matrix.where(F.col("status") == TOTAL_LABEL)
-              .select("bucket", F.col("value").alias("_total")))
-    return (count_matrix.join(totals, "bucket", "inner")
-            .select("bucket", "status_ord", "status",
-                    F.when(F.col("status") == TOTAL_LABEL, F.lit(100.0))
-                    .otherwise(share_pct_1dp(F.col("value"), F.col("_total"))).alias("value")))
-
-
-def bucket_slots(summary: DataFrame) -> Column:
-    """Sorted array of the slice's buckets, as a scalar subquery (at most N values)."""
-    return summary.select(F.sort_array(F.collect_set("bucket"))).scalar()
-
-
-def matrix_wide(matrix: DataFrame, summary: DataFrame, n_slots: int) -> DataFrame:
-    """V1/V6: pivot the long form to ``status_ord, status, p1..pN`` with
-    ``p1`` the oldest bucket of the slice. Missing slots are NULL."""
-    slots = [f"p{i}" for i in range(1, n_slots + 1)]
-    slotted = matrix.withColumn(
-        "slot", F.concat(F.lit("p"), F.array_position(bucket_slots(summary), F.col("bucket")).cast("string")))
-    return (slotted.groupBy("status_ord", "status").pivot("slot", slots).agg(F.max("value"))
-            .select("status_ord", "status", *slots)
-            .orderBy("status_ord"))
-
-
-def with_slice_tags(summary: DataFrame) -> DataFrame:
-    """Tag each unsliced summary row with the slices it belongs to: always
-    ``all``, plus its own type when that is one of the two named slices."""
-    typed = F.when(F.col("pre_invoice_type").isin(REGULAR, COMPLEMENTARY), F.col("pre_invoice_type"))
-    return summary.withColumn(
-        "slice", F.explode(F.filter(F.array(F.lit(ALL_SLICE), typed), lambda s: s.isNotNull())))
+    return sums.select(*by, F.array(*(cell(i, s) for i, s in enumerate(labels))).alias("cells"))
 
 
-def matrices_by_slice(summary: DataFrame, config: LedgerConfig = DEFAULT_CONFIG) -> DataFrame:
-    """All three matrices of all slices in one pass over an unsliced summary.
+def matrix_all(cells: DataFrame, by: tuple[str, ...] = ("bucket",)) -> DataFrame:
+    """Long form of all three metrics: ``by, status_ord, status, count, share, cost``."""
+    return cells.select(*by, F.inline("cells"))
 
-    Output ``slice, bucket, status_ord, status, count, share, cost``: the same
-    rows as ``matrix_long`` / ``share_matrix_long`` per slice, computed with
-    one aggregate, one densify and one total instead of one job per
-    (slice, metric).
-    """
-    tagged = with_slice_tags(status_normalised(summary, config))
-    keys = ["slice", "bucket"]
-    agg = (tagged.groupBy(*keys, F.col("status_norm").alias("status"))
-           .agg(F.coalesce(F.sum("pre_invoices"), F.lit(0)).alias("count"),
-                F.coalesce(F.sum("cost"), F.lit(0)).alias("cost")))
-    buckets = tagged.select(*keys).distinct()
-    dense = (buckets.select(*keys, F.inline(_spine(config)))
-             .join(agg, keys + ["status"], "left")
-             .select(*keys, "status_ord", "status",
-                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
-                     F.coalesce("cost", F.lit(0)).cast(COST_SUM_TYPE).alias("cost")))
-    totals = (agg.groupBy(*keys)
-              .agg(F.sum("count").cast("bigint").alias("count"), F.sum("cost").cast(COST_SUM_TYPE).alias("cost"))
-              .select(*keys, F.lit(len(config.matrix_statuses) + 1).alias("status_ord"),
-                      F.lit(TOTAL_LABEL).alias("status"), "count", "cost"))
-    body = dense.unionByName(totals)
-    denom = totals.select(*keys, F.col("count").alias("_total"))
-    return (body.join(denom, keys, "inner")
-            .select(*keys, "status_ord", "status", "count",
-                    F.when(F.col("status") == TOTAL_LABEL, F.lit(100.0))
-                    .otherwise(share_pct_1dp(F.col("count"), F.col("_total"))).alias("share"),
-                    "cost"))
-
-
-def bucket_slots_by_slice(summary: DataFrame) -> DataFrame:
-    """``slice, bucket, slot``: slot ``pK`` is the K-th oldest bucket of the
-    slice. The window is partitioned by slice over at most N buckets each."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("slice").orderBy("bucket")
-    return (with_slice_tags(summary).select("slice", "bucket").distinct()
-            .withColumn("slot", F.concat(F.lit("p"), F.dense_rank().over(w).cast("string"))))
-
-
-def slice_status(summaries_by_slice: dict[str, DataFrame]) -> DataFrame:
-    """V7: one row per slice with ``has_data`` (weekly summary non-empty);
-    an empty slice gets no matrices in the report sink."""
-    parts = [df.select(F.lit(name).alias("slice"), F.lit(1).alias("_one")).limit(1)
-             for name, df in summaries_by_slice.items()]
-    present = parts[0]
-    for p in parts[1:]:
-        present = present.unionByName(p)
-    names = F.array(*[F.lit(n) for n in summaries_by_slice])
-    spine = present.sparkSession.range(1).select(F.explode(names).alias("slice"))
-    return (spine.join(present, "slice", "left")
-            .select("slice", F.col("_one").isNotNull().alias("has_data")))
+
+def matrix_long(cells: DataFrame, metric: str) -> DataFrame:
+    """R1-R3 (and R6-R8): one metric by (bucket, display status) plus TOTAL."""
+    return matrix_all(cells).select("bucket", "status_ord", "status", F.col(metric).alias("value"))
+
+
+def matrix_wide(cells: DataFrame, metric: str, n_slots: int, config: LedgerConfig = DEFAULT_CONFIG) -> DataFrame:
+    """V1/V6: ``status_ord, status, p1..pN``. ``cells`` has at most N rows (the
+    recent buckets), which are gathered into one; missing slots are NULL, and
+    without buckets there are no rows."""
+    found = cells.agg(F.sort_array(F.collect_list(F.struct("bucket", "cells"))).alias("b")).where(F.size("b") > 0)
+    rows = F.array(*(
+        F.struct(F.lit(i + 1).alias("status_ord"), F.lit(s).alias("status"),
+                 *(F.get(F.get("b", F.lit(k))["cells"], F.lit(i))[metric].alias(f"p{k + 1}") for k in range(n_slots)))
+        for i, s in enumerate((*config.matrix_statuses, TOTAL_LABEL))))
+    return found.select(F.inline(rows)).orderBy("status_ord")
+
+
+def matrices_by_slice(summary: DataFrame, config: LedgerConfig = DEFAULT_CONFIG) -> DataFrame:
+    """All three matrices of all slices in one pass over an unsliced summary:
+    ``slice, bucket, status_ord, status, count, share, cost``."""
+    by = ("slice", "bucket")
+    return matrix_all(status_cells(with_slice_tags(summary), config, by), by)

@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.config import ROUTE_KEY, VEHICLE_KEY
-from ledgerlens.functions.json import element_key, element_value, json_array, max_value_for_key
+from ledgerlens.functions.json import json_array, max_value_for_key
 
 
 def with_payload_values(rows: DataFrame, only_when=None) -> DataFrame:
-    """Per row: route and vehicle (max over the row's payload elements) and
-    the number of elements. The payload is parsed once per row.
+    """Per row: route and vehicle (max over the row's payload elements) and the
+    number of elements (-1 without an array), in place of the payload text.
 
-    ``only_when`` (a boolean Column) limits the parse to the rows that need
-    it; other rows get NULL values. The parsed array is bound in its own
-    projection: Catalyst does not inline an expensive expression that is used
-    three times, so it is evaluated once and only under the condition."""
-    if only_when is None:
-        arr = json_array("payload")  # one parse: a repeated subexpression is evaluated once
-        return rows.withColumns({
-            "row_route": max_value_for_key(arr, ROUTE_KEY),
-            "row_vehicle": max_value_for_key(arr, VEHICLE_KEY),
-            "payload_elements": F.coalesce(F.size(arr), F.lit(-1)),
-        })
-    parsed = rows.withColumn("_payload_arr", F.when(only_when, json_array("payload")))
-    arr = F.col("_payload_arr")
+    The parsed array is bound in a projection of its own: an expression that is
+    used three times and is not cheap stays there, so each payload is parsed
+    once. ``only_when`` (a boolean Column) limits the parse to the rows that
+    need it; other rows get NULL values.
+    """
+    array = json_array("payload")
+    parsed = rows.withColumn("_array", array if only_when is None else F.when(only_when, array))
     return parsed.withColumns({
-        "row_route": max_value_for_key(arr, ROUTE_KEY),
-        "row_vehicle": max_value_for_key(arr, VEHICLE_KEY),
-        "payload_elements": F.coalesce(F.size(arr), F.lit(-1)),
-    }).drop("_payload_arr")
+        "row_route": max_value_for_key(F.col("_array"), ROUTE_KEY),
+        "row_vehicle": max_value_for_key(F.col("_array"), VEHICLE_KEY),
+        "payload_elements": F.coalesce(F.size("_array"), F.lit(-1)),
+    }).drop("_array", "payload")
 
 
 def payload_route(rows: DataFrame) -> DataFrame:
@@ -44,23 +38,8 @@ def payload_route(rows: DataFrame) -> DataFrame:
 
 
 def with_transaction_route(rows: DataFrame) -> DataFrame:
-    """Attach the transaction's route to each row (NULL if none).
-
-    ``MAX(route) OVER (PARTITION BY transaction_id)`` over the base rows. After
-    J1 the rows are already hash partitioned *and sorted* by
-    ``transaction_id`` (sort-merge join output), so the window adds neither an
-    exchange nor a sort. The aggregate-and-join form (``payload_route`` joined
-    back) computes the same values but forces Spark to rebuild the candidate
-    branch a second time, because the two branches carry different columns and
-    their exchanges cannot be reused; it has no skew advantage either, since a
-    transaction is already in one task after J1.
-    """
-    w = Window.partitionBy("transaction_id")
-    return rows.withColumn("route", F.max("row_route").over(w))
-
-
-def with_transaction_route_by_join(rows: DataFrame) -> DataFrame:
-    """J5 written as the source writes it (aggregate + left join); bench only."""
+    """Attach the transaction's route to each row (NULL if none): an
+    aggregate, combined map-side, joined back."""
     return rows.join(payload_route(rows), "transaction_id", "left")
 
 
@@ -75,12 +54,3 @@ def payload_assets(rows: DataFrame) -> DataFrame:
                  F.max("payload_elements").alias("_elements"))
             .where(F.col("_elements") > 0)
             .drop("_elements"))
-
-
-def payload_route_exploded(rows: DataFrame) -> DataFrame:
-    """A2 written as the unnest: ``explode`` + conditional max. Same result as
-    ``payload_route``; kept for the bench comparison."""
-    e = F.col("e")
-    return (rows.select("transaction_id", F.explode(json_array("payload")).alias("e"))
-            .groupBy("transaction_id")
-            .agg(F.max(F.when(element_key(e) == ROUTE_KEY, element_value(e))).alias("route")))

@@ -13,6 +13,10 @@ DETAIL_KEYS = ("period", "month", "pre_invoice_type", "pre_invoice_id", "provide
                "provider_name", "provider_type", "status_group", "status")
 
 
+#: What the ledger rows under the detail are collapsed by, besides (transaction, version).
+COLLAPSE_KEYS = ("period_name", "pre_invoice_type", "pre_invoice_id", "provider_id", "provider_name", "provider_type")
+
+
 def pending_rows(enriched: DataFrame) -> DataFrame:
     """F5 + P6 on ledger rows already joined to providers and the latest trace
     detail (left join, so a missing trace row reads as a NULL status)."""

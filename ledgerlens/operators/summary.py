@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.config import ALL_SLICE
+from ledgerlens.config import ALL_SLICE, COMPLEMENTARY, REGULAR
 from ledgerlens.functions.numeric import cost_sum
 from ledgerlens.functions.status import payment_status
 
 SUMMARY_KEYS = ("bucket", "pre_invoice_type", "status")
+#: What the collapsed rows under a summary are keyed by, besides (transaction, version).
+COLLAPSE_KEYS = ("bucket", "pre_invoice_type", "pre_invoice_id", "provider_type")
 
 
 def with_payment_status(rows: DataFrame) -> DataFrame:
@@ -17,53 +19,52 @@ def with_payment_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", payment_status(F.col("provider_type"), F.col("status")))
 
 
+def with_collapsed_route(rows: DataFrame) -> DataFrame:
+    """J5 on collapsed rows at the latest version: the transaction's route is
+    the max over them. They are partitioned by (transaction, version) after J1,
+    so the window adds no exchange, and its groups are bounded by distinct key
+    combinations, not by copies."""
+    return rows.withColumn("route", F.max("row_route").over(Window.partitionBy("transaction_id", "version_id")))
+
+
 def status_summary(rows: DataFrame) -> DataFrame:
     """A3/A4: by (bucket, type, status): distinct routes, distinct
     pre-invoices, summed cost. NULL type and NULL status are groups of their
-    own; NULL ids are not counted; an all-NULL cost sums to NULL."""
-    return (rows.groupBy(*SUMMARY_KEYS)
+    own; NULL ids are not counted; an all-NULL cost sums to NULL. The same over
+    collapsed rows as over raw ones."""
+    return (with_payment_status(rows).groupBy(*SUMMARY_KEYS)
             .agg(F.count_distinct("route").alias("routes"),
                  F.count_distinct("pre_invoice_id").alias("pre_invoices"),
                  cost_sum("cost_amt").alias("cost")))
 
 
-PER_TRANSACTION_KEYS = ("transaction_id", "bucket", "pre_invoice_type", "pre_invoice_id", "provider_type")
-
-
-def status_summary_preaggregated(base: DataFrame, latest_trace: DataFrame | None = None) -> DataFrame:
-    """A3/A4 + J4 + J5 + P5 in one chain that never holds a group of copies
-    in one task.
-
-    1. Collapse the base rows per (transaction, bucket, type, pre-invoice,
-       provider type): cost summed, route maxed. Tied copies of a transaction
-       become at most a handful of rows, with map-side combine whenever an
-       exchange precedes the aggregate (e.g. after AQE splits a hot J1
-       partition).
-    2. The transaction's route = max over those few rows (a window over the
-       collapsed rows: its groups are bounded by distinct combinations, not by
-       copies). No second branch of the base is built, so nothing upstream is
-       recomputed.
-    3. Trace join and status rule on the collapsed rows (the status depends
-       only on pre-invoice and provider type, both kept as keys).
-    4. Final aggregate: distinct routes and pre-invoices per group are the same
-       over collapsed rows; cost is the sum of the partial sums.
-
-    With ``latest_trace=None`` the base already carries the raw trace
-    ``status`` (one value per pre-invoice), which then joins the keys.
-    """
-    keys = PER_TRANSACTION_KEYS + (("status",) if latest_trace is None else ())
-    per_tx = (base.groupBy(*keys)
-              .agg(F.sum("cost_amt").alias("cost_amt"), F.max("row_route").alias("_route_part")))
-    per_tx = per_tx.withColumn("route", F.max("_route_part").over(Window.partitionBy("transaction_id")))
-    if latest_trace is not None:
-        from ledgerlens.operators.latest import with_trace  # local: avoid an import cycle
-        per_tx = with_trace(per_tx, latest_trace)
-    return status_summary(with_payment_status(per_tx))
-
-
 def slice_filter(df: DataFrame, slice_name: str) -> DataFrame:
     """one type, or every row for the unsliced report (NULL and third
     types included - it is not regular UNION complementary)."""
     if slice_name == ALL_SLICE:
         return df
     return df.where(F.col("pre_invoice_type") == slice_name)
+
+
+def slices_of(pre_invoice_type: Column) -> Column:
+    """The slices a row belongs to: always ``all``, plus its own type when that
+    is one of the two named slices."""
+    typed = F.when(pre_invoice_type.isin(REGULAR, COMPLEMENTARY), pre_invoice_type)
+    return F.array_compact(F.array(F.lit(ALL_SLICE), typed))
+
+
+def with_slice_tags(df: DataFrame) -> DataFrame:
+    """Each row once for every slice it belongs to, at most twice."""
+    return df.withColumn("slice", F.explode(slices_of(F.col("pre_invoice_type"))))
+
+
+def slice_status(rows: DataFrame) -> DataFrame:
+    """V7: ``slice, has_data`` of every slice, from rows with a
+    ``pre_invoice_type`` (of the weekly base, or of its summary): one aggregate,
+    one flag a slice. An empty slice gets no matrices in the report sink."""
+    is_type = lambda t: F.max(F.col("pre_invoice_type") == t)
+    flags = rows.agg((F.count(F.lit(1)) > 0).alias(ALL_SLICE), is_type(REGULAR).alias(REGULAR),
+                     is_type(COMPLEMENTARY).alias(COMPLEMENTARY))
+    return flags.select(F.inline(F.array(*(
+        F.struct(F.lit(s).alias("slice"), F.coalesce(F.col(s), F.lit(False)).alias("has_data"))
+        for s in (REGULAR, COMPLEMENTARY, ALL_SLICE)))))

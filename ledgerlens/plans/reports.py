@@ -1,24 +1,24 @@
 """The reports composed from the operators.
 
-``LedgerReports`` builds lazy DataFrames; nothing runs until an action. Each
-report is one plan over the three inputs, so Catalyst prunes and pushes
-filters end to end. ``ReportSuite`` (``plans.suite``) runs all of them from one
-snapshot.
+``LedgerReports`` builds DataFrames. All are lazy but the ranking ones: the
+ranking reads the pending detail several times (period guard, exclusion,
+totals, grand total), so the detail is written once as a table, and positions
+need a second one; both go to the folder ``storage`` (by default the session's
+checkpoint folder) when such a report is first built, and ``release`` deletes
+them. ``ReportSuite`` (``plans.suite``) runs all reports from one snapshot.
 
 Plan shape of the status summary (weekly or monthly):
 
 1. scan the ledger with ``event_status = 'PROCESSED'`` pushed down; parse the
    period name once per row;
 2. top buckets: partial distinct -> tiny exchange -> TakeOrderedAndProject;
-3. latest version: narrow ``max(version)`` by transaction over the whole
-   ledger (map-side combine);
-4. candidates: ledger rows in the top buckets (broadcast semi join, at most N
-   rows) with an accepted provider (dimension join) - the selective filters run
-   before any wide shuffle;
-5. candidates join latest on ``transaction_id`` (the only wide shuffle of
-   ledger rows, and only of candidates);
-6. payload parsed for surviving rows only; route per transaction by aggregate
-   (same partitioning, no exchange) joined back;
+3. candidates: ledger rows in the top buckets (broadcast semi join, at most N
+   rows) with an accepted provider (dimension join), payload parsed once;
+4. collapse per (transaction, version, report keys) with map-side combine, so
+   copies of a hot transaction never travel;
+5. latest version: narrow ``max(version)`` by transaction over the whole
+   ledger (map-side combine), joined on (transaction, version);
+6. route per transaction by a window over the collapsed rows;
 7. trace: latest status per pre-invoice by ``max_by`` (map-side combine),
    left-joined on the string key;
 8. final aggregate by (bucket, type, status).
@@ -26,26 +26,25 @@ Plan shape of the status summary (weekly or monthly):
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.config import ALL_SLICE, DEFAULT_CONFIG, MONTHLY, WEEKLY, LedgerConfig
+from ledgerlens.config import (ALL_SLICE, COMPLEMENTARY, DEFAULT_CONFIG, GRANULARITIES, REGULAR, SLICES, WEEKLY, LedgerConfig)
 from ledgerlens.functions.display import cost_text, count_text, share_text
+from ledgerlens.functions.numeric import share_fraction
 from ledgerlens.operators import assets as assets_ops
 from ledgerlens.operators import matrix as matrix_ops
 from ledgerlens.operators import pending as pending_ops
 from ledgerlens.operators import ranking as ranking_ops
 from ledgerlens.operators.buckets import period_names, restrict_to_buckets, top_buckets
-from ledgerlens.operators.latest import (TRACE_DETAIL_COLUMNS, keep_latest, latest_versions,
-                                        trace_latest, with_trace)
+from ledgerlens.operators.latest import TRACE_DETAIL_COLUMNS, collapse, keep_latest, latest_versions, trace_latest, with_trace
 from ledgerlens.operators.ledger import in_detail_year, processed_rows, with_provider
-from ledgerlens.operators.payload import (payload_assets, payload_route, with_payload_values,
-                                         with_transaction_route)
-from ledgerlens.operators.summary import (slice_filter, status_summary, status_summary_preaggregated,
+from ledgerlens.operators.payload import payload_assets, payload_route, with_payload_values, with_transaction_route
+from ledgerlens.operators.summary import (COLLAPSE_KEYS, slice_filter, slice_status, status_summary, with_collapsed_route,
                                          with_payment_status)
-from ledgerlens.session import materialize
+from ledgerlens.session import new_folder, remove_folder, write_table
 from ledgerlens.sources.tables import LedgerTables
 
 ENRICHED_COLUMNS = ("transaction_id", "bucket", "pre_invoice_type", "pre_invoice_id", "provider_id",
@@ -53,12 +52,13 @@ ENRICHED_COLUMNS = ("transaction_id", "bucket", "pre_invoice_type", "pre_invoice
 
 
 class LedgerReports:
-    """Lazy builders for every report and building block."""
+    """Builders for every report and building block."""
 
-    def __init__(self, tables: LedgerTables, config: LedgerConfig = DEFAULT_CONFIG):
+    def __init__(self, tables: LedgerTables, config: LedgerConfig = DEFAULT_CONFIG, storage: str | None = None):
         self.tables = tables
         self.config = config
-        self._summaries: dict[tuple[str, str], DataFrame] = {}
+        self.storage = storage
+        self._folders: list[str] = []
 
     # -- shared inputs ------------------------------------------------------
     @cached_property
@@ -67,7 +67,7 @@ class LedgerReports:
 
     @cached_property
     def latest(self) -> DataFrame:
-        return latest_versions(self.processed)
+        return latest_versions(self.tables.cost_event)
 
     @cached_property
     def trace_status(self) -> DataFrame:
@@ -78,7 +78,7 @@ class LedgerReports:
         return trace_latest(self.tables.trace_event, TRACE_DETAIL_COLUMNS)
 
     def top(self, granularity: str) -> DataFrame:
-        return top_buckets(self.processed, granularity, self.config.recent_buckets)
+        return top_buckets(period_names(self.processed), granularity, self.config.recent_buckets)
 
     # -- building blocks ----------------------------------------------------
     def period_names(self) -> DataFrame:
@@ -94,19 +94,15 @@ class LedgerReports:
         return with_provider(rows, self.tables.provider, self.config)
 
     def base(self, granularity: str) -> DataFrame:
-        """Candidates at their latest version, payload values per row.
-
-        The payload is parsed on the candidate side, before the J1 shuffle: the
-        parse runs in the wide scan stage, and the exchange carries the short
-        route/vehicle strings instead of the payload JSON text."""
-        rows = with_payload_values(self.candidates(granularity)).drop("payload")
-        return keep_latest(rows, self.latest)
+        """Candidates collapsed per (transaction, version, report keys), at
+        their latest version. The payload is parsed on the candidate side, so
+        the exchanges carry short route and vehicle strings, not its text."""
+        return keep_latest(collapse(with_payload_values(self.candidates(granularity)), *COLLAPSE_KEYS), self.latest)
 
     def enriched(self, granularity: str) -> DataFrame:
-        """J1-J5 + P5: the rows every status summary aggregates."""
-        rows = with_transaction_route(self.base(granularity))
-        rows = with_payment_status(with_trace(rows, self.trace_status))
-        return rows.select(*ENRICHED_COLUMNS)
+        """J1-J5 + P5, row by row: what the status summary sums up."""
+        rows = with_transaction_route(keep_latest(with_payload_values(self.candidates(granularity)), self.latest))
+        return with_payment_status(with_trace(rows, self.trace_status)).select(*ENRICHED_COLUMNS)
 
     def payload_route(self, granularity: str = WEEKLY) -> DataFrame:
         return payload_route(self.base(granularity))
@@ -116,54 +112,35 @@ class LedgerReports:
 
     # -- R0 status summary ----------------------------------------------------
     def status_summary(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
-        summary = status_summary_preaggregated(self.base(granularity), self.trace_status)
-        return slice_filter(summary, slice_name)
+        rows = with_trace(with_collapsed_route(self.base(granularity)), self.trace_status)
+        return slice_filter(status_summary(rows), slice_name)
 
     def status_normalised(self, granularity: str = WEEKLY, slice_name: str = ALL_SLICE) -> DataFrame:
         return matrix_ops.status_normalised(self.status_summary(granularity, slice_name), self.config)
 
+    def slice_status(self, granularity: str = WEEKLY) -> DataFrame:
+        """V7, from the rows at their latest version: no payload, no trace."""
+        return slice_status(keep_latest(self.candidates(granularity).drop("payload"), self.latest))
+
     # -- R1-R3, R6-R8 matrices --------------------------------------------------
-    def _summary_once(self, granularity: str, slice_name: str) -> DataFrame:
-        """The slice summary computed once: a matrix reads it four to six
-        times (aggregate, bucket list, totals, slots), each pruned differently."""
-        key = (granularity, slice_name)
-        if key not in self._summaries:
-            self._summaries[key] = materialize(self.status_summary(granularity, slice_name))
-        return self._summaries[key]
+    def cells(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
+        return matrix_ops.status_cells(self.status_summary(granularity, slice_name), self.config)
 
     def matrix(self, metric: str, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
-        summary = self._summary_once(granularity, slice_name)
-        return self.matrix_from_summary(summary, metric)
-
-    def matrix_from_summary(self, summary: DataFrame, metric: str) -> DataFrame:
-        if metric == matrix_ops.SHARE:
-            return matrix_ops.share_matrix_long(matrix_ops.matrix_long(summary, matrix_ops.COUNT, self.config))
-        return matrix_ops.matrix_long(summary, metric, self.config)
+        return matrix_ops.matrix_long(self.cells(granularity, slice_name), metric)
 
     def matrix_wide(self, metric: str, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
-        summary = self._summary_once(granularity, slice_name)
-        return matrix_ops.matrix_wide(self.matrix_from_summary(summary, metric), summary,
-                                      self.config.recent_buckets)
+        return matrix_ops.matrix_wide(self.cells(granularity, slice_name), metric, self.config.recent_buckets, self.config)
+
+    def share_fractions(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
+        """The share matrix as fractions, as it is exported."""
+        return self.matrix(matrix_ops.SHARE, granularity, slice_name).withColumn("value", share_fraction(F.col("value")))
 
     def matrix_display(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
         """The three matrices of a slice as display text, long form."""
-        summary = self._summary_once(granularity, slice_name)
-        keys = ["bucket", "status_ord", "status"]
-        counts = matrix_ops.matrix_long(summary, matrix_ops.COUNT, self.config)
-        shares = matrix_ops.share_matrix_long(counts)
-        costs = matrix_ops.matrix_long(summary, matrix_ops.COST, self.config)
-        joined = (counts.withColumnRenamed("value", "c")
-                  .join(shares.withColumnRenamed("value", "s"), keys)
-                  .join(costs.withColumnRenamed("value", "v"), keys))
-        return joined.select(*keys,
-                             count_text(F.col("c")).alias("count_text"),
-                             share_text(F.col("s"), F.col("status")).alias("share_text"),
-                             cost_text(F.col("v")).alias("cost_text"))
-
-    def slice_status(self, granularity: str = WEEKLY) -> DataFrame:
-        from ledgerlens.config import SLICES
-        summary = status_summary(self.enriched(granularity))
-        return matrix_ops.slice_status({s: slice_filter(summary, s) for s in SLICES})
+        return matrix_ops.matrix_all(self.cells(granularity, slice_name)).select(
+            "bucket", "status_ord", "status", count_text(F.col("count")).alias("count_text"),
+            share_text(F.col("share"), F.col("status")).alias("share_text"), cost_text(F.col("cost")).alias("cost_text"))
 
     # -- R4/R5, R9/R10 asset counts -------------------------------------------
     def asset_counts(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
@@ -172,15 +149,34 @@ class LedgerReports:
     def asset_counts_all_slices(self, granularity: str) -> DataFrame:
         return assets_ops.asset_counts_all_slices(self.payload_assets(granularity))
 
-    # -- R11-R16 pending, ranking ---------------------------------------------
-    def pending_enriched(self) -> DataFrame:
-        rows = in_detail_year(self.processed, self.config)
-        rows = with_provider(rows, self.tables.provider, self.config)
-        rows = keep_latest(rows, self.latest)
-        return with_trace(rows, self.trace_detail)
+    def asset_row(self, metric: str, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
+        return assets_ops.asset_row(self.asset_counts(granularity, slice_name), metric, self.config.recent_buckets)
+
+    def asset_display(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
+        return assets_ops.asset_display(self.asset_counts(granularity, slice_name))
+
+    # -- A14 ----------------------------------------------------------------------
+    def report_row_counts(self) -> DataFrame:
+        """``slice, report, granularity, rows`` of the sliced results, 0 included."""
+        def per_slice(df: DataFrame, report: str, granularity: str, counted) -> DataFrame:
+            counts = df.agg(*(counted(F.lit(True) if s == ALL_SLICE else F.col("pre_invoice_type") == s).alias(s)
+                              for s in (REGULAR, COMPLEMENTARY, ALL_SLICE)))
+            return counts.select(F.inline(F.array(*(
+                F.struct(F.lit(s).alias("slice"), F.lit(report).alias("report"), F.lit(granularity).alias("granularity"),
+                         F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias("rows")) for s in SLICES))))
+
+        parts = []
+        for g in GRANULARITIES:
+            parts.append(per_slice(self.status_summary(g), "status_summary", g, F.count_if))
+            parts.append(per_slice(self.payload_assets(g), "asset_counts", g,
+                                   lambda inside: F.count_distinct(F.when(inside, F.col("bucket")))))
+        return reduce(DataFrame.unionByName, parts)
 
+    # -- R11-R16 pending, ranking ---------------------------------------------
     def pending_detail(self) -> DataFrame:
-        return pending_ops.pending_detail(pending_ops.pending_rows(self.pending_enriched()))
+        rows = with_provider(in_detail_year(self.processed, self.config), self.tables.provider, self.config)
+        rows = keep_latest(collapse(rows, *pending_ops.COLLAPSE_KEYS), self.latest)
+        return pending_ops.pending_detail(pending_ops.pending_rows(with_trace(rows, self.trace_detail)))
 
     def pending_by_provider(self) -> DataFrame:
         return pending_ops.pending_by_provider(self.pending_detail())
@@ -188,20 +184,33 @@ class LedgerReports:
     def pending_summary(self) -> DataFrame:
         return pending_ops.pending_summary(self.pending_detail())
 
+    def _folder(self, name: str) -> str:
+        self._folders.append(new_folder(self.tables.cost_event.sparkSession, self.storage, name))
+        return self._folders[-1]
+
     @cached_property
-    def _detail_once(self) -> DataFrame:
-        """The pending detail computed once for the ranking, which reads it in
-        five places (period guard, exclusion, group split, totals, grand total)."""
-        return materialize(self.pending_detail())
+    def stored_detail(self) -> DataFrame:
+        """The pending detail as a table; building it runs a job."""
+        return write_table(self.pending_detail(), self._folder("pending-detail"))
 
     def ranking_excluded_periods(self) -> DataFrame:
-        return ranking_ops.excluded_periods(self._detail_once, self.config)
+        return ranking_ops.excluded_periods(self.stored_detail, self.config)
 
     def provider_ranking(self) -> DataFrame:
-        return ranking_ops.provider_ranking(self._detail_once, self.config)
+        return ranking_ops.provider_ranking(self.stored_detail, self.config)
+
+    def provider_ranking_positions(self) -> DataFrame:
+        return ranking_ops.with_positions(self.provider_ranking(), self._folder("ranking"))
 
     def provider_ranking_total(self) -> DataFrame:
         return ranking_ops.ranking_total(self.provider_ranking())
 
+    def release(self) -> None:
+        """Delete the tables that ranking reports have written."""
+        for folder in self._folders:
+            remove_folder(self.tables.cost_event.sparkSession, folder)
+        self._folders.clear()
+        self.__dict__.pop("stored_detail", None)
+
 
-__all__ = ["LedgerReports", "MONTHLY", "WEEKLY"]
+__all__ = ["LedgerReports"]

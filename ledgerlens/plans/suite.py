@@ -1,27 +1,29 @@
 """All reports of one run from one consistent snapshot, written as datasets (K1).
 
 The analysed job submits 13 independent warehouse queries; each re-reads the
-live tables and repeats the latest-version scan. Here one plan builds a
-*snapshot* of exactly the ledger rows any report can use:
+live tables and repeats the latest-version scan. Here three passes over the
+ledger (its period names, its latest versions, its rows) build a *snapshot* of
+exactly the rows any report can use:
 
     processed rows  (period in the top periods  OR  month in the top months
                      OR  year = detail year)
-      x accepted provider
-      x latest version per transaction         (one narrow pass over the ledger)
-      + payload values per row                 (JSON parsed once, only for these rows)
+      x accepted provider, payload values per row (JSON parsed once)
+      collapsed per (transaction, version, report keys)
+      x latest version per transaction
       + latest trace detail per pre-invoice    (one dedup of the trace log)
 
-The snapshot is checkpointed to the session's reliable checkpoint folder, so
-every report reads the same rows, lineage is cut, and a lost executor costs
-a re-read of checkpoint files rather than a re-scan of the ledger. Reports
-are then small aggregations of filtered snapshot rows; per-slice summaries are
-filters of the unsliced summary (type is a group key), so 3 slices x 2
-granularities need 2 summary aggregations.
+The snapshot is a Parquet table, partitioned by the flags that say which
+reports use a row, in a folder under ``storage`` (by default the session's
+checkpoint folder, which is shared storage on a cluster). Reports read only
+their partitions and columns of it; a lost executor costs a re-read. Per-slice
+summaries are filters of the unsliced summary (type is a group key). ``release``
+deletes the run's folder.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,39 +33,50 @@ from ledgerlens.operators import assets as assets_ops
 from ledgerlens.operators import matrix as matrix_ops
 from ledgerlens.operators import pending as pending_ops
 from ledgerlens.operators import ranking as ranking_ops
-from ledgerlens.operators.buckets import top_buckets
-from ledgerlens.operators.latest import TRACE_DETAIL_COLUMNS, keep_latest, latest_versions, trace_latest, with_trace
+from ledgerlens.operators.buckets import period_names, top_buckets
+from ledgerlens.operators.latest import (TRACE_DETAIL_COLUMNS, collapse, keep_latest, latest_versions, trace_latest,
+                                        with_trace)
 from ledgerlens.operators.ledger import month_of, processed_rows, with_provider, year_of
 from ledgerlens.operators.payload import payload_assets, with_payload_values
-from ledgerlens.operators.summary import slice_filter, status_summary_preaggregated
-from ledgerlens.session import ensure_checkpoint_dir, materialize
+from ledgerlens.operators.ranking import order_column
+from ledgerlens.operators.summary import slice_filter, slice_status, status_summary, with_collapsed_route
+from ledgerlens.session import new_folder, remove_folder, write_table
 from ledgerlens.sources.tables import LedgerTables
 
-
-# Report order (ascending NULLs first, as the warehouse sorts; ties
-# broken by the remaining keys so files are reproducible).
+#: Report order (ascending NULLs first, as the warehouse sorts; ties
+#: broken by the remaining keys so files are reproducible).
 REPORT_ORDER = {  # column, or "-column" for descending (NULLs last)
     "status_summary": ("bucket", "pre_invoice_type", "status"),
     "status_matrix": ("bucket", "status_ord"),
     "asset_counts": ("slice", "bucket"),
     "pending_detail": ("month", "period", "-cost", "pre_invoice_id", "provider_id", "status"),
     "pending_by_provider": ("-cost", "provider_id", "period", "status"),
-    "provider_ranking": ("-cost", "provider_id"),
+    "provider_ranking": ("position",),
     "ranking_excluded_periods": ("period",),
     "slice_status": ("slice",),
 }
+#: Reports that grow with the ledger: range-partitioned, one file per range.
+#: All others are bounded by construction (recent buckets x display statuses,
+#: slices, dropped periods, totals) and written by one task.
+GROWING = ("status_summary", "pending_detail", "pending_by_provider", "provider_ranking")
 
-
-def _order_col(spec: str):
-    return F.col(spec[1:]).desc_nulls_last() if spec.startswith("-") else F.col(spec).asc_nulls_first()
+FLAGS = ("in_top_period", "in_top_month", "in_detail_year")
 
 
 class ReportSuite:
-    def __init__(self, tables: LedgerTables, config: LedgerConfig = DEFAULT_CONFIG,
-                 checkpoint: bool = True):
+    def __init__(self, tables: LedgerTables, config: LedgerConfig = DEFAULT_CONFIG, storage: str | None = None):
         self.tables = tables
         self.config = config
-        self.checkpoint = checkpoint
+        self.spark = tables.cost_event.sparkSession
+        self._storage = storage
+
+    @cached_property
+    def folder(self) -> str:
+        """Where this run keeps its tables."""
+        return new_folder(self.spark, self._storage, "ledgerlens-run")
+
+    def _keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        return write_table(df, f"{self.folder}/{name}", partition_by)
 
     # -- snapshot -------------------------------------------------------------
     @cached_property
@@ -72,35 +85,28 @@ class ReportSuite:
 
     @cached_property
     def top(self) -> dict[str, DataFrame]:
-        """Top buckets per granularity; at most N rows each, kept as tiny
-        checkpointed frames so every report sees the same buckets."""
-        out = {}
-        for g in GRANULARITIES:
-            df = top_buckets(self.processed, g, self.config.recent_buckets)
-            out[g] = _snapshot(df, self.checkpoint)
-        return out
-
-    def _flag(self, rows: DataFrame, key, granularity: str, flag: str) -> DataFrame:
-        tb = self.top[granularity].select(F.col("bucket").alias(f"_{flag}_b"), F.lit(True).alias(flag))
-        return rows.join(F.broadcast(tb), key == F.col(f"_{flag}_b"), "left").drop(f"_{flag}_b")
+        """Top buckets per granularity, at most N rows each, both from one scan."""
+        names = self._keep(period_names(self.processed), "period_names")
+        return {g: top_buckets(names, g, self.config.recent_buckets) for g in GRANULARITIES}
+
+    def _flag(self, rows: DataFrame, key: str, granularity: str, flag: str) -> DataFrame:
+        top = self.top[granularity].select(F.col("bucket").alias(key), F.lit(True).alias(flag))
+        return rows.join(F.broadcast(top), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
     @cached_property
     def snapshot(self) -> DataFrame:
         rows = self.processed.withColumn("month", month_of(F.col("period_name")))
-        rows = self._flag(rows, F.col("period_name"), WEEKLY, "in_top_period")
-        rows = self._flag(rows, F.col("month"), MONTHLY, "in_top_month")
-        rows = (rows.withColumns({
-            "in_detail_year": F.coalesce(year_of(F.col("period_name")) == F.lit(self.config.detail_year),
-                                         F.lit(False)),
-            "in_top_period": F.coalesce("in_top_period", F.lit(False)),
-            "in_top_month": F.coalesce("in_top_month", F.lit(False))})
-            .where(F.col("in_top_period") | F.col("in_top_month") | F.col("in_detail_year")))
+        rows = self._flag(rows, "period_name", WEEKLY, "in_top_period")
+        rows = self._flag(rows, "month", MONTHLY, "in_top_month")
+        rows = rows.withColumn("in_detail_year", F.coalesce(
+            year_of(F.col("period_name")) == F.lit(self.config.detail_year), F.lit(False)))
+        rows = rows.where(F.col("in_top_period") | F.col("in_top_month") | F.col("in_detail_year"))
         rows = with_provider(rows, self.tables.provider, self.config)
-        # parsed before the shuffle, and only for rows a bucket report uses
-        rows = with_payload_values(rows, F.col("in_top_period") | F.col("in_top_month")).drop("payload")
-        rows = keep_latest(rows, latest_versions(self.processed))
+        # parsed only for rows a bucket report uses
+        rows = with_payload_values(rows, F.col("in_top_period") | F.col("in_top_month"))
+        rows = keep_latest(collapse(rows, *pending_ops.COLLAPSE_KEYS, "month", *FLAGS), latest_versions(self.tables.cost_event))
         rows = with_trace(rows, trace_latest(self.tables.trace_event, TRACE_DETAIL_COLUMNS))
-        return _snapshot(rows, self.checkpoint)
+        return self._keep(rows, "snapshot", FLAGS)
 
     # -- reports ----------------------------------------------------------------
     def _bucket_rows(self, granularity: str) -> DataFrame:
@@ -110,19 +116,17 @@ class ReportSuite:
     @cached_property
     def summaries(self) -> dict[str, DataFrame]:
         # the snapshot rows already carry the latest raw trace status
-        return {g: status_summary_preaggregated(self._bucket_rows(g)).persist() for g in GRANULARITIES}
+        return {g: self._keep(status_summary(with_collapsed_route(self._bucket_rows(g))), f"summary_{g}") for g in GRANULARITIES}
 
     def status_summary(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
         return slice_filter(self.summaries[granularity], slice_name)
 
-    @cached_property
-    def matrices(self) -> dict[str, DataFrame]:
-        """count, share and cost matrices of every slice, one pass per granularity."""
-        return {g: matrix_ops.matrices_by_slice(self.summaries[g], self.config).persist()
-                for g in GRANULARITIES}
+    def matrices(self, granularity: str) -> DataFrame:
+        """Count, share and cost matrices of every slice."""
+        return matrix_ops.matrices_by_slice(self.summaries[granularity], self.config)
 
     def matrix(self, metric: str, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
-        return (self.matrices[granularity].where(F.col("slice") == slice_name)
+        return (self.matrices(granularity).where(F.col("slice") == slice_name)
                 .select("bucket", "status_ord", "status", F.col(metric).alias("value")))
 
     def asset_counts_by_slice(self, granularity: str) -> DataFrame:
@@ -131,72 +135,66 @@ class ReportSuite:
     @cached_property
     def pending_detail(self) -> DataFrame:
         rows = self.snapshot.where(F.col("in_detail_year"))
-        return pending_ops.pending_detail(pending_ops.pending_rows(rows)).persist()
+        return self._keep(pending_ops.pending_detail(pending_ops.pending_rows(rows)), "pending_detail")
+
+    @cached_property
+    def provider_ranking(self) -> DataFrame:
+        """With positions."""
+        return ranking_ops.with_positions(ranking_ops.provider_ranking(self.pending_detail, self.config), f"{self.folder}/ranking")
 
     def slice_status(self) -> DataFrame:
-        summary = self.summaries[WEEKLY]
-        return matrix_ops.slice_status({s: slice_filter(summary, s) for s in SLICES})
+        return slice_status(self.summaries[WEEKLY])
 
     def datasets(self) -> dict[str, DataFrame]:
         """Every report as one DataFrame; sliced reports carry ``granularity``
-        and ``slice`` columns (partition columns of the written dataset)."""
-        def tagged(df: DataFrame, g: str, s: str | None = None) -> DataFrame:
-            df = df.withColumn("granularity", F.lit(g))
-            return df if s is None else df.withColumn("slice", F.lit(s))
-
-        def union(parts: list[DataFrame]) -> DataFrame:
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            return out
-
-        out = {
-            "status_summary": union([tagged(self.status_summary(g, s), g, s)
-                                     for g in GRANULARITIES for s in SLICES]),
-            "asset_counts": union([tagged(self.asset_counts_by_slice(g), g) for g in GRANULARITIES]),
+        and ``slice`` columns (partition columns of the written dataset).
+
+        V7: a slice without weekly data has no sliced reports at all, monthly
+        ones included."""
+        shown = F.broadcast(self.slice_status().where("has_data").select("slice"))  # as many rows as slices
+
+        def sliced(parts: dict[str, DataFrame]) -> DataFrame:
+            tagged = [df.withColumn("granularity", F.lit(g)) for g, df in parts.items()]
+            return reduce(DataFrame.unionByName, tagged).join(shown, "slice", "left_semi")
+
+        def all_slices(g: str) -> DataFrame:
+            return reduce(DataFrame.unionByName, (self.status_summary(g, s).withColumn("slice", F.lit(s)) for s in SLICES))
+
+        return {
+            "status_summary": sliced({g: all_slices(g) for g in GRANULARITIES}),
+            "status_matrix": sliced({g: self.matrices(g) for g in GRANULARITIES}),
+            "asset_counts": sliced({g: self.asset_counts_by_slice(g) for g in GRANULARITIES}),
             "slice_status": self.slice_status(),
             "pending_detail": self.pending_detail,
             "pending_by_provider": pending_ops.pending_by_provider(self.pending_detail),
             "pending_summary": pending_ops.pending_summary(self.pending_detail),
             "ranking_excluded_periods": ranking_ops.excluded_periods(self.pending_detail, self.config),
+            "provider_ranking": self.provider_ranking,
+            "provider_ranking_total": ranking_ops.ranking_total(self.provider_ranking),
         }
-        ranking = ranking_ops.provider_ranking(self.pending_detail, self.config).persist()
-        out["provider_ranking"] = ranking
-        out["provider_ranking_total"] = ranking_ops.ranking_total(ranking)
-        out["status_matrix"] = union([tagged(self.matrices[g], g) for g in GRANULARITIES])
-        return out
 
     def write(self, output_dir: str, fmt: str = "parquet", concurrent_jobs: int = 4) -> dict[str, str]:
         """K1: write every report under ``output_dir/<report>``; sliced reports
-        are partitioned by ``granularity`` and ``slice``. Reports are small, so
-        each is coalesced to one task and sorted there (T3-T6) - a globally
-        ordered file without a range-partitioning sample job. The report jobs
-        are independent, so up to ``concurrent_jobs`` are submitted at once
-        from driver threads and share the cluster. Nothing is collected to the
-        driver."""
-        from concurrent.futures import ThreadPoolExecutor
-
-        ensure_checkpoint_dir(self.snapshot.sparkSession)
+        are partitioned by ``granularity`` and ``slice``, all are in report
+        order (T3-T6) file by file. Growing reports are range-partitioned on
+        that order and written by many tasks. The report jobs are independent,
+        so up to ``concurrent_jobs`` are submitted at once from driver threads
+        and share the cluster. Nothing is collected to the driver."""
         jobs = []
         for name, df in self.datasets().items():
             parts = [c for c in ("granularity", "slice") if c in df.columns]
-            order = [F.col(c) for c in parts] + [_order_col(c) for c in REPORT_ORDER.get(name, ())]
-            ordered = df.coalesce(1)
-            if order:
-                ordered = ordered.sortWithinPartitions(*order)
-            writer = ordered.write.mode("overwrite").format(fmt)
-            if parts:
-                writer = writer.partitionBy(*parts)
-            jobs.append((name, writer, f"{output_dir.rstrip('/')}/{name}"))
+            order = [F.col(c) for c in parts] + [order_column(c) for c in REPORT_ORDER.get(name, ()) if c not in parts]
+            df = df.repartitionByRange(*order) if name in GROWING else df.coalesce(1)
+            writer = (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").format(fmt)
+            jobs.append((name, writer.partitionBy(*parts) if parts else writer, f"{output_dir.rstrip('/')}/{name}"))
         with ThreadPoolExecutor(max_workers=max(1, concurrent_jobs)) as pool:
-            for fut in [pool.submit(w.save, path) for _, w, path in jobs]:
-                fut.result()
+            for done in [pool.submit(w.save, path) for _, w, path in jobs]:
+                done.result()
         return {name: path for name, _, path in jobs}
 
     def release(self) -> None:
-        for df in [*self.summaries.values(), *self.matrices.values(), self.pending_detail]:
-            df.unpersist()
-
-
-def _snapshot(df: DataFrame, reliable: bool) -> DataFrame:
-    return materialize(df) if reliable else df.persist()
+        """Delete the run's folder; frames built from it can no longer be read."""
+        if "folder" in self.__dict__:
+            remove_folder(self.spark, self.folder)
+        for name in ("folder", "top", "snapshot", "summaries", "pending_detail", "provider_ranking"):
+            self.__dict__.pop(name, None)

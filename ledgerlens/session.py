@@ -1,5 +1,5 @@
-"""Session helpers: a local session for tests and the bench, and the reliable
-checkpoint directory used to cut lineage.
+"""Session helpers: a local session for tests and the bench, the shared
+checkpoint folder, and tables kept in it.
 
 Library code never invents a storage location on a cluster: it reads
 ``spark.checkpoint.dir`` (or the SparkContext's checkpoint dir) from the
@@ -9,8 +9,9 @@ session. Only a local-mode session without one gets a fresh scratch folder.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
@@ -18,13 +19,13 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # split a hot join partition even when a later operator must re-shuffle:
-    # the aggregates after the joins pre-combine, so the extra exchange is small
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.ansi.enabled": "true",
 }
 
 
+_scratch: list[tempfile.TemporaryDirectory] = []
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens",
                   driver_memory: str = "8g", extra: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -63,21 +64,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage "
                            "(HDFS/S3/ABFS) so checkpoints survive executor loss")
-    path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    _scratch.append(tempfile.TemporaryDirectory(prefix="ledgerlens-ckpt-", ignore_cleanup_errors=True))
+    spark.sparkContext.setCheckpointDir(_scratch[-1].name)  # the folder goes when the process ends
+    return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df):
-    """Compute ``df`` once and cut its lineage (reliable checkpoint).
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written once as Parquet under ``path`` and read back.
 
-    Used where one intermediate result feeds several consumers that prune it
-    differently (so Spark could not reuse a shuffle between them). Persisting
-    first makes the checkpoint write read cached blocks instead of running the
-    plan a second time; the cache is released once the checkpoint exists.
+    Used where several consumers read one intermediate result, each other
+    columns of it: the readers prune columns and partitions, lineage is cut,
+    and a lost executor costs a re-read, not a re-computation.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist()
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, storage: str | None, name: str) -> str:
+    """A fresh folder name under ``storage``, by default the checkpoint folder."""
+    return f"{(storage or ensure_checkpoint_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library made, on whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerlens.config import LedgerConfig
-from ledgerlens.functions.json import json_array, json_scalar, max_value_for_key
+from ledgerlens.functions.json import json_array, max_value_for_key, with_json_field
 from ledgerlens.plans.reports import LedgerReports
 from tests.conftest import cost, provider, trace
 
@@ -61,11 +61,14 @@ def test_fewer_than_five_periods_all_used(tables):
 # -- P1 / P2 / A2 ---------------------------------------------------------------------
 
 def test_json_scalar_edges(spark):
-    texts = ['{"name":"a"}', '{"name":{"x":1}}', '{"name":[1]}', "not json", '{"name":null}', None,
-             '{"name":"{x"}', '{"name":12}']
-    df = spark.createDataFrame([(t,) for t in texts], "j string")
-    got = [r[0] for r in df.select(json_scalar("j", "$.name")).collect()]
-    assert got == ["a", None, None, None, None, None, "{x", "12"]
+    cases = [('{"name":"a"}', "a"), (' { "name" :\t"a b" }\n', "a b"), ('{"name":{"x":1}}', None), ('{"name":[1]}', None),
+             ("not json", None), ('{"name":null}', None), (None, None), ("", None), ('{"name":"{x"}', "{x"), ('{"name":12}', "12"),
+             ('{"name":true}', "true"), ('{"name":"a"} trailing', None), ('{"name":"a"},{"name":"b"}', None), ('{"name":"a"', None),
+             ('{"name":"a","name":"b"}', "a"), ('{"other":1,"name":"a"}', "a"), ('{"name":"q\\"q"}', 'q"q'), ("{'name':'a'}", None),
+             ('{"name":{"x":1},"name":"b"}', None), ('["name"]', None), ('{"name":""}', ""), ('{"name":"a","deep":{"name":"b"}}', "a")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, j string")
+    got = with_json_field(df, "j", "name", "v").orderBy("k").collect()
+    assert [(r["j"], r["v"]) for r in got] == cases
 
 
 def test_payload_array_edges(spark):
@@ -128,6 +131,34 @@ def test_rejected_provider_types_drop(tables):
     assert rows(s, "pre_invoices") == [(1,)]
 
 
+def test_equal_times_have_one_winner_in_any_order(tables):
+    # real logs have no seq: it reads as NULL
+    log = [trace("1", f"s{k}", "2026-02-01 00:00:00", seq=None, invoice_id=100 + k % 3, doc=f"D{k}") for k in range(7)]
+    log += [trace("1", None, "2026-02-01 00:00:00", seq=None, invoice_id=102, doc="D9")]
+    found = set()
+    for shift in range(len(log)):
+        r = LedgerReports(tables([cost(1, 1)], traces=log[shift:] + log[:shift]))
+        found.update(rows(r.trace_detail.coalesce(1), "status", "invoice_id", "file_accounting_document"))
+    assert found == {("s5", 102, "D5")}
+
+
+def test_one_payload_parse_in_the_plan(tables):
+    r = LedgerReports(tables([cost(1, 1)]))
+    for df in (r.status_summary("weekly"), r.asset_counts("weekly"), r.payload_route(), r.enriched("monthly")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson(payload") == 1
+
+
+def test_nothing_runs_while_plans_are_built(spark, tables):
+    r = LedgerReports(tables([cost(1, 1)]))
+    spark.sparkContext.setJobGroup("building", "no job may run")
+    for df in (r.matrix("share", "weekly"), r.matrix_wide("count", "monthly", "regular"), r.matrix_display("weekly"), r.slice_status(),
+               r.report_row_counts(), r.asset_row("routes", "weekly"), r.pending_by_provider()):
+        df.explain(mode="simple")
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    spark.sparkContext.setJobGroup("", "")
+
+
 # -- F3 / A10 / V3-V5 / V7 ----------------------------------------------------------------------
 
 def test_unsliced_includes_null_and_third_types(tables):
@@ -241,3 +272,67 @@ def test_non_positive_grand_total_gives_zero_share(tables):
     r = LedgerReports(tables(costs))
     assert rows(r.provider_ranking(), "cost", "cost_share") == [(Decimal("-5.00"), 0.0)]
     assert rows(r.provider_ranking_total(), "cost", "cost_share") == [(Decimal("-5.00"), 1.0)]
+
+
+# -- V8 / P14 / P15 / A14 / T6 ---------------------------------------------------------------
+
+def test_asset_rows_and_text(tables):
+    costs = [cost(k, 1, "202611Q1", pid=k, route=f"R{k}", vehicle=None) for k in range(1100)]
+    r = LedgerReports(tables([*costs, cost(5000, 1, "202612Q2", pid=7, route="R1", vehicle="V1")]))
+    assert [tuple(x) for x in r.asset_row("routes", "weekly").collect()] == [("Rotas distintas", 1100, 1, None, None, None)]
+    assert [tuple(x) for x in r.asset_row("vehicles", "weekly").collect()] == [("Veiculos distintos", 0, 1, None, None, None)]
+    assert rows(r.asset_display("weekly"), "metric", "bucket", "text") == [
+        ("Rotas distintas", "202611Q1", "1.100"), ("Rotas distintas", "202612Q2", "1"),
+        ("Veiculos distintos", "202611Q1", "0"), ("Veiculos distintos", "202612Q2", "1")]
+    assert r.asset_row("routes", "weekly", "complementary").count() == 0
+
+
+def test_share_fractions(tables):
+    r = LedgerReports(tables([cost(1, 1, pid=1), cost(2, 1, pid=2), cost(3, 1, pid=3)], traces=[trace("1", "sap_status_pagado")]))
+    assert {s: round(v, 9) for s, v in rows(r.share_fractions("weekly"), "status", "value") if v} == {
+        "sap_status_pago_realizado": 0.333, "NULL": 0.667, "TOTAL": 1.0}
+
+
+def test_row_counts_name_empty_results(tables):
+    r = LedgerReports(tables([cost(1, 1, pid=1), cost(2, 1, "202611Q1", pid=2, payload=None)]))
+    got = {x[:3]: x[3] for x in rows(r.report_row_counts(), "slice", "report", "granularity", "rows")}
+    assert len(got) == 12
+    assert got["regular", "status_summary", "weekly"] == 2 and got["regular", "asset_counts", "weekly"] == 1
+    assert got["complementary", "status_summary", "monthly"] == 0 and got["all", "asset_counts", "monthly"] == 1
+
+
+def test_positions_follow_the_report_order(tables):
+    provs = [provider(k) for k in range(1, 40)]
+    costs = [cost(100 * p + k, 1, name, pid=100 * p + k, prov=p, amt=f"{p % 7}.00")
+             for p in range(1, 40) for k, name in enumerate(("202601Q1", "202601Q2", "202602Q1"))]
+    r = LedgerReports(tables(costs, (), provs))
+    got = sorted((x["position"], -x["cost"], x["provider_id"]) for x in r.provider_ranking_positions().collect())
+    assert [x[0] for x in got] == list(range(1, 40)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+    r.release()
+    assert r._folders == []
+
+
+# -- hot keys --------------------------------------------------------------------------------
+
+def test_hot_transaction_and_pre_invoice_are_split(spark, tables, tmp_path):
+    """90 % of the ledger on one transaction and one pre-invoice, most of it
+    older versions and copies: right results, and no shuffle hands one task
+    more than a fair share of the rows. Measured from the tasks' own counts."""
+    assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "false"
+    n = 20_000
+    ledger = spark.range(n, numPartitions=8).selectExpr(
+        "CASE WHEN id % 10 < 9 THEN 7L ELSE 1000 + id END AS transaction_id", "id AS version_id", "'PROCESSED' AS event_status",
+        "'{\"name\":\"202612Q2\"}' AS period", "CAST(1 AS DECIMAL(18,2)) AS cost_amt", "'regular' AS pre_invoice_type",
+        "CASE WHEN id % 10 < 9 THEN 1L ELSE id END AS pre_invoice_id", "1L AS provider_id", "CAST(NULL AS STRING) AS payload")
+    ledger.write.parquet(str(tmp_path / "ledger"))
+    t = tables([], [trace("1", "accounting_error")])
+    r = LedgerReports(type(t)(spark.read.parquet(str(tmp_path / "ledger")), t.trace_event, t.provider))
+    got = {x["status"]: (x["pre_invoices"], x["cost"]) for x in r.status_summary("weekly").collect()}
+    assert got == {"accounting_error": (1, Decimal("1.00")), None: (2000, Decimal("2000.00"))}
+    # the same chain up to J1, by the partition its rows land in
+    from ledgerlens.operators.latest import collapse
+    from ledgerlens.operators.payload import with_payload_values
+    from ledgerlens.operators.summary import COLLAPSE_KEYS
+    spread = (collapse(with_payload_values(r.candidates("weekly")), *COLLAPSE_KEYS)
+              .repartition(8, "transaction_id", "version_id").groupBy(F.spark_partition_id()).count().collect())
+    assert len(spread) == 8 and max(x[1] for x in spread) <= 2 * n / 8

@@ -1,14 +1,14 @@
 """The one-snapshot suite writes every report and agrees with the per-query plans."""
 
-import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.plans.reports import LedgerReports
-from ledgerlens.plans.suite import ReportSuite
+from ledgerlens.plans.suite import REPORT_ORDER, ReportSuite
 from ledgerlens.sources.standin import standin_tables
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_SMALL, cost
 
 
 def _same(a, b):
@@ -37,16 +37,15 @@ def test_suite_pending_and_ranking(pair):
     suite, reports = pair
     assert _same(suite.pending_detail, reports.pending_detail())
     ds = suite.datasets()
-    assert _same(ds["provider_ranking"], reports.provider_ranking())
+    assert _same(ds["provider_ranking"], reports.provider_ranking_positions())
     assert _same(ds["pending_by_provider"], reports.pending_by_provider())
     assert _same(ds["asset_counts"].where(F.col("granularity") == "weekly").drop("granularity"),
                  reports.asset_counts_all_slices("weekly"))
 
 
-def test_suite_writes_partitioned_datasets(spark, pair):
+def test_suite_writes_partitioned_datasets(spark, pair, tmp_path):
     suite, _ = pair
-    out = tempfile.mkdtemp(prefix="ledgerlens-test-out-")
-    paths = suite.write(out)
+    paths = suite.write(str(tmp_path))
     assert {"status_summary", "status_matrix", "asset_counts", "pending_detail", "pending_by_provider",
             "provider_ranking", "provider_ranking_total", "pending_summary", "ranking_excluded_periods",
             "slice_status"} <= set(paths)
@@ -54,3 +53,64 @@ def test_suite_writes_partitioned_datasets(spark, pair):
     assert {"granularity", "slice"} <= set(back.columns)
     assert back.where("granularity = 'weekly' AND slice = 'all'").count() == \
         suite.status_summary("weekly", "all").count()
+
+
+def _in_file_order(path):
+    """Rows as a reader meets them: file by file, by the number of the task that wrote it."""
+    import pyarrow.parquet as pq
+    files = sorted(Path(path).rglob("*.parquet"), key=lambda f: (str(f.parent), f.name.split("-")[1]))
+    return [r for f in files for r in pq.ParquetFile(f).read().to_pylist()], len(files)
+
+
+def _key(spec, row):
+    """Ascending with NULLs first; "-column" descending with NULLs last."""
+    v = row[spec.lstrip("-")]
+    return (v is None, -(v or 0)) if spec.startswith("-") else (v is not None, v if v is not None else 0)
+
+
+@pytest.mark.parametrize("name", ["pending_detail", "pending_by_provider", "provider_ranking"])
+def test_written_files_are_in_report_order(spark, pair, tmp_path, name):
+    suite, _ = pair
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows, files = _in_file_order(suite.write(str(tmp_path))[name])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert files > 1  # written by several tasks
+    keys = [tuple(_key(s, r) for s in REPORT_ORDER[name]) for r in rows]
+    assert keys == sorted(keys) and len(rows) > 5
+
+
+@pytest.mark.parametrize("name,parts", [("status_summary", 2), ("status_matrix", 2), ("asset_counts", 2)])
+def test_sliced_files_are_in_report_order(spark, pair, tmp_path, name, parts):
+    suite, _ = pair
+    root = suite.write(str(tmp_path))[name]
+    for folder in {f.parent for f in Path(root).rglob("*.parquet")}:
+        rows, _ = _in_file_order(folder)
+        order = [c for c in REPORT_ORDER[name] if c in rows[0]]
+        keys = [tuple(_key(s, r) for s in order) for r in rows]
+        assert keys == sorted(keys)
+
+
+def test_empty_weekly_slice_has_no_sliced_reports(spark, tables, tmp_path):
+    costs = [cost(k, 1, name, pid=k) for k, name in enumerate(("202612Q2", "202612Q1", "202611Q2", "202611Q1", "202610Q2"))]
+    costs.append(cost(50, 1, "202609Q1", pid=50, ptype="complementary"))  # in a top month, in no top period
+    suite = ReportSuite(tables(costs), storage=str(tmp_path / "run"))
+    paths = suite.write(str(tmp_path / "out"))
+    assert {(r["slice"], r["has_data"]) for r in suite.slice_status().collect()} == {
+        ("all", True), ("regular", True), ("complementary", False)}
+    for name in ("status_summary", "status_matrix", "asset_counts"):
+        got = spark.read.parquet(paths[name])
+        assert got.where("slice = 'complementary'").count() == 0 and got.where("slice = 'regular'").count() > 0
+    assert suite.status_summary("monthly", "complementary").count() == 1
+    suite.release()
+    assert list((tmp_path / "run").iterdir()) == []
+
+
+def test_reports_read_only_their_columns_and_partitions(spark, pair):
+    suite, _ = pair
+    plan = suite.asset_counts_by_slice("weekly")._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema"):].split("\n")[0]
+    assert "row_route" in schema and "invoice_amount" not in schema and "cost_amt" not in schema
+    assert "in_top_period" in plan[plan.index("PartitionFilters"):].split("]")[0]
