@@ -47,6 +47,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a membership filter at most (16 MB); fuller ones let more through.
+FILTER_BITS = 27
+
+
+class Members:
+    """A bounded one-sided membership test of 64-bit values: true for every
+    member, and for few others while members are fewer than 2**FILTER_BITS / 16.
+
+    The bits are gathered by one aggregation, at most 2**FILTER_BITS / 64 rows,
+    and are broadcast to thin out rows before an exact join or count.
+    """
+
+    def __init__(self, values: DataFrame, column: str):
+        spark = values.sparkSession
+        n = values.count()
+        self.log2 = min(FILTER_BITS, max(10, (16 * n).bit_length()))
+        at = F.pmod(F.col(column), F.lit(1 << self.log2))
+        rows = (values.groupBy(F.shiftright(at, 6).alias("slot"))
+                .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, 64) AS int))")).alias("bits")).toArrow())
+        words = np.zeros(1 << (self.log2 - 6), np.int64)
+        words[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
+        self._words = spark.sparkContext.broadcast(words)
+
+    def __getstate__(self):
+        return {"log2": self.log2, "_words": self._words}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+
+    def test(self, values: np.ndarray) -> np.ndarray:
+        at = values.astype(np.int64, copy=False) & np.int64((1 << self.log2) - 1)
+        return (self._words.value[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def lower_ascii(col):
     """A-Z to a-z; every other character stays."""
     return F.translate(col, UPPER, LOWER)

@@ -4,21 +4,24 @@ Documents link when the Jaccard similarity of their shingle sets reaches the
 threshold; the result is each document's component.
 
 1. One scan turns texts into sets of 64-bit shingle hashes and keeps, per
-   document, the set's size, digest, min-hashes and hash-order prefix. Linked
-   sets share a token of both prefixes, so a set none of whose prefix tokens
-   occurs in another prefix has no partner. Equal sets become one class.
+   document, the set's size, digest, min-hashes and its smallest hashes: the
+   prefix of which a linked set must share one, and half as many more. How many
+   of these a linked document must share at least follows from its size
+   (``least_shared``); documents that share fewer have no partner. Equal sets
+   become one class.
 2. Similar documents form groups: the classes of a min-hash bucket are compared
    with the bucket's smallest document, and those that link join its group.
-3. The token-group matrix has an entry for every prefix token and every group
+3. The token-group matrix has an entry for every kept token and every group
    whose token union holds it: the sizes of the members with that token, and
    how many of their tokens, at most, can still match from there on. Two groups
    qualify at a token when that bound reaches the overlap that the smallest
    sizes demand. Only qualifying groups are opened: their members with that
    token meet, pass the same bound themselves, and are verified on whole sets.
 4. A column with more than ``CAP`` groups (a passage that many documents share)
-   is not opened. The documents in it go through step 3 once more with prefixes
-   in order of rising token frequency, where such tokens come last; there every
-   qualifying column is opened, so no link is lost.
+   is not opened: in the global order it comes after all others. Documents with
+   so many crowded tokens that ``least_shared`` of them could be all that a pair
+   has in common go through step 3 once more, with their whole sets in order of
+   rising frequency; there every qualifying column is opened, so no link is lost.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import connected_components, lower_bytes, mix64, ship, shingle_hashes, spaced_words, stored, word_hashes
+from ledgerlens.llm.common import Members, connected_components, lower_bytes, mix64, ship, shingle_hashes, spaced_words, stored, word_hashes
 
 #: Groups in a matrix column beyond which it is left to the frequency order.
 CAP = 32
@@ -51,36 +54,84 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def kept_length(n: int, percent: int) -> int:
+    """Tokens that are kept of an ``n``-token set: the prefix and half as many more."""
+    p = prefix_length(n, percent)
+    return min(n, p + -(-p // 2))
+
+
+def least_shared(n: int, percent: int) -> int:
+    """How many kept tokens of an ``n``-token set any linked set has among its
+    own kept ones, at least.
+
+    Below the smaller one of two linked sets' largest kept hashes, both keep all
+    their tokens. The set whose largest it is lacks a partner for at most
+    prefix_length - 1 of its kept tokens; the sets' sizes differ by the
+    threshold at most, and the count grows with the size, so the smallest
+    possible partner gives the bound for both.
+    """
+    m = -(-percent * n // 100)
+    return kept_length(m, percent) - prefix_length(m, percent) + 1 if n else 0
+
+
 def _summaries(docs: DataFrame, id_type: str, size: int, percent: int) -> DataFrame:
-    """``id, n, d1, d2, keys, prefix`` of every row of ``id, text``."""
+    """``id, n, least, d1, d2, keys, kept`` of every row of ``id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d1, d2, keys, prefix = [], [], [], [], []
+            n, least, d1, d2, keys, kept = [], [], [], [], [], []
             for text in b.column("text"):
                 h = shingle_set(text.as_py(), size)
                 n.append(len(h))
+                least.append(least_shared(len(h), percent))
                 with np.errstate(over="ignore"):
                     d1.append(int(mix64(h ^ _SEEDS[-1]).sum(dtype=np.uint64).view(np.int64)))
                     d2.append(int(mix64(h ^ _SEEDS[-2]).sum(dtype=np.uint64).view(np.int64)))
                 keys.append([int(mix64(h ^ s).min().view(np.int64)) for s in _SEEDS[:MIN_HASHES]] if len(h) else [])
-                prefix.append(h[: prefix_length(len(h), percent)].view(np.int64))
+                kept.append(h[: kept_length(len(h), percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), *(pa.array(x, pa.int64()) for x in (n, d1, d2)),
-                 *(pa.array(x, pa.list_(pa.int64())) for x in (keys, prefix))], ["id", "n", "d1", "d2", "keys", "prefix"])
+                [b.column("id"), *(pa.array(x, pa.int64()) for x in (n, least, d1, d2)),
+                 *(pa.array(x, pa.list_(pa.int64())) for x in (keys, kept))], ["id", "n", "least", "d1", "d2", "keys", "kept"])
+
+    return docs.mapInArrow(run, f"id {id_type}, n bigint, least bigint, d1 bigint, d2 bigint, keys array<bigint>, kept array<bigint>")
+
+
+def _shared_entries(rows: DataFrame, id_type: str) -> DataFrame:
+    """``id, n, least, d1, d2, pos, token`` of the kept tokens that several rows keep
+    (and, the filter being one-sided, of a few others)."""
+    tokens = rows.select(F.explode("kept").alias("token"))
+    shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2").select("token"), "shared-tokens")
+    members = Members(shared, "token")
 
-    return docs.mapInArrow(run, f"id {id_type}, n bigint, d1 bigint, d2 bigint, keys array<bigint>, prefix array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = b.column("kept")
+            tokens = kept.flatten().to_numpy(zero_copy_only=False)
+            size = kept.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+            at = np.flatnonzero(members.test(tokens))
+            row = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("id", "n", "least", "d1", "d2")),
+                                              pa.array(pos[at].astype(np.int64)), pa.array(tokens[at])],
+                                             ["id", "n", "least", "d1", "d2", "pos", "token"])
+
+    return rows.where("n > 0 AND id IS NOT NULL").select("id", "n", "least", "d1", "d2", "kept").mapInArrow(
+        run, f"id {id_type}, n bigint, least bigint, d1 bigint, d2 bigint, pos bigint, token bigint")
 
 
-def _whole_sets(docs: DataFrame, id_type: str, size: int) -> DataFrame:
-    """``id, tokens`` of every row of ``id, text``."""
+def _whole_sets(docs: DataFrame, ids: DataFrame, id_type: str, size: int) -> DataFrame:
+    """``id, tokens`` of the rows of ``id, text`` whose id is in ``ids``."""
+    members = Members(ids.select(F.xxhash64("id").alias("h")), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(text.as_py(), size).view(np.int64) for text in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "tokens"])
+            mask = pa.array(members.test(b.column("h").to_numpy(zero_copy_only=False)))
+            sets = [shingle_set(text.as_py(), size).view(np.int64) for text in b.column("text").filter(mask)]
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(mask), pa.array(sets, pa.list_(pa.int64()))], ["id", "tokens"])
 
-    return docs.mapInArrow(run, f"id {id_type}, tokens array<bigint>")
+    found = docs.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, f"id {id_type}, tokens array<bigint>")
+    return found.join(ids, "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, id_type: str, percent: int) -> DataFrame:
@@ -107,27 +158,24 @@ def _in_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
         "g", F.coalesce("component", "id")).drop("component")
 
 
-def matrix_candidates(entries: DataFrame, percent: int, cap: int | None) -> DataFrame:
-    """Pairs ``x < y`` of documents of different groups that qualify, from
-    ``token, id, g, n, pos`` (pos: the token's place in the document's order).
-    Columns of more than ``cap`` groups are left out, if it is given."""
+def matrix_candidates(entries: DataFrame, columns: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x < y`` of documents of different groups that qualify at one of
+    ``columns``, from ``token, id, g, n, rest`` (rest: how many of the document's
+    tokens do not come before this one in the global order)."""
 
     def needed(n1, n2):  # overlap that sizes n1 and n2 demand
         return F.ceil((n1 + n2) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
+    entries = entries.join(columns, "token", "left_semi")
     matrix = entries.groupBy("token", "g").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    columns = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where("width >= 2")
-    if cap is not None:
-        columns = columns.where(F.col("width") <= cap)
-    matrix = matrix.join(columns.select("token"), "token")
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
     a, b = (matrix.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("g", "lo", "hi", "rest"))) for k in (1, 2))
     qualify = (a.join(b, "token").where("g1 < g2")
                .where(F.col("hi1") * 100 >= F.col("lo2") * percent).where(F.col("hi2") * 100 >= F.col("lo1") * percent)
                .where(F.least("rest1", "rest2") >= needed(F.col("lo1"), F.col("lo2")))
                .select("token", "g1", "g2"))
     m1, m2 = (entries.select("token", F.col("g").alias(f"g{k}"), F.col("id").alias(f"id{k}"), F.col("n").alias(f"n{k}"),
-                             (F.col("n") - F.col("pos")).alias(f"rest{k}")) for k in (1, 2))
+                             F.col("rest").alias(f"rest{k}")) for k in (1, 2))
     opened = (qualify.join(m1, ["token", "g1"]).join(m2, ["token", "g2"])
               .where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
               .where(F.least("rest1", "rest2") >= needed(F.col("n1"), F.col("n2"))))
@@ -150,29 +198,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = stored(_summaries(texts, id_type, size, percent), "sets")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    reps = rows.join(classes.select(F.col("rep").alias("id"), "d1", "d2", "n"), ["id", "d1", "d2", "n"], "left_semi")
-    entries = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    entries = stored(entries.join(shared.select("token"), "token", "left_semi"), "entries")
-    active = entries.select("id").distinct()
-    sets = stored(_whole_sets(texts.join(active, "id", "left_semi"), id_type, size), "whole-sets")
+    entries = stored(_shared_entries(rows, id_type).join(classes, ["d1", "d2", "n"]).where("id = rep")
+                     .select("id", "n", "least", "pos", "token"), "entries")
+
+    def columns_of(e: DataFrame) -> DataFrame:
+        """``token, width``: how many groups have the token, two at least."""
+        return e.groupBy("token").agg(F.countDistinct("g").alias("width")).where("width >= 2")
+
+    def can_link(e: DataFrame) -> DataFrame:
+        """Ids with enough of their kept tokens in ``e`` to have a partner."""
+        return e.groupBy("id", "least").agg(F.count(F.lit(1)).alias("k")).where("k >= least").select("id")
+
+    several = columns_of(entries.withColumn("g", F.col("id"))).select("token")
+    active = stored(can_link(entries.join(several, "token", "left_semi")), "active")
+    entries = entries.join(active, "id", "left_semi")
+    sets = stored(_whole_sets(texts, active, id_type, size), "whole-sets")
 
     # groups of similar documents
-    keyed = (rows.where("n > 0").join(active, "id", "left_semi").join(classes, ["d1", "d2", "n"])
-             .where("id = rep").select("id", F.posexplode("keys").alias("k", "key")))
+    keyed = rows.join(active, "id", "left_semi").select("id", F.posexplode("keys").alias("k", "key"))
     leaders = keyed.groupBy("k", "key").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("m")).where("m >= 2")
     near = keyed.join(leaders, ["k", "key"]).where("id <> x").select("x", F.col("id").alias("y")).distinct()
     links = stored(_verified(near, sets, id_type, percent), "links")
-    groups = connected_components(links)
-
-    # columns that are narrow enough are opened; documents in others once more
-    grouped = stored(_in_groups(entries, groups), "entries")
-    links = links.union(stored(_verified(matrix_candidates(grouped, percent, CAP), sets, id_type, percent), "links"))
-    wide = (grouped.groupBy("token", "g").agg(F.lit(1).alias("_")).groupBy("token").agg(F.count(F.lit(1)).alias("width"))
-            .where(F.col("width") > CAP).select("token"))
-    crowded = stored(grouped.join(wide, "token", "left_semi").select("id").distinct(), "crowded")
-    if not crowded.isEmpty():
-        tokens = sets.join(crowded, "id", "left_semi").select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+
+    # columns that are narrow enough are opened; documents in many others go on
+    grouped = stored(_in_groups(entries, connected_components(links)), "entries")
+    columns = stored(columns_of(grouped), "columns")
+    wide = grouped.join(columns.where(F.col("width") > CAP), "token", "left_semi")
+    crowded = wide.groupBy("id").agg(F.count(F.lit(1)).alias("late"))
+    grouped_rest = (grouped.join(crowded, "id", "left")
+                    .withColumn("rest", F.col("n") - F.col("pos") + F.coalesce("late", F.lit(0))))
+    pairs = matrix_candidates(grouped_rest, columns.where(F.col("width") <= CAP).select("token"), percent)
+    links = links.union(stored(_verified(pairs, sets, id_type, percent), "links"))
+    again = stored(can_link(wide), "crowded")
+    if not again.isEmpty():
+        tokens = sets.join(again, "id", "left_semi").select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
         df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
         # tokens of one document only come first: they fill the places before ``pos``
         ordered = (tokens.join(df, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
@@ -180,9 +239,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                    .withColumn("reach", F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - alone"))
                    .where("reach > 0")
                    .select("id", "n", "alone", F.posexplode(F.slice("t", F.lit(1), F.col("reach"))).alias("k", "t"))
-                   .select("id", "n", (F.col("k") + F.col("alone")).alias("pos"), F.col("t.token").alias("token")))
-        again = stored(_in_groups(ordered, connected_components(links)), "entries")
-        links = links.union(stored(_verified(matrix_candidates(again, percent, None), sets, id_type, percent), "links"))
+                   .select("id", "n", (F.col("n") - F.col("k") - F.col("alone")).alias("rest"), F.col("t.token").alias("token")))
+        ordered = stored(_in_groups(ordered, connected_components(links)), "entries")
+        pairs = matrix_candidates(ordered, columns_of(ordered).select("token"), percent)
+        links = links.union(stored(_verified(pairs, sets, id_type, percent), "links"))
     components = connected_components(links)
     return (rows.join(classes, ["d1", "d2", "n"], "left")
             .join(components.withColumnRenamed("node", "rep"), "rep", "left")
@@ -190,6 +250,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id")))
 
 
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row with the
+    smallest id stays (of rows that share it, the one with the smallest text
+    hash). Rows with empty texts are components of their own; rows without an
+    id all stay."""
+    found = stored(jaccard_components(docs, id_col, text_col, **join), "components")
+    first = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
+    once = docs.join(first.where("rows = 1").select(id_col), id_col, "left_semi").select(*docs.columns)
+    more = docs.join(first.where("rows > 1").select(id_col), id_col, "left_semi")
+    picked = (more.groupBy(F.col(id_col).alias("__id"))
+              .agg(F.min_by(F.struct(*more.columns), F.struct(F.xxhash64(text_col), F.hash(*more.columns))).alias("row"))
+              .select("row.*"))
+    return once.unionByName(picked).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op6_token_group_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents by 4-word shingles at Jaccard 0.85."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
