@@ -134,6 +134,18 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, id_type: str, size: int) -> Dat
     return found.join(ids, "id", "left_semi")
 
 
+def _not_alone(sets: DataFrame, shared: Members, id_type: str, percent: int) -> DataFrame:
+    """The rows of ``sets`` that have tokens outside ``shared`` fewer than their prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = (t.values.to_numpy() for t in b.column("tokens"))
+            keep = [len(t) - int(shared.test(t).sum()) < prefix_length(len(t), percent) for t in rows]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return sets.select("id", "tokens").mapInArrow(run, f"id {id_type}, tokens array<bigint>")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, id_type: str, percent: int) -> DataFrame:
     """The linked ones of the pairs ``x, y``, by their whole sets, as ``src, dst``."""
 
@@ -231,10 +243,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = links.union(stored(_verified(pairs, sets, id_type, percent), "links"))
     again = stored(can_link(wide), "crowded")
     if not again.isEmpty():
-        tokens = sets.join(again, "id", "left_semi").select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-        df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+        whole = sets.join(again, "id", "left_semi")
+        several = stored(whole.select(F.explode("tokens").alias("token")).groupBy("token")
+                         .agg(F.count(F.lit(1)).alias("df")).where("df >= 2"), "frequencies")
+        # most drop out here: more of their tokens stand alone than a linked set may lack
+        tokens = _not_alone(whole, Members(several, "token"), id_type, percent).select(
+            "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
         # tokens of one document only come first: they fill the places before ``pos``
-        ordered = (tokens.join(df, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+        ordered = (tokens.join(several, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
                    .withColumn("alone", F.col("n") - F.size("t"))
                    .withColumn("reach", F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - alone"))
                    .where("reach > 0")
