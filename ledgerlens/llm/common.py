@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +36,31 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None):
+    """Within, Arrow batches hold ``rows`` rows at most (rows that carry whole
+    texts or sets need less than the default of 10,000); None changes nothing."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows is not None:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 
     This cuts the lineage, is computed once, survives lost executors, and stays
-    columnar, so later readers scan only the columns they use.
+    columnar, so later readers scan only the columns they use. ``batch_rows``
+    bounds the Arrow batches of Python stages while it is computed.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark, batch_rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
