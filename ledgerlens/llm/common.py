@@ -64,6 +64,22 @@ def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest_hashes(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The ``n`` rows of ``df`` with the smallest hashes of ``columns`` (all, if
+    there are fewer): a sample that does not depend on partitions or order.
+
+    Rows are thinned out by their hash first, to about 8 * n, so that what
+    meets in one place does not grow with the table.
+    """
+    spread = 1 << 40
+    hashed = df.withColumn("the hash", F.xxhash64(*columns))
+    total = df.count()
+    if total > 8 * n:
+        # the smallest of signed hashes: those up to this quantile
+        hashed = hashed.where(F.shiftright("the hash", 24) < int(spread * 8 * n / total) - spread // 2)
+    return hashed.orderBy("the hash", *columns).limit(n).drop("the hash")
+
+
 #: Bits of a membership filter at most (16 MB); fuller ones let more through.
 FILTER_BITS = 27
 

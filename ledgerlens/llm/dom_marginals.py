@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ship
+from ledgerlens.llm.common import ship, smallest_hashes
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
                     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
@@ -314,8 +314,7 @@ def train(pages: DataFrame, html_col: str = "html", train_pages: int = 2_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(flat[k])], ["k", "n"])
 
     html = F.col(html_col)
-    marked = (pages.select(html.alias("html")).where(F.lower(html).rlike("<(article|main)[ >]"))
-              .orderBy(F.xxhash64("html"), "html").limit(train_pages))
+    marked = smallest_hashes(pages.select(html.alias("html")).where(html.rlike("(?i)<(article|main)[ >]")), train_pages, "html")
     rows = marked.mapInArrow(count, "k bigint, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(3 * 2 * SHOWN + 12)
     for r in rows:

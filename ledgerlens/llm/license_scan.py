@@ -99,7 +99,8 @@ def block_matches(blocks: DataFrame, templates=TEMPLATES, threshold: float = THR
     prefix = spark.createDataFrame(prefixes, "label string, words array<string>, needed int, i int, word string")
     # a block's own words in the global order, each with its place
     listed = F.array(*(F.lit(w) for w in order))
-    rows = blocks.withColumn("hits", F.filter(listed, lambda w: F.array_contains("hits", w))).select(
+    rare = F.array(*(F.lit(w) for w in sorted({p[-1] for p in prefixes})))
+    rows = blocks.where(F.arrays_overlap("hits", rare)).withColumn("hits", F.filter(listed, lambda w: F.array_contains("hits", w))).select(
         "key", "n", "hits", F.posexplode("hits").alias("j", "word"))
     size = F.size("words")
     candidates = (rows.join(F.broadcast(prefix), "word")

@@ -45,7 +45,7 @@ DENSE = 1_024
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 20_000
 SHARD_TOKENS = 2_000_000
 #: Steps per factor of two, to which ratios of estimates are rounded for EM.
-GRID = 16
+GRID = 8
 
 _END_HASH = np.int64(0x656E64)  # an arbitrary constant for the end token's counts
 
@@ -172,12 +172,17 @@ def count_words(training: DataFrame) -> DataFrame:
 
 
 def choose_vocabulary(counts: DataFrame, size: int) -> Vocabulary:
-    """The words with at least the smallest count that at most ``size`` words reach."""
+    """The words with at least some count, the smallest for which they are at
+    most ``size``; counts over 255 are told apart by their first 8 bits, so
+    that the steps are fewer than 8,000 whatever the corpus."""
     end = counts.where(F.col("word") == F.lit(int(_END_HASH))).first()
     words = counts.where(F.col("word") != F.lit(int(_END_HASH)))
-    steps = sorted(((r["c"], r["n"]) for r in words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    rest = "greatest(length(bin(c)) - 8, 0)"
+    steps = sorted(((r["at_least"], r["n"], r["tokens"]) for r in words.groupBy(
+        F.expr(f"shiftleft(shiftright(c, {rest}), {rest})").alias("at_least")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("c").alias("tokens")).collect()), reverse=True)
     least, held = None, 0
-    for c, n in steps:
+    for c, n, _ in steps:
         if held + n > size:
             break
         least, held = c, held + n
@@ -187,7 +192,7 @@ def choose_vocabulary(counts: DataFrame, size: int) -> Vocabulary:
     word, c, d = (t.column(k).to_numpy() for k in ("word", "c", "d"))
     order = np.lexsort((word, -c))
     word, c, d = word[order], c[order], d[order]
-    types, tokens = sum(n for _, n in steps) + bool(end), sum(c * n for c, n in steps) + docs
+    types, tokens = sum(n for _, n, _ in steps) + bool(end), sum(t for _, _, t in steps) + docs
     by_word = np.argsort(word)
     rare = words.where(F.col("c") < least) if least is not None else words
     rare_c, rare_d = rare.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0))).first()
@@ -271,7 +276,7 @@ def events(voc: Vocabulary, v, w, c, d) -> tuple[np.ndarray, np.ndarray]:
     def code(p):
         with np.errstate(divide="ignore"):
             step = np.round(GRID * np.log2(p / uniform))
-        return np.where(p > 0, 1 + np.clip(step + (1 << 10), 0, (1 << 12) - 3), 0).astype(np.int64)
+        return np.where(p > 0, 1 + np.clip(step + (1 << 9), 0, (1 << 11) - 3), 0).astype(np.int64)
 
     return summed((bucket << 24) | (code(p2) << 12) | code(p1), d)
 
@@ -279,7 +284,7 @@ def events(voc: Vocabulary, v, w, c, d) -> tuple[np.ndarray, np.ndarray]:
 def grid_ratios(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, bigram ratio, unigram ratio) of EM cells."""
     def ratio(code):
-        return np.where(code > 0, 2.0 ** ((code - 1 - (1 << 10)) / GRID), 0.0)
+        return np.where(code > 0, 2.0 ** ((code - 1 - (1 << 9)) / GRID), 0.0)
     return cells >> 24, ratio((cells >> 12) & 0xFFF), ratio(cells & 0xFFF)
 
 
@@ -347,7 +352,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     pairs = stored(count_pairs(training, sent, shards).groupBy("r").applyInArrow(
         add_up, "r bigint, payload binary, cells array<bigint>, n array<bigint>"), "pair-counts")
-    # EM cells: at most buckets x ratio steps, whatever the corpus
+    # EM cells: at most buckets x ratio steps x ratio steps, whatever the corpus
     grid = (pairs.select(F.explode(F.arrays_zip("cells", "n")).alias("e")).groupBy(F.col("e.cells").alias("cell"))
             .agg(F.sum("e.n").alias("n")).orderBy("cell").toArrow())
     weights = learn_weights(grid.column("cell").to_numpy(), grid.column("n").to_numpy().astype(np.float64))

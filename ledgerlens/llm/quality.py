@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import held_out, ship, spaced_words, word_hashes
+from ledgerlens.llm.common import held_out, ship, smallest_hashes, spaced_words, word_hashes
 
 _KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32, 9), "line": (10, 13),
           "stop": b".", "comma": b",", "bang": b"!", "pipe": b"|", "sharp": b"#", "dollar": b"$", "percent": b"%",
@@ -146,9 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = (labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"))
              .where("quality IN (0, 1) AND id IS NOT NULL").where(~held_out("id", folds))
              .groupBy("id").agg(F.max("quality").alias("quality")))
-    order = F.xxhash64("id")
-    taken = known.where("quality = 1").orderBy(order, "id").limit(max_per_label).unionByName(
-        known.where("quality = 0").orderBy(order, "id").limit(max_per_label))
+    taken = reduce(DataFrame.unionByName, (smallest_hashes(known.where(F.col("quality") == q), max_per_label, "id") for q in (1, 0)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(taken.select("id")), "id", "left_semi")
     # at most 2 * max_per_label feature rows

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ship, stored
+from ledgerlens.llm.common import ship, smallest_hashes, stored
 
 BLOCK, LANE = 4_096, 1_024
 #: Lanes whose best lists a task holds before it hands them on.
@@ -163,6 +163,6 @@ def search(vectors: DataFrame, is_query, k: int, index: Callable[[np.ndarray], b
 
 
 def sample(vectors: DataFrame, n: int) -> np.ndarray:
-    """At most ``n`` vectors, the ones whose ids have the smallest hashes."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(n).select("v").toPandas()["v"]
+    """At most ``n`` vectors, the ones with the smallest hashes."""
+    rows = smallest_hashes(vectors, n, "id", "v").select("v").toPandas()["v"]
     return np.array([list(v) for v in rows], np.float64)

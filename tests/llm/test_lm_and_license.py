@@ -101,8 +101,8 @@ def test_weights_beat_the_base_on_held_out_documents(spark):
 def test_em_finds_the_mixture_of_made_up_events():
     rng = np.random.default_rng(0)
     p2, p1 = 2.0 ** rng.integers(0, 10, 400), 2.0 ** rng.integers(0, 8, 400)
-    cells = (np.int64(3) << 24) | ((1 + (lm_scoring.GRID * np.log2(p2) + 1024).astype(np.int64)) << 12) | (
-        1 + (lm_scoring.GRID * np.log2(p1) + 1024).astype(np.int64))
+    cells = (np.int64(3) << 24) | ((1 + (lm_scoring.GRID * np.log2(p2) + 512).astype(np.int64)) << 12) | (
+        1 + (lm_scoring.GRID * np.log2(p1) + 512).astype(np.int64))
     n = rng.integers(1, 20, 400).astype(float)
     w = lm_scoring.learn_weights(cells, n)[3]
     value = lambda w: (n * np.log(w[0] * p2 + w[1] * p1 + w[2])).sum()
