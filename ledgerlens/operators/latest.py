@@ -27,13 +27,15 @@ def latest_versions(cost_event: DataFrame) -> DataFrame:
 
 
 def collapse(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per (transaction, version, ``keys``): cost summed, payload values
-    maxed. The partial aggregate turns tied copies into one row per task before
-    anything is shuffled. Ties still add up, because the version is a key.
+    """One row per (transaction, version, ``keys``, payload values), cost summed.
+
+    The partial aggregate turns tied copies into one row per task before
+    anything is shuffled. Ties still add up, because the version is a key. The
+    payload values are keys, not maxima: with fixed-size buffers only, this
+    stays a hash aggregate, and the maximum over the few rows left follows later.
     """
-    values = [F.sum("cost_amt").alias("cost_amt")]
-    values += [F.max(c).alias(c) for c in ("row_route", "row_vehicle", "payload_elements") if c in rows.columns]
-    return rows.groupBy("transaction_id", "version_id", *keys).agg(*values)
+    payload = [c for c in ("row_route", "row_vehicle", "payload_elements") if c in rows.columns]
+    return rows.groupBy("transaction_id", "version_id", *keys, *payload).agg(F.sum("cost_amt").alias("cost_amt"))
 
 
 def keep_latest(rows: DataFrame, latest: DataFrame) -> DataFrame:
