@@ -43,9 +43,19 @@ def test_suite_pending_and_ranking(pair):
                  reports.asset_counts_all_slices("weekly"))
 
 
-def test_suite_writes_partitioned_datasets(spark, pair, tmp_path):
+@pytest.fixture(scope="module")
+def paths(spark, pair, tmp_path_factory):
+    """All datasets, written once, without AQE joining small partitions."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return pair[0].write(str(tmp_path_factory.mktemp("reports")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_suite_writes_partitioned_datasets(spark, pair, paths):
     suite, _ = pair
-    paths = suite.write(str(tmp_path))
     assert {"status_summary", "status_matrix", "asset_counts", "pending_detail", "pending_by_provider",
             "provider_ranking", "provider_ranking_total", "pending_summary", "ranking_excluded_periods",
             "slice_status"} <= set(paths)
@@ -69,24 +79,16 @@ def _key(spec, row):
 
 
 @pytest.mark.parametrize("name", ["pending_detail", "pending_by_provider", "provider_ranking"])
-def test_written_files_are_in_report_order(spark, pair, tmp_path, name):
-    suite, _ = pair
-    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        rows, files = _in_file_order(suite.write(str(tmp_path))[name])
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+def test_written_files_are_in_report_order(paths, name):
+    rows, files = _in_file_order(paths[name])
     assert files > 1  # written by several tasks
     keys = [tuple(_key(s, r) for s in REPORT_ORDER[name]) for r in rows]
     assert keys == sorted(keys) and len(rows) > 5
 
 
-@pytest.mark.parametrize("name,parts", [("status_summary", 2), ("status_matrix", 2), ("asset_counts", 2)])
-def test_sliced_files_are_in_report_order(spark, pair, tmp_path, name, parts):
-    suite, _ = pair
-    root = suite.write(str(tmp_path))[name]
-    for folder in {f.parent for f in Path(root).rglob("*.parquet")}:
+@pytest.mark.parametrize("name", ["status_summary", "status_matrix", "asset_counts"])
+def test_sliced_files_are_in_report_order(paths, name):
+    for folder in {f.parent for f in Path(paths[name]).rglob("*.parquet")}:
         rows, _ = _in_file_order(folder)
         order = [c for c in REPORT_ORDER[name] if c in rows[0]]
         keys = [tuple(_key(s, r) for s in order) for r in rows]
