@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import SPACED_WORD, stored
 
-#: Documents that one hash range of one source holds on average, at most.
+#: Documents that one hash range holds on average.
 RANGE_ROWS = 2_000
 
 #: Schedules by weight class: (time, relative rate) knots, time from 0 to 1.
@@ -34,7 +34,8 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_passes: int = 2) -> DataFrame:
-    """``source, source_size, cls, target`` of ``source, source_size``.
+    """``sources`` (``source, source_size`` and any other column) with ``cls``
+    and ``target``.
 
     Sources by code point, null last, weigh ``weights`` in turn. The target is
     min(max_passes * size, level * weight), the level such that targets sum to
@@ -53,7 +54,7 @@ def source_targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, ma
     # the right level is the first one under its own row's fill
     levels = capped.withColumn("level", level).withColumn(
         "water", F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level"))).over(W.partitionBy())["level"])
-    return levels.select("source", "source_size", "cls",
+    return levels.select(*sources.columns, "cls",
                          F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
@@ -89,26 +90,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     named in ``carry``, and then kept in a struct.
     """
     sized = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("source_key"),  # never null
+        n_words(F.col(text_col)).alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("order_key"),
         F.struct(*(F.col(f"`{c}`") for c in carry) or (F.lit(None).alias("none"),)).alias("carried"))
-    if not carry:
-        sized = stored(sized.drop("carried"), "sizes").withColumn("carried", F.lit(None))  # texts are read once
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    targets = source_targets(by_source.select("source", "source_size"), weights, share, max_passes)
-    targets = targets.join(by_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    small = stored(sized.drop("carried"), "sizes")
+    targets = stored(source_targets(small.groupBy("source_key", "source").agg(F.sum("size").alias("source_size")),
+                                    weights, share, max_passes).drop("source"), "targets")
 
-    # hash ranges of a source, as many as its documents need
+    # hash ranges, as many as all documents need, so that a hot source is split
+    n_ranges = -(-small.count() // RANGE_ROWS) or 1
     at = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    placed = (sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-              .withColumn("slice", F.floor(at * F.ceil(F.col("n") / RANGE_ROWS))))
-    sums = (placed.groupBy("source", "slice").agg(F.sum("size").alias("w"))
-            .withColumn("before", F.sum("w").over(W.partitionBy("source").orderBy("slice")) - F.col("w"))
-            .select(F.col("source").alias("s"), F.col("slice").alias("sl"), "before"))
-    inside = W.partitionBy("source", "slice").orderBy("order_key", F.col("id").asc_nulls_first(), "size").rowsBetween(
+    piece = F.floor(at * n_ranges).alias("range")
+    sums = stored(small.groupBy("source_key", piece).agg(F.sum("size").alias("w"))
+                  .withColumn("before", F.sum("w").over(W.partitionBy("source_key").orderBy("range")) - F.col("w"))
+                  .select("source_key", "range", "before"), "range-sums")
+    inside = W.partitionBy("source_key", "range").orderBy("order_key", F.col("id").asc_nulls_first(), "size").rowsBetween(
         W.unboundedPreceding, -1)
-    started = (placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-               .join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("sl")))
+    # documents travel once, to their range; the tables joined to them are small
+    rows = (sized if carry else small.withColumn("carried", F.lit(None))).select("*", piece)
+    started = (rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+               .join(sums, ["source_key", "range"]).join(targets, "source_key")
                .withColumn("start", F.col("inside") + F.col("before")))
     goal = F.round("target").cast("long")
     entries = []
