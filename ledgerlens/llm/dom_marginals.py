@@ -43,7 +43,8 @@ _BOILER_TAGS = frozenset("nav footer aside form button dialog menu head".split()
 _OPENERS = frozenset("article main".split())
 _BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
-    "notices alert popup modal overlay sidebar side widget widgets comment comments discussion disqus respond replies reply share "
+    "notices alert popup modal overlay sidebar side widget widgets comment comments commentlist discussion disqus respond responses "
+    "replies reply reviews feedback share "
     "sharing social follow related recommended recommendations nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "pagination pager toolbar footer masthead copyright subscribe subscription newsletter signup login search form tags "
     "tagcloud toc skip hidden".split())
