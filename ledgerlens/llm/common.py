@@ -7,7 +7,6 @@ import os
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +19,19 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application (as --py-files does)."""
+    """Make a session fit for this package's Python stages.
+
+    The package goes to the executors, once an application (as --py-files does).
+    Rows here carry whole texts, sets or blocks of vectors, so a session that
+    still has Spark's default of 10,000 rows an Arrow batch gets 1,000.
+    """
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -36,31 +43,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int | None):
-    """Within, Arrow batches hold ``rows`` rows at most (rows that carry whole
-    texts or sets need less than the default of 10,000); None changes nothing."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if rows is not None:
-        spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 
     This cuts the lineage, is computed once, survives lost executors, and stays
-    columnar, so later readers scan only the columns they use. ``batch_rows``
-    bounds the Arrow batches of Python stages while it is computed.
+    columnar, so later readers scan only the columns they use.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with arrow_rows(spark, batch_rows):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,15 +59,15 @@ def smallest_hashes(df: DataFrame, n: int, *columns: str) -> DataFrame:
     """The ``n`` rows of ``df`` with the smallest hashes of ``columns`` (all, if
     there are fewer): a sample that does not depend on partitions or order.
 
-    Rows are thinned out by their hash first, to about 8 * n, so that what
+    Rows are thinned out by their hash first, to about 4 * n, so that what
     meets in one place does not grow with the table.
     """
     spread = 1 << 40
     hashed = df.withColumn("the hash", F.xxhash64(*columns))
     total = df.count()
-    if total > 8 * n:
+    if total > 4 * n:
         # the smallest of signed hashes: those up to this quantile
-        hashed = hashed.where(F.shiftright("the hash", 24) < int(spread * 8 * n / total) - spread // 2)
+        hashed = hashed.where(F.shiftright("the hash", 24) < int(spread * 4 * n / total) - spread // 2)
     return hashed.orderBy("the hash", *columns).limit(n).drop("the hash")
 
 

@@ -37,8 +37,6 @@ from ledgerlens.llm.common import Members, connected_components, lower_bytes, mi
 
 #: Groups in a matrix column beyond which it is left to the frequency order.
 CAP = 32
-#: Rows of whole texts or sets that pass to Python at a time.
-BATCH = 1_000
 #: Min-hashes by which similar documents are brought together.
 MIN_HASHES = 4
 
@@ -210,7 +208,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = stored(_summaries(texts, id_type, size, percent), "sets", BATCH)
+    rows = stored(_summaries(texts, id_type, size, percent), "sets")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     entries = stored(_shared_entries(rows, id_type).join(classes, ["d1", "d2", "n"]).where("id = rep")
                      .select("id", "n", "least", "pos", "token"), "entries")
@@ -226,13 +224,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = columns_of(entries.withColumn("g", F.col("id"))).select("token")
     active = stored(can_link(entries.join(several, "token", "left_semi")), "active")
     entries = entries.join(active, "id", "left_semi")
-    sets = stored(_whole_sets(texts, active, id_type, size), "whole-sets", BATCH)
+    sets = stored(_whole_sets(texts, active, id_type, size), "whole-sets")
 
     # groups of similar documents
     keyed = rows.join(active, "id", "left_semi").select("id", F.posexplode("keys").alias("k", "key"))
     leaders = keyed.groupBy("k", "key").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("m")).where("m >= 2")
     near = keyed.join(leaders, ["k", "key"]).where("id <> x").select("x", F.col("id").alias("y")).distinct()
-    links = stored(_verified(near, sets, id_type, percent), "links", BATCH)
+    links = stored(_verified(near, sets, id_type, percent), "links")
 
     # columns that are narrow enough are opened; documents in many others go on
     groups = connected_components(links)
@@ -243,7 +241,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped_rest = (grouped.join(crowded, "id", "left")
                     .withColumn("rest", F.col("n") - F.col("pos") + F.coalesce("late", F.lit(0))))
     pairs = matrix_candidates(grouped_rest, columns.where(F.col("width") <= CAP).select("token"), percent)
-    links = links.union(stored(_verified(pairs, sets, id_type, percent), "links", BATCH))
+    links = links.union(stored(_verified(pairs, sets, id_type, percent), "links"))
     again = stored(can_link(wide), "crowded")
     if not again.isEmpty():
         whole = sets.join(again, "id", "left_semi")
@@ -259,9 +257,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                    .where("reach > 0")
                    .select("id", "n", "alone", F.posexplode(F.slice("t", F.lit(1), F.col("reach"))).alias("k", "t"))
                    .select("id", "n", (F.col("n") - F.col("k") - F.col("alone")).alias("rest"), F.col("t.token").alias("token")))
-        ordered = stored(_in_groups(ordered, groups), "entries", BATCH)
+        ordered = stored(_in_groups(ordered, groups), "entries")
         pairs = matrix_candidates(ordered, columns_of(ordered).select("token"), percent)
-        links = links.union(stored(_verified(pairs, sets, id_type, percent), "links", BATCH))
+        links = links.union(stored(_verified(pairs, sets, id_type, percent), "links"))
     components = connected_components(links)
     return (rows.join(classes, ["d1", "d2", "n"], "left")
             .join(components.withColumnRenamed("node", "rep"), "rep", "left")
