@@ -82,6 +82,22 @@ def test_scores_equal_a_dictionary_model(documents, rows, clashing, monkeypatch,
     assert np.allclose([f[3:] for f in found], [w[3:] for w in want], atol=2e-6)
 
 
+@pytest.mark.parametrize("cache,dense,chunk", [(20, 8, 500), (0, 3, 90), (25, 1024, 1_000_000)])
+def test_types_outside_the_cache_keep_their_counts(documents, rows, clashing, monkeypatch, cache, dense, chunk):
+    monkeypatch.setattr(lm_scoring, "DENSE", dense)
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 700)
+    docs = clashing(documents(rows))
+    model = lm_scoring.train(docs, cache=cache)
+    assert len(model.vocabulary.words) <= cache
+    assert np.allclose(model.weights, lm_scoring.train(docs).weights, atol=1e-9)
+    _, want = brute(rows, 1 << 20, model.weights)
+    found = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
+                   for r in lm_scoring.score(docs, model).collect())
+    assert [f[:3] for f in found] == [w[:3] for w in want]
+    assert np.allclose([f[3:] for f in found], [w[3:] for w in want], atol=2e-6)
+
+
 def test_probabilities_add_up_to_one(documents, rows):
     model = lm_scoring.train(documents(rows), vocabulary=20)
     voc, m = model.vocabulary, model.weights
