@@ -8,14 +8,16 @@ on feature differences and needs no intercept. A cut is then read off the
 training scores at a quantile, and ``score`` is the chance of beating a
 document at that cut, shifted so that the cut itself scores ``threshold``.
 
-The fit uses a bounded sample of labelled rows (``max_per_label``, the ones
-with the smallest hashes); scoring is one distributed pass over all texts.
+The weights are fitted on a bounded sample of labelled rows (``max_per_label``,
+the ones with the smallest hashes); the cut is read off a histogram of the
+scores of all labelled training rows; scoring is one distributed pass over all
+texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -36,6 +38,9 @@ for _k, _chars in enumerate(_KINDS.values()):
 FEATURES = (*(f"share_{k}" for k in _KINDS), *(f"root_{k}" for k in _KINDS), "capital_words", "root_capital_words",
             "marked_words", "root_marked_words", "repeats", "root_repeats", "distinct", "word_bytes", "log_words", "empty")
 
+#: Steps of the score, over the fitting rows' range, between which cuts are told apart.
+BINS = 1 << 16
+
 
 def features(data: np.ndarray) -> np.ndarray:
     """Feature vector of one whole text, given as UTF-8 bytes."""
@@ -139,22 +144,63 @@ def fit_pairs(better: np.ndarray, worse: np.ndarray, pairs_per_row: int = 8, l2:
     return PairwiseRanker(mean, scale, w, float(np.quantile(scores, quantile)), threshold)
 
 
+def score_counts(rows: DataFrame, known: DataFrame, ranker: PairwiseRanker, low: float, high: float) -> np.ndarray:
+    """(quality x score bin) counts of the rows of ``id, text`` with a known
+    ``id, quality``: bin k > 0 holds the scores from the k-th of ``BINS`` edges
+    on, which run from ``low`` to ``high``; bin 0 holds what is below them."""
+    edges = np.linspace(low, high, BINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                f = np.vstack([features(np.frombuffer((t.as_py() or "").encode(), np.uint8)) for t in b.column("text")])
+                # row by row, so that a row's bin does not depend on its batch
+                z = ((f - ranker.mean) / ranker.scale * ranker.weights).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.searchsorted(edges, z, "right"))], ["id", "bin"])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    counts = np.zeros((2, BINS + 1), np.int64)
+    for r in (rows.mapInArrow(run, f"id {id_type}, bin bigint").join(known, "id").groupBy("quality", "bin")
+              .agg(F.count(F.lit(1)).alias("n")).collect()):  # at most 2 * (BINS + 1) rows
+        counts[r["quality"], r["bin"]] = r["n"]
+    return counts
+
+
+def cut_of(counts: np.ndarray, low: float, high: float, quantile: float | None = None) -> float:
+    """The edge with the fewest rows on the wrong side (the middle one of the
+    best), or the first one with a share of ``quantile`` of the rows below it."""
+    edges = np.linspace(low, high, BINS)
+    below = np.cumsum(counts, 1)[:, :-1]
+    if quantile is not None:
+        return float(edges[min(np.searchsorted(below.sum(0), quantile * counts.sum()), BINS - 1)])
+    errors = counts[0].sum() - below[0] + below[1]
+    best = np.flatnonzero(errors == errors.min())
+    return float(edges[best[len(best) // 2]])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5,
           max_per_label: int = 10_000, **fit) -> PairwiseRanker:
     """Learn from the labelled rows outside the held-out fold (crc32 of the id
-    modulo ``folds`` is 0), at most ``max_per_label`` of each label."""
+    modulo ``folds`` is 0): the weights from at most ``max_per_label`` of each
+    label, the cut from all."""
     id_type = docs.schema[id_col].dataType.simpleString()
     known = (labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"))
              .where("quality IN (0, 1) AND id IS NOT NULL").where(~held_out("id", folds))
              .groupBy("id").agg(F.max("quality").alias("quality")))
     taken = reduce(DataFrame.unionByName, (smallest_hashes(known.where(F.col("quality") == q), max_per_label, "id") for q in (1, 0)))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(taken.select("id")), "id", "left_semi")
+    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = every.join(F.broadcast(taken.select("id")), "id", "left_semi")
     # at most 2 * max_per_label feature rows
     rows = with_features(texts, id_type).join(F.broadcast(taken), "id").orderBy("id", "f").toPandas()
     side = {q: np.vstack([np.zeros((0, len(FEATURES))), *(r[None] for r in map(np.asarray, rows.loc[rows["quality"] == q, "f"]))])
             for q in (0, 1)}
-    return fit_pairs(side[1], side[0], **fit)
+    ranker = fit_pairs(side[1], side[0], **fit)
+    if not len(side[0]) or not len(side[1]):
+        return ranker
+    scores = ranker.raw(np.vstack([side[1], side[0]]))
+    low, high = float(scores.min()), float(scores.max())
+    counts = score_counts(every.where("id IS NOT NULL").where(~held_out("id", folds)), known, ranker, low, high)
+    return replace(ranker, cut=cut_of(counts, low, high, fit.get("quantile")))
 
 
 def quality_scores(docs: DataFrame, ranker: PairwiseRanker, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),

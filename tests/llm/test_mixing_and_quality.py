@@ -152,6 +152,31 @@ def test_training_is_repeatable_and_held_out_labels_do_not_matter(spark, documen
     assert np.array_equal(a.weights, b.weights) and a.cut == b.cut
 
 
+def test_cut_covers_all_labelled_rows(spark, documents):
+    from zlib import crc32
+    rng = random.Random(5)
+    rows, labels = [], []
+    for k in range(1500):
+        good = rng.random() < 6 / 7
+        junk = min(max(rng.gauss(0.4 if good else 0.6, 0.15), 0), 1)
+        rows.append((k, " ".join(rng.choice(["buy***", "win!!", "now$$$"]) if rng.random() < junk else rng.choice(["river", "stone", "tale"])
+                                 for _ in range(40))))
+        labels.append((k, int(good)))
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int")
+    train = [k for k in range(1500) if crc32(str(k).encode()) % 5]
+    label = np.array([labels[k][1] for k in train])
+
+    def scores(m):
+        return m.raw(np.vstack([quality.features(np.frombuffer(rows[k][1].encode(), np.uint8)) for k in train]))
+
+    m = quality.train(documents(rows), labelled, max_per_label=60)
+    z = scores(m)
+    wrong = lambda cut: ((z >= cut) != label).sum()
+    assert wrong(m.cut) <= min(wrong(c) for c in z) + 1
+    m = quality.train(documents(rows), labelled, max_per_label=60, quantile=0.25)
+    assert np.mean(scores(m) < m.cut) == pytest.approx(0.25, abs=0.01)
+
+
 def test_without_labels_nothing_is_preferred(spark, documents):
     docs = documents([(1, "a b"), (2, None)])
     ranker = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
