@@ -297,9 +297,10 @@ class TreeModel:
 
 
 def train(pages: DataFrame, html_col: str = "html", train_pages: int = 2_000) -> TreeModel:
-    """Potentials from at most ``train_pages`` pages that mark their article
-    (those with the smallest hashes) and the hand-labelled ones. The counts that
-    reach the driver are as many as there are potentials."""
+    """Potentials from at most ``train_pages`` distinct pages that mark their
+    article (those with the smallest hashes) and the hand-labelled ones; copies
+    count once. The counts that reach the driver are as many as there are
+    potentials."""
     ship(pages.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +316,10 @@ def train(pages: DataFrame, html_col: str = "html", train_pages: int = 2_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(flat[k])], ["k", "n"])
 
     html = F.col(html_col)
-    marked = smallest_hashes(pages.select(html.alias("html")).where(html.rlike("(?i)<(article|main)[ >]")), train_pages, "html")
+    marked = pages.select(html.alias("html")).where(html.rlike("(?i)<(article|main)[ >]")).withColumn("page", F.xxhash64("html"))
+    # thinned out as distinct hashes, so that groups of copies neither fill nor empty the sample
+    taken = smallest_hashes(marked.select("page").distinct(), train_pages, "page")
+    marked = marked.join(F.broadcast(taken), "page", "left_semi").groupBy("page").agg(F.min("html").alias("html")).select("html")
     rows = marked.mapInArrow(count, "k bigint, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(3 * 2 * SHOWN + 12)
     for r in rows:

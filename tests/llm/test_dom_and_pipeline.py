@@ -169,3 +169,13 @@ def test_stages_on_empty_and_odd_rows(spark, documents, clashing):
             out.collect()
             if name != "packing":
                 assert out.columns == docs.columns
+
+
+def test_copies_of_pages_count_once_in_training(spark):
+    pages = [f"<body><nav>Menu {k}</nav><article><h1>Title {k}</h1>" + f"<p>{'Words of it. ' * (3 * k + 1)}</p>" * (k % 4 + 1) + "</article></body>"
+             for k in range(6)]
+    make = lambda rows: spark.createDataFrame([(h,) for h in rows], "html string")
+    want = dom.train(make(pages), train_pages=8)
+    for copied in pages:
+        got = dom.train(make(pages + [copied] * 60), train_pages=8)
+        assert np.allclose(got.node, want.node) and np.allclose(got.pair, want.pair)
