@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import (dom_marginals, license_scan, lm_scoring, mixing, packing, phrase_index, pivot_topk, quality, rotated_bits,
-                            tgm_join, token_counts)
+                            tgm_join, token_counts, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": lm_scoring.op1_deleted_interpolation,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_bradley_terry": quality.op10_bradley_terry,
+    "op12_lanczos_whitening": whitening.op12_lanczos_whitening,
     "op13_positional_index": phrase_index.op13_positional_index,
 }
 
