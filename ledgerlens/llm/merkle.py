@@ -9,9 +9,9 @@ a leaf's place:
 * A directory of popcounts has four levels of 16 id bits each, so a prefix sum
   never orders more than 65,536 entries. A rank query is the directory's count
   before a word plus the popcount of the lower bits in it.
-* Leaves go to slot arrays of ``FAN`` places, keyed by (group, place / FAN), and
-  drop into their slot. One array is reduced over log2(FAN) levels at once; the
-  arrays' tops fill the next round's arrays.
+* Leaves go to slot arrays of 2**LEVELS places, keyed by (group, upper bits of the
+  place), and drop into their slot. One array is reduced over LEVELS levels at
+  once; the arrays' tops fill the next round's arrays.
 * On the way down, an array's path to the root (its upper siblings) is worked out
   once and joined with the arrays below it.
 
@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import ship, stored
 
-#: Levels that one slot array reduces, and its places.
+#: Levels that one slot array reduces; it has 2**LEVELS places.
 LEVELS = 8
-FAN = 1 << LEVELS
 #: The part of the id space before all ids, where null ids go.
 NULL_PART = -32769
 #: Different leaves of one id that one window orders, about.
@@ -143,11 +142,11 @@ def digest(*nodes: bytes) -> bytes:
     return sha256("".join(n.hex() for n in nodes).encode()).digest()
 
 
-def levels_of(nodes: list[bytes], n: int) -> list[list[bytes]]:
+def levels_of(nodes: list[bytes], n: int, levels: int) -> list[list[bytes]]:
     """The levels that one slot array reduces, of a tree that has ``n`` nodes at
-    its bottom: down to one node where the array is the whole tree, else ``LEVELS``."""
+    its bottom: down to one node where the array is the whole tree, else ``levels``."""
     out = [nodes]
-    while len(out[-1]) > 1 or (n > FAN and len(out) <= LEVELS):
+    while len(out[-1]) > 1 or (n > 1 << levels and len(out) <= levels):
         row = out[-1]
         out.append([digest(*row[k : k + 2]) for k in range(0, len(row), 2)])
     return out
@@ -185,11 +184,11 @@ def proof(path: bytes) -> str:
     return sha256("".join(other.hex() for _, other in walk(path)).encode()).hexdigest()
 
 
-def slot_arrays(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+def slot_arrays(nodes: DataFrame, sizes: DataFrame, levels: int) -> DataFrame:
     """``grp, block, n, slots``, stored: nodes (``grp, at, node``) in their slots,
     ``n`` the nodes of the whole level (``sizes``: ``grp, n``)."""
-    entry = F.struct(F.col("at").bitwiseAND(F.lit(FAN - 1)).cast("int").alias("slot"), F.col("node"))
-    arrays = nodes.groupBy("grp", F.shiftright("at", LEVELS).alias("block")).agg(F.collect_list(entry).alias("slots"))
+    entry = F.struct(F.col("at").bitwiseAND(F.lit((1 << levels) - 1)).cast("int").alias("slot"), F.col("node"))
+    arrays = nodes.groupBy("grp", F.shiftright("at", levels).alias("block")).agg(F.collect_list(entry).alias("slots"))
     return stored(arrays.join(sizes, "grp"), "slot-arrays")
 
 
@@ -200,44 +199,44 @@ def _slots(entries: list[dict]) -> list[bytes]:
     return out
 
 
-def tops(arrays: DataFrame, fill=_slots) -> DataFrame:
+def tops(arrays: DataFrame, levels: int, fill=_slots) -> DataFrame:
     """``grp, at, node``: the top node of every slot array, at its block's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = [levels_of(fill(s.as_py()), n.as_py())[-1][0] for s, n in zip(b.column("slots"), b.column("n"))]
+            nodes = [levels_of(fill(s.as_py()), n.as_py(), levels)[-1][0] for s, n in zip(b.column("slots"), b.column("n"))]
             yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("block"), pa.array(nodes, pa.binary())], ["grp", "at", "node"])
 
     return arrays.select("grp", "block", "slots", "n").mapInArrow(run, "grp string, at long, node binary")
 
 
-def paths_below(arrays: DataFrame, above: DataFrame) -> DataFrame:
+def paths_below(arrays: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """``grp, block, path, top, root`` of the arrays whose tops are these arrays'
     nodes, from the same of these (``above``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                levels = levels_of(_slots(r["slots"]), r["n"])
-                m = len(levels[0])
+                rows = levels_of(_slots(r["slots"]), r["n"], levels)
+                m = len(rows[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["grp"]] * m), pa.array([r["block"] * FAN + k for k in range(m)], pa.int64()),
-                     pa.array([steps_of(levels, k) + r["path"] for k in range(m)], pa.binary()),
+                    [pa.array([r["grp"]] * m), pa.array([(r["block"] << levels) + k for k in range(m)], pa.int64()),
+                     pa.array([steps_of(rows, k) + r["path"] for k in range(m)], pa.binary()),
                      pa.array([r["top"]] * m, pa.binary()), pa.array([r["root"]] * m, pa.binary())],
                     ["grp", "block", "path", "top", "root"])
 
     return arrays.join(above, ["grp", "block"]).mapInArrow(run, "grp string, block long, path binary, top binary, root binary")
 
 
-def rounds(first: DataFrame, sizes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def rounds(first: DataFrame, sizes: DataFrame, levels: int) -> tuple[list[DataFrame], DataFrame]:
     """Slot arrays of the rounds above the arrays whose tops are ``first``, and
     the subroots (``grp, node``). ``sizes``: ``grp, n`` of the arrays' own nodes."""
     out, nodes = [], stored(first, "tops")
-    sizes = stored(sizes.select("grp", F.ceil(F.col("n") / FAN).cast("long").alias("n")), "sizes")
+    sizes = stored(sizes.select("grp", F.ceil(F.col("n") / (1 << levels)).cast("long").alias("n")), "sizes")
     while (sizes.agg(F.max("n")).first()[0] or 0) > 1:
-        out.append(slot_arrays(nodes, sizes))
-        nodes = stored(tops(out[-1]), "tops")
-        sizes = stored(sizes.select("grp", F.ceil(F.col("n") / FAN).cast("long").alias("n")), "sizes")
+        out.append(slot_arrays(nodes, sizes, levels))
+        nodes = stored(tops(out[-1], levels), "tops")
+        sizes = stored(sizes.select("grp", F.ceil(F.col("n") / (1 << levels)).cast("long").alias("n")), "sizes")
     return out, nodes.select("grp", "node")
 
 
@@ -262,50 +261,51 @@ def _leaf_digests(entries: list[dict]) -> list[bytes]:
     return [e["node"] for e in _fill_leaves(entries)]
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
+def manifest(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
     """``id, grp, leaf, subroot, root, proof_sha256, folded_root, verified`` of
     each row of ``grp, id, leaf, claimed``.
 
     ``id`` is a long or null, ``grp`` a string that is never null; groups stand
     by its bytes. ``claimed`` is the leaf to be verified against the tree of
-    ``leaf`` (null: the leaf itself). An empty table has an empty manifest.
+    ``leaf`` (null: the leaf itself). ``levels`` are what one slot array reduces;
+    they do not change the result. An empty table has an empty manifest.
     """
     ship(leaves.sparkSession)
     # equal rows are one row with a count before they travel
     rows = stored(leaves.groupBy("grp", "id", "leaf", "claimed").agg(F.count(F.lit(1)).alias("m")), "leaves")
-    at, last = F.col("at"), F.col("at") + F.col("m") - 1
-    runs = (placed(rows).withColumn("block", F.explode(F.sequence(F.shiftright(at, LEVELS), F.shiftright(last, LEVELS))))
-            .withColumn("from", F.greatest(at, F.col("block") * FAN)).withColumn("to", F.least(last, F.col("block") * FAN + FAN - 1)))
-    entry = F.struct((F.col("from") - F.col("block") * FAN).cast("int").alias("slot"), (F.col("to") - F.col("from") + 1).cast("int").alias("run"),
+    fan, at, last = 1 << levels, F.col("at"), F.col("at") + F.col("m") - 1
+    runs = (placed(rows).withColumn("block", F.explode(F.sequence(F.shiftright(at, levels), F.shiftright(last, levels))))
+            .withColumn("from", F.greatest(at, F.col("block") * fan)).withColumn("to", F.least(last, F.col("block") * fan + fan - 1)))
+    entry = F.struct((F.col("from") - F.col("block") * fan).cast("int").alias("slot"), (F.col("to") - F.col("from") + 1).cast("int").alias("run"),
                      "id", F.col("leaf").alias("node"), "claimed")
     sizes = stored(rows.groupBy("grp").agg(F.sum("m").alias("n")), "sizes")
     bottom = stored(runs.groupBy("grp", "block").agg(F.collect_list(entry).alias("slots")).join(sizes, "grp"), "leaf-slots")
 
-    upper, subroots = rounds(tops(bottom, _leaf_digests), sizes)
+    upper, subroots = rounds(tops(bottom, levels, _leaf_digests), sizes, levels)
     # the groups' own tree: one more group, whose nodes are the subroots
     ordered = stored(_in_order(subroots), "subroots")
     whole = ordered.select(F.lit("").alias("grp"), "at", "node")
     count = stored(whole.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    ground = slot_arrays(whole, count)
-    higher, root = rounds(tops(ground), count)
+    ground = slot_arrays(whole, count, levels)
+    higher, root = rounds(tops(ground, levels), count, levels)
 
     path = root.select("grp", F.lit(0).cast("long").alias("block"), F.lit(b"").alias("path"), F.lit(b"").alias("top"), F.col("node").alias("root"))
     for arrays in reversed([ground, *higher]):
-        path = stored(paths_below(arrays, path), "paths")
+        path = stored(paths_below(arrays, path, levels), "paths")
     path = path.select(F.col("block").alias("at"), "path", "root").join(ordered, "at").select(
         "grp", F.lit(0).cast("long").alias("block"), "path", F.col("node").alias("top"), "root")
     for arrays in reversed(upper):
-        path = stored(paths_below(arrays, path), "paths")
+        path = stored(paths_below(arrays, path, levels), "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 r = {c: b.column(c)[k].as_py() for c in ("grp", "n", "slots", "path", "top", "root")}
                 entries = _fill_leaves(r["slots"])
-                levels = levels_of([e["node"] for e in entries], r["n"])
+                rows = levels_of([e["node"] for e in entries], r["n"], levels)
                 out = []
                 for slot, e in enumerate(entries):
-                    path = steps_of(levels, slot) + r["path"]
+                    path = steps_of(rows, slot) + r["path"]
                     end = folded(e["claimed"] or e["node"], path)
                     out.append((e["id"], e["node"].hex(), proof(path), end.hex(), end == r["root"]))
                 m, (ids, nodes, proofs, ends, fine) = len(out), zip(*out)
