@@ -59,8 +59,7 @@ ASSET_LABELS = {"routes": "Rotas distintas", "vehicles": "Veiculos distintos"}
 ROUTE_KEY = "external_route_id"
 VEHICLE_KEY = "vehicle_id"
 
-PERIOD_NAME_PATH = "$.name"
-PAYLOAD_PATH = "$.payload"
+PAYLOAD_KEY = "payload"
 PAYLOAD_KEY_PATH = "$.key"
 PAYLOAD_VALUE_PATH = "$.value"
 

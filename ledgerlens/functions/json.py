@@ -4,11 +4,15 @@ Semantics reproduced (warehouse ``JSON_EXTRACT_SCALAR`` / ``JSON_EXTRACT_ARRAY``
 
 * a scalar extract returns the text of a string, number or boolean;
 * an object or an array at the path, a JSON ``null``, a missing path, malformed
-  text or SQL NULL all give NULL.
-
-Spark's ``get_json_object`` and ``from_json`` return the JSON text of objects,
-so we parse once into a VARIANT and look at the node's type before casting.
-``try_parse_json`` turns malformed text into NULL instead of failing the task.
+  text (anything after the value included) or SQL NULL all give NULL;
+* of repeated keys the first that is not null counts, at every level;
+* an array extract keeps each element as its own JSON text, whatever its type, so
+  an odd element does not void the others.
+
+Spark's JSON functions return containers as text and strings without their
+quotes, so the two look alike where a string's content starts like a container.
+Such strings are rare; ``_marked`` puts a character in front of their content
+before any parsing, and what then starts like a container is one.
 """
 
 from __future__ import annotations
@@ -18,49 +22,50 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.config import PAYLOAD_KEY_PATH, PAYLOAD_PATH, PAYLOAD_VALUE_PATH
+from ledgerlens.config import PAYLOAD_KEY, PAYLOAD_KEY_PATH, PAYLOAD_VALUE_PATH
+
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+#: Put in front of string contents that start like a container.
+_MARK = "\x01"
+#: Stands after a text under test; a text that closes too early loses it.
+_END = "\x1f"
+
+_BLANK = r"(?:\s|\\[tnr]|\\u00(?:20|09|0[aAdD]))*"
+_CONTAINER_LIKE = rf'"(?={_BLANK}(?:[{{\[]|\\u00[75][bB]))'
+_TOKEN = r'(?:[^"\\]++|\\.)*+'
+_OTHER_TEXT = rf'((?:[^"]++|(?!{_CONTAINER_LIKE})"{_TOKEN}")*+)'
 
 
-def _is_container(node: Column) -> Column:
-    # One schema_of_variant call: a repeated subexpression would be hoisted by
-    # common-subexpression elimination and evaluated for every row, even
-    # inside a CASE branch that is rarely taken.
-    return F.substring(F.schema_of_variant(node), 1, 5).isin("OBJEC", "ARRAY")
+def _marked(text: Column) -> Column:
+    """The JSON text with every string that starts like a container marked."""
+    marked = F.regexp_replace(text, rf"\G{_OTHER_TEXT}{_CONTAINER_LIKE}({_TOKEN})\"", r'$1"\\u0001$2"')
+    return F.when(text.rlike(_CONTAINER_LIKE), marked).otherwise(text)
 
 
-def variant_scalar(v: Column, path: str) -> Column:
-    """Scalar text at ``path`` of a VARIANT; NULL for objects, arrays, nulls, misses."""
-    node = F.try_variant_get(v, path, "variant")
-    return F.when(~_is_container(node), F.try_variant_get(node, "$", "string"))
+def _scalar_at(marked: Column, path: str) -> Column:
+    """Scalar text at ``path`` of a well-formed, marked text; else NULL."""
+    text = F.get_json_object(marked, path)
+    return F.when(~F.substring(text, 1, 1).isin("{", "["), F.regexp_replace(text, rf"\A{_MARK}(?=\s*[{{\[])", ""))
 
 
 def _well_formed(json_text: Column) -> Column:
-    """Whether the whole text is one JSON value: inside brackets it must parse
-    as an array of one element (a streaming extract alone would not notice
-    text after the value)."""
-    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    return F.size(F.from_json(F.concat(F.lit("["), json_text, F.lit("]")), "array<string>", strict)) == 1
+    """Whether the whole text is one JSON value: inside brackets, before an end
+    mark, it must parse as an array of the two."""
+    parsed = F.from_json(F.concat(F.lit("["), json_text, F.lit(r',"\u001f"]')), "array<string>", _STRICT)
+    return F.coalesce(F.forall(F.array(parsed), lambda p: (F.size(p) == 2) & (F.get(p, F.lit(1)) == _END)), F.lit(False))
 
 
 def json_scalar(json_text: Column | str, field: str) -> Column:
     """``JSON_EXTRACT_SCALAR(json_text, '$.<field>')`` over a STRING column.
 
-    Malformed text gives NULL, of repeated keys the first counts. A text of the
-    one usual shape, an object with just this field and a plain string, is
-    taken apart by one regular expression; all others (CASE branches are lazy)
-    by the JSON parser. A value that starts like a container is NULL unless the
-    exact type check finds a string there; where repeated keys keep that check
-    from parsing, it counts as a container.
+    A text of the one usual shape, an object with just this field and a plain
+    string, is taken apart by one regular expression; all others (CASE branches
+    are lazy) by the JSON parser.
     """
     col = F.col(json_text) if isinstance(json_text, str) else json_text
     blank = r"[ \t\r\n]*"
     usual = rf'\A{blank}\{{{blank}"{re.escape(field)}"{blank}:{blank}"([^"\\\x00-\x1f]*)"{blank}\}}{blank}\z'
-    path = f"$.{field}"
-    text = F.get_json_object(col, path)
-    container = _is_container(F.try_variant_get(F.try_parse_json(col), path, "variant"))
-    plain = F.when(~F.substring(text, 1, 1).isin("{", "["), text).otherwise(
-        F.when(~F.coalesce(container, F.lit(True)), text))
-    return F.when(col.rlike(usual), F.regexp_extract(col, usual, 1)).when(_well_formed(col), plain)
+    return F.when(col.rlike(usual), F.regexp_extract(col, usual, 1)).when(_well_formed(col), _scalar_at(_marked(col), f"$.{field}"))
 
 
 def with_json_field(df, json_col: str, field: str, out_col: str):
@@ -74,27 +79,36 @@ def with_json_field(df, json_col: str, field: str, out_col: str):
     return df.select("*", F.explode(F.array(json_scalar(json_col, field))).alias(out_col))
 
 
-def json_array(json_text: Column | str, path: str = PAYLOAD_PATH) -> Column:
-    """``JSON_EXTRACT_ARRAY(json_text, path)`` as ``array<variant>``.
+def json_array(json_text: Column | str, field: str = PAYLOAD_KEY) -> Column:
+    """``JSON_EXTRACT_ARRAY(json_text, '$.<field>')`` as ``array<string>``: the
+    JSON text of each element (a string element's content; NULL for ``null``).
 
-    NULL when the path is missing, is not an array, or the text is malformed.
-    Elements of any JSON type are kept (a non-object element does not void the
-    array, unlike a typed ``from_json``). An object that repeats a key counts as
-    malformed here.
+    NULL when the field is missing, is not an array, or the text is malformed.
+    One parse does it all: the text stands before an end mark in an array of two
+    objects, and only the field's elements are taken out of it. A text that
+    names the field twice is cut down to its first one before.
     """
     col = F.col(json_text) if isinstance(json_text, str) else json_text
-    return F.try_variant_get(F.try_parse_json(col), path, "array<variant>")
+    name = re.escape(field)
+    first = F.concat(F.lit(f'{{"{field}":'), F.coalesce(F.get_json_object(_marked(col), f"$.{field}"), F.lit("null")), F.lit("}"))
+    # get_json_object gives a string's content, which is no JSON value here unless it looks like one
+    no_string = F.coalesce(F.get_json_object(_marked(col), f"$.{field}").rlike(r"\A\["), F.lit(False))
+    text = F.when(col.rlike(rf'(?s)"{name}".*"{name}"|\\u'),
+                  F.when(_well_formed(col) & no_string & col.rlike(r"\A\s*\{"), first)).otherwise(_marked(col))
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(f',{{"{field}":["\\u001f"]}}]')), f"array<struct<{field}:array<string>>>", _STRICT)
+    whole = F.filter(F.array(parsed), lambda p: (F.size(p) == 2) & (F.get(F.get(p, F.lit(1))[field], F.lit(0)) == _END))
+    return F.get(F.get(whole, F.lit(0)), F.lit(0))[field]
 
 
 def element_key(e: Column) -> Column:
     """``$.key`` of one array element. Not type-guarded: the JSON text of an
     object or array can never equal a key name, so comparisons are unaffected."""
-    return F.try_variant_get(e, PAYLOAD_KEY_PATH, "string")
+    return F.get_json_object(e, PAYLOAD_KEY_PATH)
 
 
 def element_value(e: Column) -> Column:
-    """``$.value`` of one array element, guarded like ``variant_scalar``."""
-    return variant_scalar(e, PAYLOAD_VALUE_PATH)
+    """``$.value`` of one array element by the scalar rule."""
+    return _scalar_at(e, PAYLOAD_VALUE_PATH)
 
 
 def max_value_for_key(arr: Column, key: str) -> Column:

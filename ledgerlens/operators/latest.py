@@ -53,14 +53,17 @@ def trace_latest(trace: DataFrame, columns: tuple[str, ...] = ("status",)) -> Da
     """One row per ``preinvoice_id`` carrying ``columns`` of its most
     recent event (``ROW_NUMBER() ... ORDER BY last_update DESC = 1``).
 
-    Written as ``max_by``, an aggregate with map-side combine (a sort aggregate,
-    as its buffer is a struct): a pre-invoice with millions of log rows sends
-    one row per task through the shuffle. A struct compares field by field with
-    NULL lowest, so NULL times rank last. A NULL status on the winning row is kept.
+    The winner is the greatest struct of the row's own fields in ``RECENCY``
+    order, so a field travels once, as order and value in one, and the order is
+    cut after the last field asked for: the status alone takes five columns of
+    the log. The aggregate combines map-side: a pre-invoice with millions of log
+    rows sends one row per task through the shuffle. A struct compares field by
+    field with NULL lowest, so NULL times rank last. A NULL status on the winning
+    row is kept.
     """
-    picked = F.max_by(F.struct(*[F.col(c) for c in columns]), F.struct(*[F.col(c) for c in RECENCY]))
-    return (trace.groupBy("preinvoice_id").agg(picked.alias("t"))
-            .select("preinvoice_id", *[F.col(f"t.{c}").alias(c) for c in columns]))
+    order = RECENCY[: max(RECENCY.index(c) for c in columns) + 1]
+    newest = trace.groupBy("preinvoice_id").agg(F.max(F.struct(*order)).alias("t"))
+    return newest.select("preinvoice_id", *(F.col(f"t.{c}").alias(c) for c in columns))
 
 
 def with_trace(rows: DataFrame, latest_trace: DataFrame) -> DataFrame:

@@ -41,6 +41,12 @@ def _scalar(json_expr: str, path: str) -> str:
             f"ELSE json_extract_string({j}, '{path}') END")
 
 
+def payload_elements(text: str) -> str:
+    """The elements of the payload array of a JSON text; NULL where there is none."""
+    j = f"try_cast({text} AS JSON)"
+    return f"CASE WHEN json_type({j}, '$.payload') = 'ARRAY' THEN json_extract({j}, '$.payload[*]') END"
+
+
 def _best(elements: str, key: str) -> str:
     """The greatest scalar value that ``key`` has among payload elements."""
     wanted = f"list_filter({elements}, lambda e: json_extract_string(e, '$.key') = {_q(key)} AND json_type(e, '$.value') NOT IN ('OBJECT', 'ARRAY'))"
@@ -84,6 +90,11 @@ cost_event AS (
       WHEN 1 THEN '{{}}'
       WHEN 2 THEN '{{"payload":[{{"key":"vehicle_id","value":"V' || CAST(l.l_partkey % 37 AS VARCHAR) || '"}}]}}'
       WHEN 3 THEN '{{"payload":[7,{{"key":"external_route_id","value":' || CAST(l.l_partkey % 50 AS VARCHAR) || '}}]}}'
+      WHEN 4 THEN '{{"payload":[{{"key":"external_route_id","value":"R' || CAST(l.l_partkey % 500 AS VARCHAR) || '"}}]}} trailing'
+      WHEN 5 THEN '{{"payload":[{{"key":"external_route_id","value":"R' || CAST(l.l_partkey % 500 AS VARCHAR)
+           || '","value":"Z"}},{{"key":"vehicle_id","value":"V' || CAST(l.l_partkey % 37 AS VARCHAR) || '"}}]}}'
+      WHEN 6 THEN '{{"payload":["{{\\"key\\":\\"vehicle_id\\",\\"value\\":\\"Z\\"}}",{{"key":"external_route_id","value":"R'
+           || CAST(l.l_partkey % 500 AS VARCHAR) || '"}}],"payload":[{{"key":"vehicle_id","value":"V' || CAST(l.l_partkey % 37 AS VARCHAR) || '"}}]}}'
       ELSE '{{"payload":[{{"key":"external_route_id","value":"R' || CAST(l.l_partkey % 500 AS VARCHAR)
            || '"}},{{"key":"vehicle_id","value":"V' || CAST(l.l_partkey % 37 AS VARCHAR) || '"}}]}}'
     END AS payload
@@ -117,8 +128,7 @@ _RELATIONS: dict[str, str] = {
     # every processed event: its period name, and its payload as a list of elements
     "events": f"""
 SELECT * EXCLUDE (period, payload, event_status), {_scalar("period", "$.name")} AS period_name,
-       CASE WHEN json_type(try_cast(payload AS JSON), '$.payload') = 'ARRAY'
-            THEN json_extract(try_cast(payload AS JSON), '$.payload[*]') END AS elements
+       {payload_elements("payload")} AS elements
 FROM cost_event WHERE event_status = 'PROCESSED'""",
     "newest": """
 SELECT * FROM events WHERE transaction_id IS NOT NULL
@@ -327,10 +337,8 @@ def trace_latest() -> str:
 
 
 def trace_latest_detail() -> str:
-    return _select("SELECT preinvoice_id, unnest(seen) FROM last_seen", "last_seen").replace(
-        "SELECT preinvoice_id, unnest(seen) FROM last_seen",
-        "SELECT preinvoice_id, seen.status, seen.invoice_id, seen.file_status, seen.file_accounting_document, seen.last_update, "
-        "seen.invoice_amount FROM last_seen")
+    return _select("SELECT preinvoice_id, seen.status, seen.invoice_id, seen.file_status, seen.file_accounting_document, "
+                   "seen.last_update, seen.invoice_amount FROM last_seen", "last_seen")
 
 
 def ledger_enriched(granularity: str) -> str:

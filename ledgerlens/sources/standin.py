@@ -71,6 +71,11 @@ def standin_cost_event(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
                .when(pmod == 2, F.concat(F.lit('{"payload":['), vehicle, F.lit("]}")))
                .when(pmod == 3, F.concat(F.lit('{"payload":[7,{"key":"external_route_id","value":'),
                                          _s(pk % 50), F.lit("}]}")))
+               .when(pmod == 4, F.concat(F.lit('{"payload":['), route, F.lit("]} trailing")))
+               .when(pmod == 5, F.concat(F.lit('{"payload":[{"key":"external_route_id","value":"R'), _s(pk % 500),
+                                         F.lit('","value":"Z"},'), vehicle, F.lit("]}")))
+               .when(pmod == 6, F.concat(F.lit('{"payload":["{\\"key\\":\\"vehicle_id\\",\\"value\\":\\"Z\\"}",'), route,
+                                         F.lit('],"payload":['), vehicle, F.lit("]}")))
                .otherwise(F.concat(F.lit('{"payload":['), route, F.lit(","), vehicle, F.lit("]}"))))
     prio = F.col("o_orderpriority")
     ptype = (F.when(prio == "5-LOW", F.lit("complementary"))

@@ -1,11 +1,16 @@
 """Single-operator tests on hand-made edge rows (FIXTURES.md section 3)."""
 
+import json
+import re
 from decimal import Decimal
 
+import duckdb
 from pyspark.sql import functions as F
 
 from ledgerlens.config import LedgerConfig
 from ledgerlens.functions.json import json_array, max_value_for_key, with_json_field
+from ledgerlens.operators.latest import trace_latest
+from ledgerlens.plans import oracle
 from ledgerlens.plans.reports import LedgerReports
 from tests.conftest import cost, provider, trace
 
@@ -71,15 +76,51 @@ def test_json_scalar_edges(spark):
     assert [(r["j"], r["v"]) for r in got] == cases
 
 
+def element(value):
+    return f'{{"key":"external_route_id","value":{value}}}'
+
+
+PAYLOADS = [  # text, number of elements, greatest route
+    (None, None, None), ("", None, None), ("{}", None, None), ('{"payload":[]}', 0, None), ('{"payload":{"a":1}}', None, None), ("bad", None, None),
+    ('{"payload":null}', None, None), ('{"payload":"x"}', None, None), ('{"payload":"[1]"}', None, None), ('[{"payload":[1]}]', None, None),
+    (f'{{"payload":[7,{element('"R9"')}]}}', 2, "R9"), (f'{{"payload":[{element('"R1"')},{element('"R2"')}]}}', 2, "R2"),
+    (f'{{"payload":[{element('{"o":1}')}]}}', 1, None), (f'{{"payload":[{element("[1]")}]}}', 1, None),
+    (f'{{"payload":[null,{element("true")},"a",true,[1]]}}', 5, "true"),
+    # malformed as a whole
+    (f'{{"payload":[{element('"A"')}]}} trailing', None, None), (f'{{"payload":[{element('"A"')}]}}] trailing', None, None),
+    (f'{{"payload":[{element('"A"')}]}},{{}}', None, None), (f'{{"payload":[{element('"A"')}]', None, None), ("{'payload':[1]}", None, None),
+    # repeated keys: the first, and the other elements stay
+    (f'{{"payload":[{{"key":"external_route_id","value":"A","value":"B"}},{element('"0"')}]}}', 2, "A"),
+    ('{"payload":[{"key":"external_route_id","key":"z","value":"w"}]}', 1, "w"),
+    (f'{{"payload":[{element('"A"')}],"payload":[{element('"B"')},7]}}', 1, "A"), ('{"payload":"x","payload":[1]}', None, None),
+    ('{"payload":"[1]","payload":[1]}', None, None), (f'{{"payload":[{{"payload":[1]}},{element('"n"')}]}}', 2, "n"),
+    # strings that look like containers
+    (f'{{"payload":[{json.dumps(element('"S"'))}]}}', 1, None), (f'{{"payload":[{json.dumps("  " + element('"S"'))}]}}', 1, None),
+    (f'{{"payload":[{json.dumps(chr(10) + element('"S"'))}]}}', 1, None), (f'{{"payload":[{element('"{x"')}]}}', 1, "{x"),
+    ('{"payload":["\\u007b\\"key\\":\\"external_route_id\\",\\"value\\":\\"S\\"}"]}', 1, None),
+    (f'{{"payload":[{element('" [x]"')}]}}', 1, " [x]"), (f'{{"payload":[{element(json.dumps(chr(34) + "{q"))}]}}', 1, '"{q'),
+    (f'{{"a":"{{","payload":[{element(json.dumps('{"a":1}'))},"]"]}}', 2, '{"a":1}'),
+    # spelling
+    (f'{{"payload":[{element("9" * 41)}]}}', 1, "9" * 41), ('{"p\\u0061yload":[1,2]}', 2, None),
+    ('{"payload":[{"\\u006bey":"external_route_id","value":"w"}]}', 1, "w"),
+    (' {\n "payload" :\t[ {"value" : "v" , "key": "external_route_id"} ] } ', 1, "v"),
+]
+
+
 def test_payload_array_edges(spark):
-    texts = [None, "{}", '{"payload":[]}', '{"payload":{"a":1}}', "bad",
-             '{"payload":[7,{"key":"external_route_id","value":"R9"}]}',
-             '{"payload":[{"key":"external_route_id","value":"R1"},{"key":"external_route_id","value":"R2"}]}',
-             '{"payload":[{"key":"external_route_id","value":{"o":1}}]}']
-    df = spark.createDataFrame([(t,) for t in texts], "p string")
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(PAYLOADS)], "k int, p string")
     arr = json_array("p")
-    got = [(r[0], r[1]) for r in df.select(F.size(arr), max_value_for_key(arr, "external_route_id")).collect()]
-    assert got == [(None, None), (None, None), (0, None), (None, None), (None, None), (2, "R9"), (2, "R2"), (1, None)]
+    got = df.orderBy("k").select("p", F.size(arr), max_value_for_key(arr, "external_route_id")).collect()
+    assert [tuple(r) for r in got] == PAYLOADS
+
+
+def test_payload_edges_agree_with_the_oracle():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k INT, payload VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(k, t) for k, (t, _, _) in enumerate(PAYLOADS)])
+    elements = oracle.payload_elements("payload")
+    got = con.sql(f"SELECT payload, len({elements}), {oracle._best(elements, 'external_route_id')} FROM t ORDER BY k").fetchall()
+    assert got == PAYLOADS
 
 
 def test_empty_payload_still_counts_cost_but_not_assets(tables):
@@ -146,7 +187,25 @@ def test_one_payload_parse_in_the_plan(tables):
     r = LedgerReports(tables([cost(1, 1)]))
     for df in (r.status_summary("weekly"), r.asset_counts("weekly"), r.payload_route(), r.enriched("monthly")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("parseJson(payload") == 1
+        assert plan.count("from_json(ArrayType(StructType(StructField(payload") == 1
+
+
+def test_latest_status_reads_no_more_than_its_order_needs(spark, tables, tmp_path):
+    tables([], traces=[trace("1", "a")]).trace_event.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    plan = trace_latest(log)._jdf.queryExecution().executedPlan().toString()
+    schema = re.search(r"ReadSchema: struct<([^>]*)>", plan)[1]
+    assert sorted(c.split(":")[0] for c in schema.split(",")) == ["invoice_id", "last_update", "preinvoice_id", "seq", "status"]
+
+
+def test_both_forms_of_the_latest_row_agree_on_ties(spark, tables):
+    """Equal times and sequences: one winner, of which both forms tell the status."""
+    log = [trace("1", s, seq=7, invoice_id=i, doc=f"D{i}") for s, i in (("b", 1), ("a", 9), ("b", 2), (None, 10))]
+    log += [trace("2", "x", ts=None, seq=9), trace("2", "y", seq=1)]
+    for shift in range(len(log)):
+        r = LedgerReports(tables([cost(1, 1)], traces=log[shift:] + log[:shift]))
+        assert rows(r.trace_status, "preinvoice_id", "status") == [("1", None), ("2", "y")]
+        assert rows(r.trace_detail, "preinvoice_id", "status", "invoice_id") == [("1", None, 10), ("2", "y", 100)]
 
 
 def test_nothing_runs_while_plans_are_built(spark, tables):
