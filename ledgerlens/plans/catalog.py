@@ -17,8 +17,8 @@ from ledgerlens.sources.standin import standin_tables
 Builder = Callable[[LedgerReports], DataFrame]
 
 
-def _suite_dataset(reports: LedgerReports, name: str) -> DataFrame:
-    return ReportSuite(reports.tables, reports.config, reports.storage).datasets()[name]
+def _suite(reports: LedgerReports) -> ReportSuite:
+    return ReportSuite(reports.tables, reports.config, reports.storage)
 
 
 def _builders() -> dict[str, tuple[Builder, str | None]]:
@@ -73,9 +73,9 @@ def _builders() -> dict[str, tuple[Builder, str | None]]:
     add("trace_latest_detail", lambda r: r.trace_detail, oracle.trace_latest_detail())
     add("payload_route", lambda r: r.payload_route(WEEKLY), oracle.payload_route(WEEKLY))
     add("status_normalised", lambda r: r.status_normalised(WEEKLY), oracle.status_normalised(WEEKLY))
-    add("report_row_counts", lambda r: r.report_row_counts(), oracle.report_row_counts())
-    add("suite_status_matrix", lambda r: _suite_dataset(r, "status_matrix"), oracle.suite_status_matrix())
-    add("suite_asset_counts", lambda r: _suite_dataset(r, "asset_counts"), oracle.suite_asset_counts())
+    add("report_row_counts", lambda r: _suite(r).report_row_counts(), oracle.report_row_counts())
+    add("suite_status_matrix", lambda r: _suite(r).datasets()["status_matrix"], oracle.suite_status_matrix())
+    add("suite_asset_counts", lambda r: _suite(r).datasets()["asset_counts"], oracle.suite_asset_counts())
     add("slice_status", lambda r: r.slice_status(WEEKLY), oracle.slice_status(WEEKLY))
     return out
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlens.config import ALL_SLICE, DEFAULT_CONFIG, GRANULARITIES, MONTHLY, SLICES, WEEKLY, LedgerConfig
@@ -40,6 +40,7 @@ from ledgerlens.operators.ledger import month_of, processed_rows, with_provider,
 from ledgerlens.operators.payload import payload_assets, with_payload_values
 from ledgerlens.operators.ranking import order_column
 from ledgerlens.operators.summary import slice_filter, slice_status, status_summary, with_collapsed_route
+from ledgerlens.plans.runs import new_run, publish
 from ledgerlens.session import new_folder, remove_folder, write_table
 from ledgerlens.sources.tables import LedgerTables
 
@@ -69,6 +70,7 @@ class ReportSuite:
         self.config = config
         self.spark = tables.cost_event.sparkSession
         self._storage = storage
+        self._rows: dict[tuple[str, str], dict[str, int]] = {}
 
     @cached_property
     def folder(self) -> str:
@@ -78,6 +80,13 @@ class ReportSuite:
     def _keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         return write_table(df, f"{self.folder}/{name}", partition_by)
 
+    def _keep_counted(self, df: DataFrame, report: str, granularity: str, in_slice) -> DataFrame:
+        """``_keep``, and the rows of each slice, observed while they are written."""
+        seen = Observation()
+        kept = self._keep(df.observe(seen, *(F.count_if(in_slice(s)).alias(s) for s in SLICES)), f"{report}_{granularity}")
+        self._rows[report, granularity] = seen.get
+        return kept
+
     # -- snapshot -------------------------------------------------------------
     @cached_property
     def processed(self) -> DataFrame:
@@ -116,7 +125,11 @@ class ReportSuite:
     @cached_property
     def summaries(self) -> dict[str, DataFrame]:
         # the snapshot rows already carry the latest raw trace status
-        return {g: self._keep(status_summary(with_collapsed_route(self._bucket_rows(g))), f"summary_{g}") for g in GRANULARITIES}
+        def in_slice(s: str) -> Column:
+            return F.lit(True) if s == ALL_SLICE else F.col("pre_invoice_type") == s
+
+        return {g: self._keep_counted(status_summary(with_collapsed_route(self._bucket_rows(g))), "status_summary", g, in_slice)
+                for g in GRANULARITIES}
 
     def status_summary(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
         return slice_filter(self.summaries[granularity], slice_name)
@@ -132,6 +145,18 @@ class ReportSuite:
     def asset_counts_by_slice(self, granularity: str) -> DataFrame:
         return assets_ops.asset_counts_all_slices(payload_assets(self._bucket_rows(granularity)))
 
+    @cached_property
+    def asset_counts(self) -> dict[str, DataFrame]:
+        return {g: self._keep_counted(self.asset_counts_by_slice(g), "asset_counts", g, lambda s: F.col("slice") == s)
+                for g in GRANULARITIES}
+
+    def report_row_counts(self) -> DataFrame:
+        """``slice, report, granularity, rows`` of the sliced results, 0
+        included: what their writes counted, no pass over any table of its own."""
+        kept = self.summaries, self.asset_counts  # written by now
+        rows = [(s, report, g, int(n.get(s) or 0)) for (report, g), n in self._rows.items() for s in SLICES]
+        return kept[0][WEEKLY].sparkSession.createDataFrame(rows, "slice string, report string, granularity string, rows bigint")
+
     @cached_property
     def pending_detail(self) -> DataFrame:
         rows = self.snapshot.where(F.col("in_detail_year"))
@@ -163,7 +188,7 @@ class ReportSuite:
         return {
             "status_summary": sliced({g: all_slices(g) for g in GRANULARITIES}),
             "status_matrix": sliced({g: self.matrices(g) for g in GRANULARITIES}),
-            "asset_counts": sliced({g: self.asset_counts_by_slice(g) for g in GRANULARITIES}),
+            "asset_counts": sliced(self.asset_counts),
             "slice_status": self.slice_status(),
             "pending_detail": self.pending_detail,
             "pending_by_provider": pending_ops.pending_by_provider(self.pending_detail),
@@ -174,27 +199,40 @@ class ReportSuite:
         }
 
     def write(self, output_dir: str, fmt: str = "parquet", concurrent_jobs: int = 4) -> dict[str, str]:
-        """K1: write every report under ``output_dir/<report>``; sliced reports
-        are partitioned by ``granularity`` and ``slice``, all are in report
-        order (T3-T6) file by file. Growing reports are range-partitioned on
-        that order and written by many tasks. The report jobs are independent,
+        """K1: write every report under a folder of this run, ``<output_dir>/run-<id>/<report>``,
+        and publish them all at once when the last one is complete (``plans.runs``;
+        ``runs.read_report`` follows). If one fails, the run's folder is deleted and
+        the run before stays the published one.
+
+        Sliced reports are partitioned by ``granularity`` and ``slice``, all are in report
+        order (T3-T6) file by file. Growing reports are range-partitioned
+        on that order and written by many tasks. The report jobs are independent,
         so up to ``concurrent_jobs`` are submitted at once from driver threads
         and share the cluster. Nothing is collected to the driver."""
+        run = new_run(output_dir)
         jobs = []
         for name, df in self.datasets().items():
             parts = [c for c in ("granularity", "slice") if c in df.columns]
             order = [F.col(c) for c in parts] + [order_column(c) for c in REPORT_ORDER.get(name, ()) if c not in parts]
             df = df.repartitionByRange(*order) if name in GROWING else df.coalesce(1)
-            writer = (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").format(fmt)
-            jobs.append((name, writer.partitionBy(*parts) if parts else writer, f"{output_dir.rstrip('/')}/{name}"))
-        with ThreadPoolExecutor(max_workers=max(1, concurrent_jobs)) as pool:
-            for done in [pool.submit(w.save, path) for _, w, path in jobs]:
-                done.result()
-        return {name: path for name, _, path in jobs}
+            writer = (df.sortWithinPartitions(*order) if order else df).write.mode("errorifexists").format(fmt)
+            jobs.append((writer.partitionBy(*parts) if parts else writer, f"{run}/{name}"))
+        try:
+            with ThreadPoolExecutor(max_workers=max(1, concurrent_jobs)) as pool:
+                for done in [pool.submit(w.save, path) for w, path in jobs]:
+                    done.result()
+        except BaseException:
+            remove_folder(self.spark, run)
+            raise
+        paths = {path.rsplit("/", 1)[1]: path for _, path in jobs}
+        rows = {"/".join(key): {s: int(n.get(s) or 0) for s in SLICES} for key, n in self._rows.items()}
+        publish(self.spark, output_dir, paths, format=fmt, rows=rows)
+        return paths
 
     def release(self) -> None:
         """Delete the run's folder; frames built from it can no longer be read."""
         if "folder" in self.__dict__:
             remove_folder(self.spark, self.folder)
-        for name in ("folder", "top", "snapshot", "summaries", "pending_detail", "provider_ranking"):
+        for name in ("folder", "top", "snapshot", "summaries", "asset_counts", "pending_detail", "provider_ranking"):
             self.__dict__.pop(name, None)
+        self._rows.clear()

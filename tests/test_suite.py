@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.plans import runs
 from ledgerlens.plans.reports import LedgerReports
 from ledgerlens.plans.suite import REPORT_ORDER, ReportSuite
 from ledgerlens.sources.standin import standin_tables
@@ -110,6 +111,50 @@ def test_empty_weekly_slice_has_no_sliced_reports(spark, tables, tmp_path):
     assert list((tmp_path / "run").iterdir()) == []
 
 
+def test_row_counts_come_from_the_writes(spark, pair):
+    suite, reports = pair
+    counts = suite.report_row_counts()
+    assert "FileScan" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert _same(counts, reports.report_row_counts())
+
+
+def test_row_counts_of_an_empty_ledger(tables):
+    suite = ReportSuite(tables([]))
+    assert {r["rows"] for r in suite.report_row_counts().collect()} == {0} and suite.report_row_counts().count() == 12
+    suite.release()
+
+
+def test_a_failed_run_leaves_the_one_before(spark, tables, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    with pytest.raises(LookupError):
+        runs.read_report(spark, out, "pending_summary")
+    suite = ReportSuite(tables([cost(1, 1), cost(2, 1, pid=2)]), storage=str(tmp_path / "work"))
+    suite.write(out)
+    suite.release()
+    first = runs.latest_run(spark, out)
+    assert runs.read_report(spark, out, "status_summary").where("granularity = 'weekly' AND slice = 'all'").first()["pre_invoices"] == 2
+    assert first["rows"]["status_summary/weekly"] == {"regular": 1, "complementary": 0, "all": 1}
+
+    second = ReportSuite(tables([cost(1, 1)]), storage=str(tmp_path / "work"))
+    good = second.datasets()
+    broken = good | {"pending_by_provider": good["pending_by_provider"].withColumn("cost", F.raise_error(F.lit("lost")).cast("int")),
+                     "slice_status": good["slice_status"].withColumn("has_data", F.raise_error(F.lit("lost")).cast("boolean"))}
+    monkeypatch.setattr(second, "datasets", lambda: broken)
+    with pytest.raises(Exception, match="lost"):
+        second.write(out)
+    assert runs.latest_run(spark, out) == first and len(list((tmp_path / "out").glob("run-*"))) == 1
+    assert runs.read_report(spark, out, "status_summary").where("granularity = 'weekly' AND slice = 'all'").first()["pre_invoices"] == 2
+
+    monkeypatch.undo()
+    second.write(out)
+    assert runs.read_report(spark, out, "status_summary").where("granularity = 'weekly' AND slice = 'all'").first()["pre_invoices"] == 1
+    (tmp_path / "out" / "manifests" / "000000000003.json").write_text('{"datasets": {')  # a run cut off while it published
+    assert runs.latest_run(spark, out)["rows"]["status_summary/weekly"]["all"] == 1
+    runs.prune_runs(spark, out, keep=2)
+    assert len(list((tmp_path / "out").glob("run-*"))) == 1 and runs.latest_run(spark, out) != first
+    second.release()
+
+
 def test_reports_read_only_their_columns_and_partitions(spark, pair):
     suite, _ = pair
     plan = suite.asset_counts_by_slice("weekly")._jdf.queryExecution().executedPlan().toString()
