@@ -4,8 +4,9 @@ Every text gets a feature vector (shares of character kinds, repetition, word
 shape). Training pairs a better document (label 1) with a worse one (label 0)
 and fits the Bradley-Terry model: the log odds that the first is preferred are
 the difference of the documents' linear scores, so the logistic loss is taken
-on feature differences and needs no intercept. A cut is then read off the
-training scores at a quantile, and ``score`` is the chance of beating a
+on feature differences and needs no intercept. The cut is a quantile of
+the scores of all labelled training rows (``PairwiseRanker.quantile`` is the
+share of them below it), the one with the fewest of them on the wrong side, and ``score`` is the chance of beating a
 document at that cut, shifted so that the cut itself scores ``threshold``.
 
 The weights are fitted on a bounded sample of labelled rows (``max_per_label``,
@@ -84,6 +85,7 @@ class PairwiseRanker:
     weights: np.ndarray
     cut: float
     threshold: float
+    quantile: float = 0.0  # the share of the training scores below the cut
 
     def raw(self, f: np.ndarray) -> np.ndarray:
         return ((f - self.mean) / self.scale) @ self.weights
@@ -141,7 +143,7 @@ def fit_pairs(better: np.ndarray, worse: np.ndarray, pairs_per_row: int = 8, l2:
         # the middle of the best quantiles
         best = np.flatnonzero(errors == errors.min())
         quantile = float(grid[best[len(best) // 2]])
-    return PairwiseRanker(mean, scale, w, float(np.quantile(scores, quantile)), threshold)
+    return PairwiseRanker(mean, scale, w, float(np.quantile(scores, quantile)), threshold, quantile)
 
 
 def score_counts(rows: DataFrame, known: DataFrame, ranker: PairwiseRanker, low: float, high: float) -> np.ndarray:
@@ -166,23 +168,31 @@ def score_counts(rows: DataFrame, known: DataFrame, ranker: PairwiseRanker, low:
     return counts
 
 
-def cut_of(counts: np.ndarray, low: float, high: float, quantile: float | None = None) -> float:
-    """The edge with the fewest rows on the wrong side (the middle one of the
-    best), or the first one with a share of ``quantile`` of the rows below it."""
+def cut_of(counts: np.ndarray, low: float, high: float, quantile: float | None = None) -> tuple[float, float]:
+    """The cut and its quantile, the share of the counted rows below it: the
+    first edge with a share of ``quantile`` below it, or without one the edge
+    with the fewest rows on the wrong side (the middle one of the best)."""
     edges = np.linspace(low, high, BINS)
     below = np.cumsum(counts, 1)[:, :-1]
     if quantile is not None:
-        return float(edges[min(np.searchsorted(below.sum(0), quantile * counts.sum()), BINS - 1)])
-    errors = counts[0].sum() - below[0] + below[1]
-    best = np.flatnonzero(errors == errors.min())
-    return float(edges[best[len(best) // 2]])
+        at = min(np.searchsorted(below.sum(0), quantile * counts.sum()), BINS - 1)
+    else:
+        errors = counts[0].sum() - below[0] + below[1]
+        best = np.flatnonzero(errors == errors.min())
+        at = best[len(best) // 2]
+    return float(edges[at]), float(below[:, at].sum() / counts.sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5,
           max_per_label: int = 10_000, **fit) -> PairwiseRanker:
     """Learn from the labelled rows outside the held-out fold (crc32 of the id
-    modulo ``folds`` is 0): the weights from at most ``max_per_label`` of each
-    label, the cut from all."""
+    modulo ``folds`` is 0): the weights from at most ``max_per_label`` ids of each
+    label, the cut from all rows.
+
+    An id with labels of both kinds counts as good. Of documents that share a
+    sampled id, the one with the smallest features stands for it; the cut
+    counts them all. Labels of another kind than 0 and 1 and null ids are left out.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
     known = (labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"))
              .where("quality IN (0, 1) AND id IS NOT NULL").where(~held_out("id", folds))
@@ -190,8 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     taken = reduce(DataFrame.unionByName, (smallest_hashes(known.where(F.col("quality") == q), max_per_label, "id") for q in (1, 0)))
     every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = every.join(F.broadcast(taken.select("id")), "id", "left_semi")
-    # at most 2 * max_per_label feature rows
-    rows = with_features(texts, id_type).join(F.broadcast(taken), "id").orderBy("id", "f").toPandas()
+    # one feature row of each sampled id, so at most 2 * max_per_label, however often an id repeats
+    one_each = with_features(texts, id_type).groupBy("id").agg(F.min("f").alias("f"))
+    rows = one_each.join(F.broadcast(taken), "id").orderBy("id").toPandas()
     side = {q: np.vstack([np.zeros((0, len(FEATURES))), *(r[None] for r in map(np.asarray, rows.loc[rows["quality"] == q, "f"]))])
             for q in (0, 1)}
     ranker = fit_pairs(side[1], side[0], **fit)
@@ -200,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scores = ranker.raw(np.vstack([side[1], side[0]]))
     low, high = float(scores.min()), float(scores.max())
     counts = score_counts(every.where("id IS NOT NULL").where(~held_out("id", folds)), known, ranker, low, high)
-    return replace(ranker, cut=cut_of(counts, low, high, fit.get("quantile")))
+    cut, share = cut_of(counts, low, high, fit.get("quantile"))
+    return replace(ranker, cut=cut, quantile=share)
 
 
 def quality_scores(docs: DataFrame, ranker: PairwiseRanker, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),

@@ -30,11 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import Members, connected_components, lower_bytes, mix64, ship, shingle_hashes, spaced_words, stored, word_hashes
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
 #: Groups in a matrix column beyond which it is left to the frequency order.
 CAP = 32
 #: Min-hashes by which similar documents are brought together.
@@ -194,6 +196,30 @@ def matrix_candidates(entries: DataFrame, columns: DataFrame, percent: int) -> D
     return opened.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct()
 
 
+def _row_key(id_col: str, text_col: str, id_type: str) -> Column:
+    """A text that names a row by its id and its text, in the order of ids (of
+    their texts, if they are no integers); null for a null id."""
+    i = F.col(f"`{id_col}`")
+    if id_type in INTEGERS:
+        i = F.lpad((i.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(i.cast("string"), F.lit("\0"), F.hex(F.xxhash64(F.coalesce(f"`{text_col}`", F.lit("")))))
+
+
+def _id_of(key: Column, id_type: str) -> Column:
+    """The id in a row's key."""
+    i = F.substring_index(key, "\0", 1) if id_type in INTEGERS else F.substring(key, 1, F.length(key) - F.length(F.substring_index(key, "\0", -1)) - 1)
+    if id_type in INTEGERS:
+        i = i.cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return i.cast(id_type)
+
+
+def _ids_shared(docs: DataFrame, id_col: str, text_col: str) -> bool:
+    """Whether rows with one id have different texts."""
+    h = F.xxhash64(F.coalesce(f"`{text_col}`", F.lit("")))
+    return not (docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(f"`{id_col}`").agg(F.min(h).alias("low"), F.max(h).alias("high"))
+                .where("low <> high").isEmpty())
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4,
                        percent: int = 85) -> DataFrame:
     """``<id_col>, n_shingles, component_id`` of every row.
@@ -201,13 +227,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null, empty or blank text has an empty set, links with nothing and is its
     own component. Rows with a null id link with nothing and have a null
     component. Repeated rows are classes like other copies; of rows that share
-    an id but not the text, each is judged by its own text. Other columns of
-    ``docs`` are ignored.
+    an id but not the text, each is judged by its own text: where there are
+    any, rows are joined by a key of id and text, and the component is the
+    smallest id among its rows. Other columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
-    ship(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not _ids_shared(docs, id_col, text_col):
+        return _components(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), id_type, id_col, size, percent)
+    keyed = docs.select(_row_key(id_col, text_col, id_type).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = _components(keyed, "string", "id", size, percent)
+    return found.select(_id_of(F.col("id"), id_type).alias(id_col), "n_shingles", _id_of(F.col("component_id"), id_type).alias("component_id"))
+
+
+def _components(texts: DataFrame, id_type: str, id_col: str, size: int, percent: int) -> DataFrame:
+    """The components of ``id, text``, an id for each text."""
+    spark = texts.sparkSession
+    ship(spark)
     rows = stored(_summaries(texts, id_type, size, percent), "sets")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     entries = stored(_shared_entries(rows, id_type).join(classes, ["d1", "d2", "n"]).where("id = rep")
@@ -267,19 +302,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id")))
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the
-    smallest id stays (of rows that share it, the one with the smallest text
-    hash). Rows with empty texts are components of their own; rows without an
-    id all stay."""
-    found = stored(jaccard_components(docs, id_col, text_col, **join), "components")
-    first = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
-    once = docs.join(first.where("rows = 1").select(id_col), id_col, "left_semi").select(*docs.columns)
-    more = docs.join(first.where("rows > 1").select(id_col), id_col, "left_semi")
-    picked = (more.groupBy(F.col(id_col).alias("__id"))
-              .agg(F.min_by(F.struct(*more.columns), F.struct(F.xxhash64(text_col), F.hash(*more.columns))).alias("row"))
-              .select("row.*"))
-    return once.unionByName(picked).unionByName(docs.where(F.col(id_col).isNull()))
+    smallest id stays. Rows that share an id are judged each by its own text, so
+    an unlinked one stays; of rows that share id and text, one stays. Rows with
+    empty texts are components of their own; rows without an id all stay.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    key = "row key of " + ",".join(docs.columns)  # clashes with no column
+    if _ids_shared(docs, id_col, text_col):
+        id_type, named = "string", _row_key(id_col, text_col, id_type)
+    else:
+        named = F.col(f"`{id_col}`")
+    keyed = docs.withColumn(key, named)
+    found = stored(_components(keyed.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text_col}`").alias("text")), id_type, "id", size, percent),
+                   "components")
+    first = found.where("id = component_id").groupBy(F.col("id").alias(key)).agg(F.count(F.lit(1)).alias("rows"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    once = keyed.join(first.where("rows = 1").select(f"`{key}`"), key, "left_semi").select(*own)
+    more = keyed.join(first.where("rows > 1").select(f"`{key}`"), key, "left_semi")
+    picked = more.groupBy(f"`{key}`").agg(F.min_by(F.struct(*own), F.struct(F.xxhash64(f"`{text_col}`"), F.hash(*own))).alias("row")).select("row.*")
+    return once.unionByName(picked).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op6_token_group_join(spark, sf_dir: str) -> DataFrame:

@@ -175,6 +175,25 @@ def test_cut_covers_all_labelled_rows(spark, documents):
     assert wrong(m.cut) <= min(wrong(c) for c in z) + 1
     m = quality.train(documents(rows), labelled, max_per_label=60, quantile=0.25)
     assert np.mean(scores(m) < m.cut) == pytest.approx(0.25, abs=0.01)
+    assert m.quantile == pytest.approx(np.mean(scores(m) < m.cut), abs=0.002)
+
+
+def test_repeated_ids_bring_no_more_rows_to_the_driver(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["river", "stone", "a", "!!"]) for _ in range(20))) for k in range(100)]
+    rows += [(k, f"again {j}") for k in range(100) for j in range(30)]  # every id thirty times more
+    labelled = spark.createDataFrame([(k, k % 2) for k in range(100)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    seen, real = [], quality.fit_pairs
+    monkeypatch.setattr(quality, "fit_pairs", lambda good, bad, **o: seen.append((len(good), len(bad))) or real(good, bad, **o))
+    m = quality.train(documents(rows), labelled, max_per_label=10)
+    assert seen == [(10, 10)] and 0 <= m.quantile <= 1
+
+
+def test_quality_of_a_very_long_text(spark, documents):
+    m = quality.train(documents([(k, "good text " * 5 if k % 2 else "$$$ !!!") for k in range(40)]),
+                      spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality.quality_scores(documents([(1, "good text " * 200_000), (2, "$$$ !!! " * 200_000)]), m).collect()}
+    assert got[1] > 0.3 > got[2]
 
 
 def test_without_labels_nothing_is_preferred(spark, documents):

@@ -101,7 +101,36 @@ def test_keep_one_each(documents):
     want = {c for _, _, c in parts}
     got = collections.Counter(r.doc_id for r in kept.collect())
     assert {i for i in got if i is not None} == {c for c in want if c is not None}
-    assert got[None] == 2 and all(n == 1 for i, n in got.items() if i is not None)
+    assert got[5000] == 2  # unrelated texts under one id both stay
+    assert got[None] == 2 and all(n == 1 for i, n in got.items() if i not in (None, 5000))
+
+
+def near_copies(seed=9):
+    """A, a near copy of it, and an unrelated text."""
+    rng = random.Random(seed)
+    a = [f"w{rng.randrange(10_000)}" for _ in range(200)]
+    return " ".join(a), " ".join([*a[:-1], "changed"]), " ".join(f"v{k}" for k in range(200))
+
+
+@pytest.mark.parametrize("id_type", ["long", "string", "int"])
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, id_type):
+    a, near, other = near_copies()
+    first, second, third = (1, 5, -7) if id_type != "string" else ("1", "5", "7")
+    rows = [(first, a, 10), (second, near, 11), (second, other, 12), (second, other, 13), (third, "", 14), (third, "x y", 15), (None, a, 16)]
+    df = spark.createDataFrame(rows, f"doc_id {id_type}, text string, rows int").repartition(3)
+    kept = tgm_join.keep_one_each(df)
+    assert kept.schema == df.schema
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert got == sorted((str(i), t) for i, t in ((first, a), (second, other), (third, ""), (third, "x y"), (None, a)))
+    found = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in tgm_join.jaccard_components(df).collect())
+    assert found == {(first, 197, first): 1, (second, 197, first): 1, (second, 197, second): 2, (third, 0, third): 1, (third, 1, third): 1,
+                     (None, 197, None): 1}
+
+
+def test_a_very_long_text_and_its_near_copy(documents):
+    a = " ".join(f"w{k}" for k in range(60_000))
+    got = tgm_join.jaccard_components(documents([(1, a), (2, a + " end"), (3, a[: len(a) // 2])])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
 
 
 def test_nothing_to_join(documents):
