@@ -7,12 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import ensure_checkpoint_dir, remove_folder
 
 #: Fixed character sets of the query contracts, as regular expressions.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -43,14 +45,38 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``stored`` writes inside, but for those it keeps.
+
+    For a result that is itself stored before the end: what it was made from
+    then takes no more room. Scopes may be nested; a driver thread's tables go
+    to the scope that was opened last.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove_folder(spark, path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 
     This cuts the lineage, is computed once, survives lost executors, and stays
-    columnar, so later readers scan only the columns they use.
+    columnar, so later readers scan only the columns they use. Inside
+    ``passing_tables`` it goes when the scope ends, with ``keep`` when the scope
+    around that one does.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    owners = _scopes[:-1] if keep else _scopes
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Members, connected_components, lower_bytes, mix64, ship, shingle_hashes, spaced_words, stored, word_hashes
+from ledgerlens.llm.common import Members, connected_components, lower_bytes, mix64, passing_tables, ship, shingle_hashes, spaced_words, stored, word_hashes
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
@@ -315,8 +315,9 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         named = F.col(f"`{id_col}`")
     keyed = docs.withColumn(key, named)
-    found = stored(_components(keyed.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text_col}`").alias("text")), id_type, "id", size, percent),
-                   "components")
+    with passing_tables(docs.sparkSession):  # sets, entries and links go before the rows travel
+        texts = keyed.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+        found = stored(_components(texts, id_type, "id", size, percent), "components", keep=True)
     first = found.where("id = component_id").groupBy(F.col("id").alias(key)).agg(F.count(F.lit(1)).alias("rows"))
     own = [F.col(f"`{c}`") for c in docs.columns]
     once = keyed.join(first.where("rows = 1").select(f"`{key}`"), key, "left_semi").select(*own)

@@ -15,6 +15,29 @@ def test_smallest_hashes_do_not_depend_on_thinning(spark):
     assert common.smallest_hashes(df.limit(0), 50, "id").count() == 0
 
 
+def test_passing_tables_go_but_for_the_kept_one(spark):
+    from pathlib import Path
+
+    from ledgerlens.session import ensure_checkpoint_dir
+
+    def there():
+        return {p.name.rsplit("-", 1)[0] for p in Path(ensure_checkpoint_dir(spark).removeprefix("file:")).glob("scope-*")}
+
+    with common.passing_tables(spark):
+        with common.passing_tables(spark):
+            inner = common.stored(spark.range(5), "scope-inner")
+            kept = common.stored(inner.withColumn("x", F.lit(1)), "scope-kept", keep=True)
+            assert there() == {"scope-inner", "scope-kept"}
+        assert there() == {"scope-kept"} and kept.count() == 5
+        try:
+            with common.passing_tables(spark):
+                common.stored(spark.range(5), "scope-failed")
+                raise ValueError
+        except ValueError:
+            assert there() == {"scope-kept"}
+    assert there() == set()
+
+
 def test_members_are_never_missed(spark):
     df = spark.range(3000).select(F.xxhash64("id").alias("h"))
     inside = np.array([r.h for r in df.collect()], np.int64)
