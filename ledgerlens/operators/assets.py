@@ -12,10 +12,12 @@ from ledgerlens.operators.summary import slice_filter, with_slice_tags
 
 def asset_counts(assets: DataFrame, *by: str) -> DataFrame:
     """A5: distinct routes and vehicles per bucket, across types and statuses.
-    A bucket appears only if it has payload rows."""
-    return (assets.groupBy(*by, "bucket")
-            .agg(F.count_distinct("route").alias("routes"),
-                 F.count_distinct("vehicle").alias("vehicles")))
+    A bucket appears only if it has payload rows. Routes and vehicles go through
+    one distinct as (kind, value), combined map-side; plain counts remain."""
+    value = lambda c: F.struct(F.lit(c).alias("kind"), F.col(c).alias("value"))
+    values = assets.select(*by, "bucket", F.inline(F.array(value("route"), value("vehicle")))).distinct()
+    count = lambda c: F.count(F.when(F.col("kind") == c, F.col("value")))
+    return values.groupBy(*by, "bucket").agg(count("route").alias("routes"), count("vehicle").alias("vehicles"))
 
 
 def asset_counts_slice(assets: DataFrame, slice_name: str) -> DataFrame:

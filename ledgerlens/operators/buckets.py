@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ledger import bucket_of
+from ledgerlens.operators.ledger import bucket_of, folder_of, month_of
+from ledgerlens.sources.tables import PERIOD_MONTH
 
 
 def period_names(processed: DataFrame) -> DataFrame:
@@ -32,7 +33,12 @@ def restrict_to_buckets(rows: DataFrame, top: DataFrame, granularity: str) -> Da
     """Keep rows whose bucket is among ``top``; adds column ``bucket``.
 
     ``top`` has at most ``n`` rows (a LIMIT), a proven bound, so it is
-    broadcast and the semi join never shuffles the ledger.
+    broadcast and the semi join never shuffles the ledger. On an ingested
+    ledger the buckets' months are joined to the folder column too; that is where
+    dynamic pruning leaves out the files of all other months.
     """
+    if PERIOD_MONTH in rows.columns:
+        months = top.select(folder_of(month_of(F.col("bucket"))).alias(PERIOD_MONTH)).distinct()
+        rows = rows.join(F.broadcast(months), PERIOD_MONTH, "left_semi").drop(PERIOD_MONTH)
     with_bucket = rows.withColumn("bucket", bucket_of(F.col("period_name"), granularity))
     return with_bucket.join(F.broadcast(top), "bucket", "left_semi")

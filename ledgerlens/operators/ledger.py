@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import (DEFAULT_CONFIG, MONTH_PREFIX_LEN, MONTHLY, PROCESSED, WEEKLY,
                                YEAR_PREFIX_LEN, LedgerConfig)
 from ledgerlens.functions.json import with_json_field
+from ledgerlens.sources.tables import PERIOD_MONTH, PERIOD_NAME
 
 PERIOD_NAME_FIELD = "name"
 
@@ -24,6 +25,12 @@ def year_of(period_name: Column) -> Column:
     return F.substring(period_name, 1, YEAR_PREFIX_LEN)
 
 
+def folder_of(month: Column) -> Column:
+    """Name of a month's folder in an ingested ledger. The letter keeps the empty
+    month apart from NULL, which Spark would store as one."""
+    return F.concat(F.lit("m"), month)
+
+
 def bucket_of(period_name: Column, granularity: str) -> Column:
     if granularity == WEEKLY:
         return period_name
@@ -42,10 +49,13 @@ def processed_rows(cost_event: DataFrame) -> DataFrame:
 
     The status predicate is a plain comparison on a scan column, so it reaches
     the parquet reader as a pushed filter; only the columns a report touches
-    are read (column pruning follows the later projections).
+    are read (column pruning follows the later projections). An ingested ledger
+    has the name already, and its month besides.
     """
-    rows = with_json_field(only_processed(cost_event), "period", PERIOD_NAME_FIELD, "period_name")
-    return rows.select(*LEDGER_COLUMNS)
+    rows = only_processed(cost_event)
+    if PERIOD_NAME not in rows.columns:
+        return with_json_field(rows, "period", PERIOD_NAME_FIELD, PERIOD_NAME).select(*LEDGER_COLUMNS)
+    return rows.select(*LEDGER_COLUMNS, *(c for c in (PERIOD_MONTH,) if c in rows.columns))
 
 
 def accepted_providers(provider: DataFrame, config: LedgerConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -68,5 +78,8 @@ def with_provider(rows: DataFrame, provider: DataFrame,
 
 
 def in_detail_year(rows: DataFrame, config: LedgerConfig = DEFAULT_CONFIG) -> DataFrame:
-    """period names of the detail year (NULL names drop)."""
+    """period names of the detail year (NULL names drop). On an ingested
+    ledger the month begins with the same year, which prunes its folders."""
+    if PERIOD_MONTH in rows.columns:
+        rows = rows.where(F.col(PERIOD_MONTH).startswith("m" + config.detail_year)).drop(PERIOD_MONTH)
     return rows.where(year_of(F.col("period_name")) == F.lit(config.detail_year))

@@ -19,22 +19,31 @@ def with_payment_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", payment_status(F.col("provider_type"), F.col("status")))
 
 
-def with_collapsed_route(rows: DataFrame) -> DataFrame:
-    """J5 on collapsed rows at the latest version: the transaction's route is
-    the max over them. They are partitioned by (transaction, version) after J1,
-    so the window adds no exchange, and its groups are bounded by distinct key
-    combinations, not by copies."""
-    return rows.withColumn("route", F.max("row_route").over(Window.partitionBy("transaction_id", "version_id")))
-
-
 def status_summary(rows: DataFrame) -> DataFrame:
-    """A3/A4: by (bucket, type, status): distinct routes, distinct
-    pre-invoices, summed cost. NULL type and NULL status are groups of their
-    own; NULL ids are not counted; an all-NULL cost sums to NULL. The same over
-    collapsed rows as over raw ones."""
-    return (with_payment_status(rows).groupBy(*SUMMARY_KEYS)
+    """A3/A4 with J5: by (bucket, type, status): distinct routes of the
+    transactions, distinct pre-invoices, summed cost, from rows at their latest
+    version with the trace status. A transaction's route is the max over all of its
+    rows. NULL type and NULL status are groups of their own; NULL ids are not
+    counted; an all-NULL cost sums to NULL. The same over collapsed rows as over
+    raw ones.
+
+    Every row gives two entries: its pre-invoice with the cost, and its
+    transaction with the row's route. The first aggregate combines both
+    map-side to one per group, so what the window sees of a transaction is as many
+    rows as there are groups that it occurs in, however many rows it has; pre-invoices
+    are distinct after it, and plain counts remain. (A transaction id is not NULL
+    at a latest version, so it tells the two kinds apart.)
+    """
+    none = {c: F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("pre_invoice_id", "transaction_id", "row_route", "cost_amt")}
+    entries = with_payment_status(rows).select(*SUMMARY_KEYS, F.inline(F.array(
+        F.struct("pre_invoice_id", none["transaction_id"], none["row_route"], "cost_amt"),
+        F.struct(none["pre_invoice_id"], "transaction_id", "row_route", none["cost_amt"]))))
+    combined = (entries.groupBy(*SUMMARY_KEYS, "transaction_id", "pre_invoice_id")
+                .agg(F.max("row_route").alias("row_route"), F.sum("cost_amt").alias("cost_amt")))
+    route = F.max("row_route").over(Window.partitionBy("transaction_id", "pre_invoice_id"))
+    return (combined.withColumn("route", route).groupBy(*SUMMARY_KEYS)
             .agg(F.count_distinct("route").alias("routes"),
-                 F.count_distinct("pre_invoice_id").alias("pre_invoices"),
+                 F.count("pre_invoice_id").alias("pre_invoices"),
                  cost_sum("cost_amt").alias("cost")))
 
 

@@ -18,10 +18,10 @@ Plan shape of the status summary (weekly or monthly):
    copies of a hot transaction never travel;
 5. latest version: narrow ``max(version)`` by transaction over the whole
    ledger (map-side combine), joined on (transaction, version);
-6. route per transaction by a window over the collapsed rows;
-7. trace: latest status per pre-invoice by ``max_by`` (map-side combine),
-   left-joined on the string key;
-8. final aggregate by (bucket, type, status).
+6. trace: latest status per pre-invoice by the greatest struct (map-side
+   combine), left-joined on the string key;
+7. by (bucket, type, status): pre-invoices, and transactions with their route,
+   combined map-side before a window sees them (``operators.summary``).
 """
 
 from __future__ import annotations
@@ -42,10 +42,9 @@ from ledgerlens.operators.buckets import period_names, restrict_to_buckets, top_
 from ledgerlens.operators.latest import TRACE_DETAIL_COLUMNS, collapse, keep_latest, latest_versions, trace_latest, with_trace
 from ledgerlens.operators.ledger import in_detail_year, processed_rows, with_provider
 from ledgerlens.operators.payload import payload_assets, payload_route, with_payload_values, with_transaction_route
-from ledgerlens.operators.summary import (COLLAPSE_KEYS, slice_filter, slice_status, status_summary, with_collapsed_route,
-                                         with_payment_status)
+from ledgerlens.operators.summary import COLLAPSE_KEYS, slice_filter, slice_status, status_summary, with_payment_status
 from ledgerlens.session import new_folder, remove_folder, write_table
-from ledgerlens.sources.tables import LedgerTables
+from ledgerlens.sources.tables import PERIOD_MONTH, LedgerTables
 
 ENRICHED_COLUMNS = ("transaction_id", "bucket", "pre_invoice_type", "pre_invoice_id", "provider_id",
                     "provider_type", "cost_amt", "route", "status")
@@ -86,7 +85,7 @@ class LedgerReports:
 
     def latest_version_rows(self) -> DataFrame:
         """A1/J1 over the whole processed ledger (no bucket restriction)."""
-        return keep_latest(self.processed, self.latest).drop("payload")
+        return keep_latest(self.processed, self.latest).drop("payload", PERIOD_MONTH)
 
     def candidates(self, granularity: str) -> DataFrame:
         """Rows of the top buckets with an accepted provider (before J1)."""
@@ -112,7 +111,7 @@ class LedgerReports:
 
     # -- R0 status summary ----------------------------------------------------
     def status_summary(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:
-        rows = with_trace(with_collapsed_route(self.base(granularity)), self.trace_status)
+        rows = with_trace(self.base(granularity), self.trace_status)
         return slice_filter(status_summary(rows), slice_name)
 
     def status_normalised(self, granularity: str = WEEKLY, slice_name: str = ALL_SLICE) -> DataFrame:

@@ -36,13 +36,13 @@ from ledgerlens.operators import ranking as ranking_ops
 from ledgerlens.operators.buckets import period_names, top_buckets
 from ledgerlens.operators.latest import (TRACE_DETAIL_COLUMNS, collapse, keep_latest, latest_versions, trace_latest,
                                         with_trace)
-from ledgerlens.operators.ledger import month_of, processed_rows, with_provider, year_of
+from ledgerlens.operators.ledger import folder_of, month_of, processed_rows, with_provider, year_of
 from ledgerlens.operators.payload import payload_assets, with_payload_values
 from ledgerlens.operators.ranking import order_column
-from ledgerlens.operators.summary import slice_filter, slice_status, status_summary, with_collapsed_route
+from ledgerlens.operators.summary import slice_filter, slice_status, status_summary
 from ledgerlens.plans.runs import new_run, publish
 from ledgerlens.session import new_folder, remove_folder, write_table
-from ledgerlens.sources.tables import LedgerTables
+from ledgerlens.sources.tables import PERIOD_MONTH, LedgerTables
 
 #: Report order (ascending NULLs first, as the warehouse sorts; ties
 #: broken by the remaining keys so files are reproducible).
@@ -105,6 +105,10 @@ class ReportSuite:
     @cached_property
     def snapshot(self) -> DataFrame:
         rows = self.processed.withColumn("month", month_of(F.col("period_name")))
+        if PERIOD_MONTH in rows.columns:  # an ingested ledger: only the folders of months that a report uses
+            months = reduce(DataFrame.union, (t.select(folder_of(month_of(F.col("bucket")))) for t in self.top.values())).distinct()
+            used = [m for m, in months.collect() if m is not None]  # at most as many as top buckets
+            rows = rows.where(F.col(PERIOD_MONTH).isin(used) | F.col(PERIOD_MONTH).startswith("m" + self.config.detail_year)).drop(PERIOD_MONTH)
         rows = self._flag(rows, "period_name", WEEKLY, "in_top_period")
         rows = self._flag(rows, "month", MONTHLY, "in_top_month")
         rows = rows.withColumn("in_detail_year", F.coalesce(
@@ -128,7 +132,7 @@ class ReportSuite:
         def in_slice(s: str) -> Column:
             return F.lit(True) if s == ALL_SLICE else F.col("pre_invoice_type") == s
 
-        return {g: self._keep_counted(status_summary(with_collapsed_route(self._bucket_rows(g))), "status_summary", g, in_slice)
+        return {g: self._keep_counted(status_summary(self._bucket_rows(g)), "status_summary", g, in_slice)
                 for g in GRANULARITIES}
 
     def status_summary(self, granularity: str, slice_name: str = ALL_SLICE) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import json
 import re
+import subprocess
+import sys
 from decimal import Decimal
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.config import LedgerConfig
@@ -12,7 +15,7 @@ from ledgerlens.functions.json import json_array, max_value_for_key, with_json_f
 from ledgerlens.operators.latest import trace_latest
 from ledgerlens.plans import oracle
 from ledgerlens.plans.reports import LedgerReports
-from tests.conftest import cost, provider, trace
+from tests.conftest import ROOT, cost, provider, trace
 
 TOP5 = ["202612Q2", "202612Q1", "202611Q2", "202611Q1", "202610Q2"]
 
@@ -395,3 +398,63 @@ def test_hot_transaction_and_pre_invoice_are_split(spark, tables, tmp_path):
     spread = (collapse(with_payload_values(r.candidates("weekly")), *COLLAPSE_KEYS)
               .repartition(8, "transaction_id", "version_id").groupBy(F.spark_partition_id()).count().collect())
     assert len(spread) == 8 and max(x[1] for x in spread) <= 2 * n / 8
+
+
+def test_no_expand_under_distinct_counts(tables):
+    r = LedgerReports(tables([cost(1, 1)]))
+    for df in (r.status_summary("weekly"), r.asset_counts("weekly"), r.asset_counts_all_slices("monthly")):
+        assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_route_is_of_the_transaction_in_every_group(tables):
+    """A transaction's greatest route counts in each (bucket, type, status) that it occurs in."""
+    s = summary_for(tables, cost(1, 1, ptype="regular", pid=1, route="R1"), cost(1, 1, ptype="complementary", pid=2, route="R9"),
+                    cost(2, 1, ptype="regular", pid=3, route="R9"), cost(3, 1, ptype="regular", pid=None, route=None, amt=None),
+                    cost(3, 1, ptype="other", pid=None, payload=None, amt=None))
+    assert rows(s, "pre_invoice_type", "routes", "pre_invoices", "cost") == [
+        ("complementary", 1, 1, Decimal("10.00")), ("other", 0, 0, None), ("regular", 1, 2, Decimal("20.00"))]
+
+
+HOT_REPORT = """
+import json, sys
+from ledgerlens.session import local_session
+from ledgerlens.plans.reports import LedgerReports
+from ledgerlens.plans.suite import ReportSuite
+from ledgerlens.sources.tables import read_ledger_tables
+folder, suite = sys.argv[1], sys.argv[2] == "suite"
+small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+         "spark.sql.autoBroadcastJoinThreshold": "3k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+         "spark.eventLog.enabled": "true", "spark.eventLog.dir": folder + "/log", "spark.eventLog.compress": "false",
+         "spark.eventLog.rolling.enabled": "false"}
+spark = local_session(4, 8, extra=small, driver_memory="2g")
+tables = read_ledger_tables(spark, *(folder + "/" + n for n in ("ledger", "trace", "provider")))
+r = ReportSuite(tables, storage=folder + "/scratch") if suite else LedgerReports(tables)
+print(json.dumps(sorted([[x["status"], x["routes"], x["pre_invoices"], str(x["cost"])] for x in r.status_summary("weekly").collect()], key=str)))
+spark.stop()
+"""
+
+
+@pytest.mark.parametrize("kind", ["report", "suite"])
+def test_hot_version_of_distinct_pre_invoices_is_split(spark, tables, tmp_path, kind):
+    """90 % of the ledger on one transaction at one version, each row another
+    pre-invoice, so that nothing collapses. The whole report runs in a session
+    whose thresholds for splitting are scaled down like the table; no task of it
+    may read twice a fair share of the rows from the shuffle."""
+    n = 40_000
+    spark.range(n, numPartitions=8).selectExpr(
+        "CASE WHEN id % 10 < 9 THEN 7L ELSE 1000 + id END AS transaction_id", "1L AS version_id", "'PROCESSED' AS event_status",
+        "'{\"name\":\"202612Q2\"}' AS period", "CAST(1 AS DECIMAL(18,2)) AS cost_amt", "'regular' AS pre_invoice_type",
+        "id AS pre_invoice_id", "1L AS provider_id",
+        "CASE WHEN id % 1000 = 5 THEN '{\"payload\":[{\"key\":\"external_route_id\",\"value\":\"R' || id || '\"}]}' END AS payload"
+    ).write.parquet(str(tmp_path / "ledger"))
+    t = tables([], [trace("5", "accounting_error"), *(trace(f"x{k}", "other", doc=f"D{k}") for k in range(2000))])
+    t.trace_event.write.parquet(str(tmp_path / "trace"))  # too large for the broadcast threshold, as is the ledger
+    t.provider.coalesce(1).write.parquet(str(tmp_path / "provider"))
+    (tmp_path / "log").mkdir()
+    done = subprocess.run([sys.executable, "-c", HOT_REPORT, str(tmp_path), kind], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert json.loads(done.stdout.strip().splitlines()[-1]) == [["accounting_error", 1, 1, "1.00"], [None, 1, 39999, "39999.00"]]
+    read = [e["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"]
+            for f in (tmp_path / "log").iterdir() for e in map(json.loads, f.open()) if e["Event"] == "SparkListenerTaskEnd"]
+    assert max(read) <= 2 * n / 8, sorted(read)[-5:]
