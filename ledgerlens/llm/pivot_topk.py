@@ -80,7 +80,8 @@ def pivot_topk(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     Rows with a null id, a null vector, null or non-finite components, or
     another than the most common dimension take no part. A query gets all
     candidates if there are fewer than ``k``; ties go to the smaller id;
-    repeated ids are ranked each, and a query never meets its own id.
+    repeated ids are ranked each, and a query never meets its own id. Of several
+    query rows that share an id, the smallest vector is searched for.
     """
     vectors = usable(df, id_col, vector_col, zero=True)
     x = sample(vectors, PIVOT_SAMPLE)

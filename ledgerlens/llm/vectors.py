@@ -2,10 +2,13 @@
 
 Candidates become rows of up to ``BLOCK`` vectors (ids, raw doubles, and what an
 index precomputes for them). Queries are dealt into lanes of about ``LANE``
-vectors. Every candidate block meets every lane once, by an equi-join on the
-lane number; a task keeps a running best list of each query it has seen, and
-the lists of a query are merged by one window at the end. No vector passes the
-driver, apart from an index's bounded training sample.
+vectors. Every candidate block meets every lane once, in a cell of a grid: about
+``CELL_BLOCKS`` blocks by ``CELL_LANES`` lanes. Blocks are copied once for each
+column of cells, lanes once for each row, so neither side travels once a part of
+the other, and there is work for as many tasks as there are cells. A task keeps a
+running best list of each query it has seen, and the lists of a query are merged
+by one window at the end. No vector passes the driver, apart from an index's
+bounded training sample.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import ship, smallest_hashes, stored
 
 BLOCK, LANE = 4_096, 1_024
+#: Blocks and lanes that meet in one cell.
+CELL_BLOCKS, CELL_LANES = 2, 8
 #: Lanes whose best lists a task holds before it hands them on.
 HELD = 64
 
@@ -125,9 +130,12 @@ def search(vectors: DataFrame, is_query, k: int, index: Callable[[np.ndarray], b
     lanes = max(1, -(-queries.count() // LANE))
     blocks = stored(candidate_blocks(vectors, dim, index), "blocks")
     dealt = stored(query_lanes(queries, dim, lanes), "lanes")
-    meet = (blocks.withColumnsRenamed({"ids": "c_ids", "data": "c_data"})
-            .withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-            .join(dealt, "lane").select("lane", "ids", "data", "c_ids", "c_data", "extra"))
+    rows, columns = max(1, -(-blocks.count() // CELL_BLOCKS)), -(-lanes // CELL_LANES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = (blocks.withColumnsRenamed({"ids": "c_ids", "data": "c_data"})
+            .withColumn("row", F.pmod(F.xxhash64("c_ids"), F.lit(rows)).cast("int")).withColumn("column", every(columns)))
+    right = dealt.withColumn("column", (F.col("lane") % columns).cast("int")).withColumn("row", every(rows))
+    meet = left.join(right, ["row", "column"]).select("lane", "ids", "data", "c_ids", "c_data", "extra")
     dtype = np.int64 if score_type == "bigint" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,3 +128,39 @@ def test_few_and_no_vectors(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 50), (100, 1, 0)][:1]
     for f in (pivot_topk.pivot_topk, rotated_bits.nearest_by_bits):
         assert f(table(spark, few).limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_reranked_share_and_recall(monkeypatch):
+    """What the error bounds leave to rerank, and what it costs in recall, over one block."""
+    import pyarrow.parquet as pq
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()
+    x, ids = np.vstack(t["embedding"]).astype(np.float64), t["vec_id"].to_numpy()
+    c, rotation = x.mean(0), rotated_bits.random_rotation(x.shape[1])
+    bits, scalars = rotated_bits.encode(x, c, rotation)
+    of = ids % 20 == 0
+    reranked = []
+    monkeypatch.setattr(rotated_bits, "exact", lambda a, q: reranked.append(len(a)) or (a * q).sum(1))
+    best = vectors.BestLists(int(of.sum()), 20, np.float64)
+    rotated_bits.bits_visit(c, rotation, rotated_bits.RERANK)(x[of], ids[of], x, ids, bits.tobytes() + scalars.tobytes(), best)
+    true = x[of] @ x.T
+    true[ids[of][:, None] == ids[None]] = -np.inf
+    hits = sum(len(set(b) & set(ids[np.argsort(-s)[:20]])) for b, s in zip(best.ids, true))
+    assert sum(reranked) / (len(x) * of.sum()) < 0.5 and hits / (20 * of.sum()) >= 0.99
+
+
+@pytest.mark.parametrize("cell", [(1, 1), (3, 2), (100, 100)])
+def test_every_block_meets_every_lane_once(spark, rows, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "LANE", 3)
+    monkeypatch.setattr(vectors, "CELL_BLOCKS", cell[0])
+    monkeypatch.setattr(vectors, "CELL_LANES", cell[1])
+    fine = [r for r in rows if r[0] is not None and r[1] and len(r[1]) == 12 and all(v is not None and math.isfinite(v) for v in r[1])]
+    df = spark.createDataFrame(fine, "id long, v array<double>").repartition(3)
+
+    def count(queries, query_ids, x, ids, extra, best):  # one entry a candidate seen, none lost to the list's length
+        for q in range(len(queries)):
+            best.add(q, np.ones(len(ids), np.int64), ids)
+
+    got = vectors.search(df, F.col("id") % 50 == 0, 2000, lambda b: b"", count, 12, "bigint")
+    seen = {r["query_id"]: (r["n"], r["d"]) for r in got.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("d")).collect()}
+    assert seen == {i: (len(fine), len({r[0] for r in fine})) for i in {r[0] for r in fine} if i % 50 == 0}
