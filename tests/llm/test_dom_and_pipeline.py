@@ -1,4 +1,5 @@
 import collections
+import functools
 import itertools
 import math
 import random
@@ -21,33 +22,108 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
 
 
-def fitted(shown=0, moves=0):
-    for html in dom.LABELLED:
-        page = dom.parse(html)
-        more = dom.counts_of(dom.side_by_side([page])[0], np.array(page.marked))
-        shown, moves = shown + more[0], moves + more[1]
-    return dom.TreeModel.fit(shown, moves)
+@functools.cache
+def fitted():
+    return dom.fit_pages([])
 
 
-def test_marginals_equal_enumeration():
+def enumerated(model, page):
+    """Log weight of every labelling of a small page."""
+    nodes, _ = dom.side_by_side([page])
+    for labels in itertools.product((0, 1), repeat=len(page.parent)):
+        score = 0.0
+        for k, y in enumerate(labels):
+            score += y * model.node[nodes.features[k]].sum()
+            if k:
+                score += model.pair[nodes.kind[k], labels[nodes.parent[k]], y]
+        yield labels, score
+
+
+def small_pages(n=40):
     rng = random.Random(1)
-    model = fitted()
     tags = ["<div>", "<p>", "<ul>", "<li>", '<div class="ad">', "<article>", "<section>", "</div>", "</ul>", "</section>", "some text here "]
-    for _ in range(40):
-        page = dom.parse("".join(rng.choices(tags, k=rng.randint(1, 12))))
-        if len(page.parent) > 10:
+    found = [dom.parse("".join(rng.choices(tags, k=rng.randint(1, 12)))) for _ in range(n)]
+    return [p for p in found if len(p.parent) <= 10]
+
+
+def test_marginals_equal_enumeration():
+    model = fitted()
+    for page in small_pages():
+        total, content = 0.0, np.zeros(len(page.parent))
+        for labels, score in enumerated(model, page):
+            total += math.exp(score)
+            content += math.exp(score) * np.array(labels)
+        assert np.allclose(model.marginals(dom.side_by_side([page])[0]), content / total, atol=1e-9)
+
+
+def test_pair_marginals_equal_enumeration():
+    model = fitted()
+    for page in small_pages(20):
+        nodes, _ = dom.side_by_side([page])
+        kids = np.flatnonzero(nodes.parent >= 0)
+        if not len(kids):
             continue
+        total, want = 0.0, np.zeros((len(kids), 2, 2))
+        for labels, score in enumerated(model, page):
+            total += math.exp(score)
+            for at, k in enumerate(kids):
+                want[at, labels[nodes.parent[k]], labels[k]] += math.exp(score)
+        assert np.allclose(model.messages(nodes, nodes.levels(), kids)[1], want / total, atol=1e-9)
+
+
+def test_fit_reaches_a_maximum():
+    """No weight can be moved to raise the penalised likelihood: the fitted
+    marginals meet the labels, feature by feature, up to the penalty."""
+    nodes, _ = dom.side_by_side([dom.parse(h) for h in dom.LABELLED])
+    model = dom.TreeModel.fit(nodes, np.ones(len(nodes.parent)), steps=2000)
+    gap = nodes.labels - model.marginals(nodes)
+    slots = nodes.features.shape[1]
+    gradient = np.bincount(nodes.features.ravel(), np.repeat(gap, slots), dom.FEATURES) - 0.02 * model.node
+    assert np.abs(gradient).max() < 0.05
+
+
+def test_hand_labels_are_learnt():
+    for html in dom.LABELLED:
+        page = dom.parse(html)
         nodes, _ = dom.side_by_side([page])
-        total, content = 0.0, np.zeros(len(page.parent))
-        for labels in itertools.product((0, 1), repeat=len(page.parent)):
-            p = math.log((0.9, 0.1)[labels[0]])
-            for k, y in enumerate(labels):
-                p += model.node[nodes.context[k], nodes.shown[k], y]
-                if k:
-                    p += model.pair[nodes.context[k], labels[nodes.parent[k]], y]
-            total += math.exp(p)
-            content += math.exp(p) * np.array(labels)
-        assert np.allclose(model.marginals(nodes), content / total, atol=1e-9)
+        content = fitted().marginals(nodes) > 0.5
+        assert [bool(content[node]) for node, _ in page.blocks] == [bool(page.labelled[node]) for node, _ in page.blocks]
+
+
+LONG = ("words that nobody has labelled " * 11).strip()
+MID = ("a line of other words " * 4).strip()
+
+
+@pytest.mark.parametrize("html,text", [
+    # content inside marked wrappers: a rule by words gives nothing here
+    (f'<div class="widget"><article><h1>T</h1><p>{MID}</p></article></div>', f"T\n{MID}"),
+    (f'<div class="page-search"><article><p>{MID}</p><p>x</p></article></div>', f"{MID}\nx"),
+    (f"<form id=f><article><p>{MID}</p></article><p>Send</p></form>", MID),
+    (f'<div class="sidebar"><p>{MID}</p></div><div class="toolbar-page"><main><p>{LONG}</p></main></div>', LONG),
+    # words with another meaning inside the article
+    (f'<article><p>a</p><p class="related-work">{MID}</p><section id="discussion"><h2>D</h2><p>{LONG}</p></section></article>', f"a\n{MID}\nD\n{LONG}"),
+    # boilerplate without marks inside an article, and beside one: a rule by words keeps it
+    (f"<article><h1>T</h1><p>{LONG}</p><div><ul><li><a href=1>Older one</a></li><li><a href=2>Newer one</a></li></ul></div></article>", f"T\n{LONG}"),
+    (f'<main><div class="x"><a href=1>Home</a> <a href=2>News</a></div><article><h1>T</h1><p>{LONG}</p></article><ul><li><a href=3>Older</a></li></ul></main>', f"T\n{LONG}"),
+    # marked boilerplate, also where articles are nested
+    (f"<article><p>{MID}</p><div class=comment-list><article><p>{LONG}</p></article></div></article>", MID),
+    (f"<article><p>{MID}</p><div class=comment-list><article class=comment><p>{LONG}</p></article></div></article>", MID),
+    (f"<div class=comments><article><p>{LONG}</p></article></div>", ""),
+    (f"<article><p>{MID}</p><div class='promo-box'><p>{LONG}</p></div><aside><h3>S</h3><p>{LONG}</p></aside></article>", MID),
+    ("<article><p>where <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> holds</p></article>", "where x=1 holds"),
+    ("<article><p>a <math><mi>x</mi></p><p>b</p></article>", "a x\nb"),
+    ("<article><p>a</p><noscript><p>b</p></article>", "a\nb"), ("<article><p>a</p><script>b", "a"),
+])
+def test_the_model_decides_not_the_words(html, text):
+    assert dom.main_texts(fitted(), [f"<body>{html}</body>"]) == [text]
+
+
+def test_training_pages_do_not_show_their_marks():
+    page = dom.without_marks(dom.parse(f"<nav><p>n</p></nav><article class=post><h1>T</h1><p>{LONG}</p></article>"))
+    assert not any(page.opener) and dom._TAG_ID["article"] not in page.tag
+    assert [page.labelled[node] for node, _ in page.blocks] == [0, 1, 1]
+    for uncertain in ("<article><div class=related><p>x</p></div></article>", "<form><article><p>x</p></article></form>", "<p>x</p>"):
+        assert dom.without_marks(dom.parse(uncertain)) is None
 
 
 def test_pages_side_by_side_do_not_touch():
