@@ -147,14 +147,13 @@ def brute_scan(rows):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
         places = [(label, k) for p, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         found, best = set(), 0.0
-        for s in range(0, len(w), license_scan.STRIDE):
-            block = set(w[s : s + license_scan.BLOCK])
-            for label, t in license_scan.TEMPLATES:
-                t = set(t.split())
-                share = len(t & block) / len(t)
-                if len(t & block) >= license_scan.needed_words(" ".join(t)):
-                    found.add(label)
-                    best = max(best, share)
+        pairs = [f"{x} {y}" for x, y in zip(w, w[1:])]
+        for label, t in license_scan.TEMPLATES:
+            needed, t = license_scan.needed_tokens(t), set(license_scan.template_tokens(t))
+            most = max((len(t & set(pairs[s : s + 2 * len(t)])) for s in range(len(pairs))), default=0)
+            if most >= needed:
+                found.add(label)
+                best = max(best, most / len(t))
         base = {p[0] for p in places}
         starts = [p[1] for p in places]
         out.append((str(i), len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
@@ -186,5 +185,30 @@ def test_op2_equals_its_sql(spark):
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(res.columns, res.fetchall())
 
 
+def labels_of(documents, texts):
+    return {r.doc_id: (r.labels, r.score) for r in license_scan.scan(documents(list(enumerate(texts)))).collect()}
+
+
+def test_scattered_words_are_no_license(documents):
+    texts = ["all of the guests have rights to the hall and the seats were reserved for them",
+             "a cc list by mail was under review sa said 4 of 0 were licensed", "an act the mit students were released license plates under the rain"]
+    assert set(labels_of(documents, texts).values()) == {("", 0.0)}
+
+
+def test_score_does_not_depend_on_where_a_notice_starts(documents):
+    grant = dict(license_scan.TEMPLATES[1:2])["mit"].split()
+    changed = [*grant[:9], "certain", *grant[9:]]  # one word put in
+    texts = ["x " * k + " ".join(changed) + " y" * (k % 7) for k in range(130)]
+    found = set(labels_of(documents, texts).values())
+    assert len(found) == 1 and found.pop()[0] == "mit"
+
+
+def test_very_long_text_with_a_notice_at_its_end(documents):
+    text = "plain words " * 200_000 + license_scan.TEMPLATES[7][1]
+    assert labels_of(documents, [text])[0][0] == license_scan.TEMPLATES[7][0]
+
+
 def test_templates_fit_into_a_block():
-    assert all(len(t.split()) <= license_scan.BLOCK - license_scan.STRIDE for _, t in license_scan.TEMPLATES)
+    assert all(2 * len(license_scan.template_tokens(t)) <= license_scan.BLOCK for _, t in license_scan.TEMPLATES)
+    with pytest.raises(ValueError):
+        license_scan.template_tokens("alone")
