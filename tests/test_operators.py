@@ -458,3 +458,49 @@ def test_hot_version_of_distinct_pre_invoices_is_split(spark, tables, tmp_path,
     read = [e["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"]
             for f in (tmp_path / "log").iterdir() for e in map(json.loads, f.open()) if e["Event"] == "SparkListenerTaskEnd"]
     assert max(read) <= 2 * n / 8, sorted(read)[-5:]
+
+
+def test_plain_payloads_read_like_parsed_ones(spark):
+    """Texts of the usual shape are read without the JSON parser, to the same values."""
+    from ledgerlens.functions.json import plain_pairs
+    from ledgerlens.operators.payload import with_payload_values
+
+    route, vehicle = '{"key":"external_route_id","value":"%s"}', '{"key":"vehicle_id","value":"%s"}'
+    plain = ['{"payload":[]}', ' { "payload" : [ ] } ', '{"payload":[%s]}' % (route % "R1"), '{"payload":[%s,%s]}' % (route % "R9", route % "R10"),
+             '{"payload":[%s, %s]}' % (vehicle % "V", route % "R"), '{"payload":[{ "key" : "vehicle_id" ,\t"value" : "{[" }]}',
+             '{"payload":[%s,%s]}' % (route % "[1]", vehicle % ""), '{"payload":[{"key":"payload","value":"payload"},%s]}' % (route % "é, {"),
+             '{"payload":[%s]}' % ",".join([vehicle % "V", route % "R"] * 5_000)]
+    other = [None, "", "{}", "[]", "not json", '{"payload":[]} x', '{"payload":[%s],"payload":[]}' % (route % "R"), '{"payload":[7,%s]}' % (route % "R"),
+             '{"payload":[%s,]}' % (route % "R"), '{"payload":[{"key":"vehicle_id","value":7}]}', '{"payload":[{"key":"vehicle_id","value":"a","value":"b"}]}',
+             '{"payload":[{"value":"a","key":"vehicle_id"}]}', '{"payload":[%s]}' % (route % '\\"'), '{"payload":[%s]}' % (route % "a\tb"),
+             '{"payload":[{"key":"vehicle\\u005fid","value":"v"}]}', '{"payload":[{"key":"vehicle_id","value":"\\u005b"}]}',
+             '{"payload":"%s"}' % "x", '{"x":1,"payload":[%s]}' % (route % "R"), '{"payload":[%s}' % (route % "R"), '{"payload":null}']
+    df = spark.createDataFrame(list(enumerate(plain + other)), "k int, payload string")
+    assert [p for _, p in df.select("k", plain_pairs(F.col("payload"))).orderBy("k").collect()] == [True] * len(plain) + [False] * len(other)
+    array = json_array("payload")
+    want = df.select("k", max_value_for_key(array, "external_route_id"), max_value_for_key(array, "vehicle_id"),
+                     F.coalesce(F.size(array), F.lit(-1))).orderBy("k").collect()
+    got = with_payload_values(df).select("k", "row_route", "row_vehicle", "payload_elements").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    skipped = with_payload_values(df, F.col("k") < 0).select("row_route", "row_vehicle", "payload_elements").distinct().collect()
+    assert [tuple(r) for r in skipped] == [(None, None, -1)]
+
+
+def test_compact_period_reads_like_parsed_one(spark):
+    texts = {'{"name":"202601Q1"}': "202601Q1", '{"name":""}': "", '{"name":"}': None, '{"name":"a"b"}': None, '{"name":"a","name":"b"}': "a",
+             '{"name":"{x"}': "{x", '{"name":"a\\tb"}': "a\tb", '{"name":"a\tb"}': None, '{"name":"é"}': "é", '{ "name":"a"}': "a", '{"name":"a"} ': "a",
+             '{"name":"a"}"}': None, '{"name":"\\u007bx"}': "{x", '{"name":"}"}': "}"}
+    df = with_json_field(spark.createDataFrame(list(enumerate(texts)), "k int, period string"), "period", "name", "name")
+    assert [r.name for r in df.orderBy("k").collect()] == list(texts.values())
+
+
+def test_pending_detail_is_no_sort_aggregate(spark):
+    """Trace values are keys: maxima of strings would sort every pending row."""
+    from ledgerlens.operators.pending import pending_detail
+
+    rows = spark.createDataFrame([], "period string, month string, pre_invoice_type string, pre_invoice_id bigint, provider_id bigint, "
+                                 "provider_name string, provider_type string, status_group string, status string, cost_amt decimal(28,2), "
+                                 "transaction_id bigint, invoice_id bigint, file_status string, file_accounting_document string, "
+                                 "invoice_amount decimal(18,2), last_update timestamp_ntz")
+    plan = pending_detail(rows)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
