@@ -46,6 +46,7 @@ from ledgerlens.llm.common import held_out, id_bucket, lower_bytes, mix64, ship,
 START, END, RARE, FIRST = 0, 1, 2, 3  # ids of the document's start and end, of the rare class, of the first word
 BITS = 24  # of an id in a pair's key
 DENSE = 1_024
+INDEX_BITS = 20  # of a hash that lead to its place among the frequent words
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 20_000
 SHARD_TOKENS = 2_000_000
 #: Steps per factor of two, to which ratios of estimates are rounded for EM.
@@ -84,7 +85,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys, and the sum of each value array by key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # sums do not depend on the order of equal keys
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
     return keys[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values)
@@ -113,13 +114,31 @@ class Vocabulary:
     types: int  # distinct training tokens, the end included
     class_types: int  # types that share the rare class, one for all unseen
     whole: bool  # no rare class: RARE only says that a word is not among these
+    index: np.ndarray | None = None  # first place by the first bits of a hash
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.full(len(hashes), RARE, np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        at = self.places(hashes)
         return np.where(self.words[at] == hashes, self.ids[at], RARE)
 
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash is among the words, if anywhere. Hashes are spread
+        evenly, so their first bits lead to within a few places."""
+        if self.index is None:
+            heads = np.arange(-(1 << INDEX_BITS - 1), 1 << INDEX_BITS - 1) << np.int64(64 - INDEX_BITS)
+            object.__setattr__(self, "index", np.searchsorted(self.words, heads))
+        at = np.minimum(self.index[(hashes >> np.int64(64 - INDEX_BITS)) + (1 << INDEX_BITS - 1)], len(self.words) - 1)
+        left = np.flatnonzero(self.words[at] < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] < len(self.words)]
+            left = left[self.words[at[left]] < hashes[left]]
+        return np.minimum(at, len(self.words) - 1)
+
+    def __getstate__(self):
+        return self.__dict__ | {"index": None}  # made again where it is used
+
 
 def chunk_pairs(voc: Vocabulary, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context ids, word ids, document index, word hashes) of every token of a
@@ -241,7 +260,8 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def by_shard(shard: np.ndarray, *arrays: np.ndarray):
     """(shard, arrays of its entries) of each shard that occurs."""
-    order = np.argsort(shard, kind="stable")
+    small = shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard  # sorted by radix
+    order = np.argsort(small, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
     for part in np.split(order, cuts) if len(order) else []:
         yield int(shard[part[0]]), [a[part] for a in arrays]
@@ -254,9 +274,16 @@ def open_owner(ids: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def by_open_key(v: np.ndarray, w: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted keys of open pairs, their counts, deleted ones, and a place of each."""
-    keys, first = np.unique(open_keys(v, w), return_index=True)
-    _, c, d = summed(open_keys(v, w), np.ones(len(v), np.int64), gone.astype(np.int64))
-    return keys, c, d, first
+    return summed_first(open_keys(v, w), gone)
+
+
+def summed_first(keys: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys, how often each occurs, how often where ``gone``, and a place of each."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    d = np.add.reduceat(gone[order].astype(np.int64), first) if len(keys) else np.empty(0, np.int64)
+    return sorted_keys[first], np.diff(np.append(first, len(keys))), d, order[first]
 
 
 def count_pairs(training: DataFrame, voc, shards: int) -> DataFrame:
@@ -281,7 +308,7 @@ def count_pairs(training: DataFrame, voc, shards: int) -> DataFrame:
             dense[0] += np.bincount(cell, minlength=DENSE * DENSE)
             dense[1] += np.bincount(cell[gone[hot]], minlength=DENSE * DENSE)
             keys = pair_keys(v[~hot], w[~hot])
-            keys, c, d = summed(keys, np.ones(len(keys), np.int64), gone[~hot].astype(np.int64))
+            keys, c, d, _ = summed_first(keys, gone[~hot])
             rows = [(r, pack(gaps(k), c.astype(np.int32), d.astype(np.int32)))
                     for r, (k, c, d) in by_shard(shard_of(keys, shards), keys, c, d)]
             yield batch(rows, open_rows)

@@ -212,3 +212,27 @@ def test_templates_fit_into_a_block():
     assert all(2 * len(license_scan.template_tokens(t)) <= license_scan.BLOCK for _, t in license_scan.TEMPLATES)
     with pytest.raises(ValueError):
         license_scan.template_tokens("alone")
+
+
+def test_places_of_words_by_their_first_bits():
+    """The same places as by binary search, also where many words share their first bits."""
+    import pickle
+
+    import numpy as np
+
+    from ledgerlens.llm import lm_scoring as lm
+
+    g = np.random.default_rng(1)
+    ends = np.array([-(1 << 63), (1 << 63) - 1, -1, 0, 1], np.int64)
+    for n in (1, 5, 3_000):
+        words = np.unique(np.concatenate([g.integers(-(1 << 63), (1 << 63) - 1, n), np.arange(n) * 7, ends[: n - 1]]))
+        voc = pickle.loads(pickle.dumps(lm.Vocabulary(words, np.arange(len(words)) + lm.FIRST, np.ones(3), np.ones(3), 1, 1, 1, True)))
+        asked = np.concatenate([words, words[1:] - 1, g.integers(-(1 << 63), (1 << 63) - 1, 5_000), ends])
+        found = np.isin(asked, words)
+        assert (voc.of(asked) == np.where(found, np.searchsorted(words, asked) + lm.FIRST, lm.RARE)).all()
+    keys, gone = g.integers(0, 50, 1_000), g.integers(0, 2, 1_000).astype(bool)
+    got, c, d, first = lm.summed_first(keys, gone)
+    want, want_c = np.unique(keys, return_counts=True)
+    assert (got == want).all() and (c == want_c).all() and (keys[first] == got).all()
+    assert (d == [gone[keys == k].sum() for k in got]).all()
+    assert [len(x) for x in lm.summed_first(keys[:0], gone[:0])] == [0] * 4
