@@ -4,8 +4,8 @@ Every vector's Euclidean distances to the pivots are computed once, with its
 block. By the triangle inequality |d(q, p) - d(x, p)| is a lower bound of
 d(q, x) for every pivot p; the largest over all pivots turns into an upper
 bound of the inner product, (|q|^2 + |x|^2 - bound^2) / 2. A query evaluates a
-block's candidates from the highest bound down and stops at the first that
-cannot reach its k-th best any more, so the answer is exact.
+block's candidates with the highest bounds first, and then those of the others
+that can still reach its k-th best, so the answer is exact.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ from ledgerlens.llm.vectors import BestLists, sample, search, usable
 
 #: Pivots, and the vectors among which they are chosen.
 PIVOTS, PIVOT_SAMPLE = 24, 512
-#: Candidates evaluated between two looks at the bar.
+#: Candidates with the highest bounds, evaluated before the others are looked at.
 STEP = 64
+#: Queries of a lane whose bounds are computed together.
+TOGETHER = 16
+#: What distances in single precision may be off, as a part of the lengths involved.
+ROUNDING = 2.0**-20
 
 
 def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
@@ -42,31 +46,60 @@ def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def quantised(x: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(scale * x)
+    return np.floor(scale * x) + 0.0  # no negative zeros
 
 
-def pivot_visit(pivots: np.ndarray, scale: int):
-    """How a lane looks through a block."""
+def pivot_index(x: np.ndarray, pivots: np.ndarray) -> bytes:
+    """A block's squared lengths, then its distances to each pivot in single precision."""
+    table = pivot_distances(x, pivots)
+    return table[:, -1].tobytes() + table[:, :-1].T.astype(np.float32).tobytes()
+
+
+def largest_gaps(table: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The largest |d(q, p) - d(x, p)| over the pivots p; rows: queries, columns: vectors."""
+    most = np.zeros((len(own), table.shape[1]), table.dtype)
+    gap = np.empty_like(most)
+    for k, distances in enumerate(table):
+        np.subtract(distances, own[:, k, None], out=gap)
+        np.maximum(most, np.abs(gap, out=gap), out=most)
+    return most
+
+
+def pivot_visit(pivots: np.ndarray):
+    """How a lane looks through a block; vectors are quantised."""
+    reach = np.sqrt((pivots * pivots).sum(1).max(initial=0))
+    lowest = np.finfo(np.float64).min
 
     def visit(queries, query_ids, x, ids, extra, best: BestLists) -> None:
-        table = np.frombuffer(extra, np.float64).reshape(len(ids), -1)
-        x = quantised(x, scale)
-        queries = quantised(queries, scale)
+        n = len(ids)
+        squared = np.frombuffer(extra, np.float64, n)
+        table = np.frombuffer(extra, np.float32, offset=8 * n).reshape(-1, n)
         own = pivot_distances(queries, pivots)
-        for q, query in enumerate(queries):
-            lower = np.abs(table[:, :-1] - own[q, :-1]).max(1)
-            upper = (own[q, -1] + table[:, -1] - lower * lower) / 2 + 0.5  # scores are whole numbers
-            upper[ids == query_ids[q]] = -np.inf
-            order = np.argsort(-upper, kind="stable")
-            at, step = 0, STEP
-            while at < len(order):
-                some = order[at : at + step]
-                some = some[upper[some] >= best.bar(q, -np.inf)]
-                some = some[np.isfinite(upper[some])]
-                if not len(some):
-                    break  # bounds only fall from here on
-                best.add(q, (x[some] @ query).astype(np.int64), ids[some])
-                at, step = at + step, step * 2
+        to_pivots = own[:, :-1].astype(np.float32)
+        longest = np.sqrt(max(own[:, -1].max(), squared.max()))
+        off = ROUNDING * (reach + longest)
+        if longest * longest < 2**24:  # whole numbers, all partial sums too: exact
+            x, queries = x.astype(np.float32), queries.astype(np.float32)
+        for at in range(0, len(queries), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            lower = largest_gaps(table, to_pivots[part])
+            lower = np.maximum(lower.astype(np.float64) - off, 0)
+            upper = (own[part, -1:] + squared - lower * lower) / 2 + 0.5  # scores are whole numbers
+            upper[query_ids[part, None] == ids] = -np.inf
+            scores = None
+            for q, up in enumerate(upper, at):
+                left = np.flatnonzero(up >= best.bar(q, lowest))
+                if len(left) > STEP:
+                    first = left[np.argpartition(-up[left], STEP - 1)[:STEP]]
+                    best.add(q, (x[first] @ queries[q]).astype(np.int64), ids[first])
+                    up[first] = -np.inf
+                    left = np.flatnonzero(up >= best.bar(q, lowest))
+                if 4 * len(left) < n:
+                    best.add(q, (x[left] @ queries[q]).astype(np.int64), ids[left])
+                else:  # most of the block: its products with all these queries at once
+                    scores = queries[part] @ x.T if scores is None else scores
+                    left = np.flatnonzero((up >= best.bar(q, lowest)) & (scores[q - at] >= best.bar(q, lowest)))
+                    best.add(q, scores[q - at][left].astype(np.int64), ids[left])
 
     return visit
 
@@ -87,8 +120,8 @@ def pivot_topk(df: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     x = sample(vectors, PIVOT_SAMPLE)
     dim = x.shape[1] if x.ndim == 2 else 1
     pivots = choose_pivots(quantised(x.reshape(-1, dim), scale), PIVOTS)
-    return search(vectors, is_query, k, lambda b: pivot_distances(quantised(b, scale), pivots).tobytes(),
-                  pivot_visit(pivots, scale), dim, "bigint")
+    return search(vectors, is_query, k, lambda b: pivot_index(b, pivots), pivot_visit(pivots), dim, "bigint",
+                  lambda b: quantised(b, scale))
 
 
 def op5_pivot_table(spark, sf_dir: str) -> DataFrame:

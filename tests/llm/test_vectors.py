@@ -164,3 +164,50 @@ def test_every_block_meets_every_lane_once(spark, rows, monkeypatch, cell):
     got = vectors.search(df, F.col("id") % 50 == 0, 2000, lambda b: b"", count, 12, "bigint")
     seen = {r["query_id"]: (r["n"], r["d"]) for r in got.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("d")).collect()}
     assert seen == {i: (len(fine), len({r[0] for r in fine})) for i in {r[0] for r in fine} if i % 50 == 0}
+
+
+@pytest.mark.parametrize("search", [pivot_topk.pivot_topk, rotated_bits.nearest_by_bits])
+def test_nothing_is_broadcast(spark, rows, search):
+    """The copies of the queries once passed the driver, as their table is small before it is copied."""
+    found = search(table(spark, rows), F.col("id") % 20 == 0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def see_all(queries, query_ids, x, ids, extra, best):
+    for q in range(len(queries)):
+        best.add(q, np.ones(len(ids), np.int64), ids)
+
+
+@pytest.mark.parametrize("n, every, rows, columns", [(220, 50, 11, 1), (480, 1, 8, 8)])
+def test_copies_of_queries_are_no_more_than_of_the_table(spark, monkeypatch, n, every, rows, columns):
+    for name, value in (("BLOCK", 10), ("LANE", 30), ("CELL_LANES", 2), ("CELL_BLOCKS", 2)):
+        monkeypatch.setattr(vectors, name, value)
+    df = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(n)], "id long, v array<double>").repartition(3)
+    dealt, deal = [], type(df).repartitionById
+    monkeypatch.setattr(type(df), "repartitionById", lambda self, parts, by: dealt.append(parts) or deal(self, parts, by))
+    got = vectors.search(df, F.col("id") % every == 0, 1000, lambda b: b"", see_all, 2, "bigint")
+    assert dealt[-1] == rows * columns and rows * len(range(0, n, every)) <= columns * n
+    seen = got.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("d")).collect()
+    assert len(seen) == len(range(0, n, every)) and {(r["n"], r["d"]) for r in seen} == {(n, n)}
+
+
+@pytest.mark.parametrize("x, width", [
+    ([[1.0, -300.0]], 2), ([[1.0, -0.0]], 4), ([[0.5, 2.0**100]], 4), ([[0.1, 1.0]], 8), ([[1e300, 1.0]], 8), ([[40000.0, 1.0]], 4)])
+def test_vectors_travel_narrow_and_whole(x, width):
+    x = np.array(x)
+    raw = vectors._raw(x)
+    back = vectors._vectors(raw, 1, 2)
+    assert len(raw) == 2 * width and back.dtype == np.float64 and back.tobytes() == x.tobytes()
+
+
+@pytest.mark.parametrize("times", [1e-3, 300.1, 1e4])
+def test_pivot_table_is_exact_at_any_length(spark, rows, monkeypatch, times):
+    """Bounds in single precision, products in single or double precision."""
+    monkeypatch.setattr(vectors, "BLOCK", 128)
+    monkeypatch.setattr(pivot_topk, "STEP", 3)
+    long = [(i, [times * x for x in v]) for i, v in rows if i is not None and v and len(v) == 12 and all(x is not None and math.isfinite(x) for x in v)]
+    got = {}
+    for r in pivot_topk.pivot_topk(spark.createDataFrame(long, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert {q: [v[k] for k in sorted(v)] for q, v in got.items()} == brute(long, 50, 5, whole, True)
